@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from cloakframe.llm import decontam, host_rules
+from cloakframe.llm import decontam, host_rules, line_dedup, simhash
 
 QUERIES = {
     "op2_decontaminate": decontam.op2_decontaminate,
     "op6_host_rules": host_rules.op6_host_rules,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES = {
     "op2_decontaminate": decontam.OP2_SQL,
     "op6_host_rules": host_rules.OP6_SQL,
+    "op8_line_dedup": line_dedup.OP8_SQL,
 }
