@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from cloakframe.llm import decontam, host_rules, line_dedup, simhash
+from cloakframe.llm import decontam, host_rules, line_dedup, mixing, secrets, simhash
 
 QUERIES = {
     "op2_decontaminate": decontam.op2_decontaminate,
     "op6_host_rules": host_rules.op6_host_rules,
+    "op7_secrets": secrets.op7_secrets,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
     "op2_decontaminate": decontam.OP2_SQL,
     "op6_host_rules": host_rules.OP6_SQL,
+    "op7_secrets": secrets.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }
