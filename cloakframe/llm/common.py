@@ -126,6 +126,7 @@ class Words:
         sums = np.empty(len(b) + 1, np.uint64)
         sums[0] = 0
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
+        self._sums, self._inverse = sums, inverse
         self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_end = np.cumsum(sizes)
@@ -134,6 +135,11 @@ class Words:
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(texts)), self.count)
 
+    def prefix(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Unmixed hashes of the first k bytes of the words at; those words have more than k bytes."""
+        start = self.start[at]
+        return (self._sums[start + k] - self._sums[start]) * self._inverse[start]
+
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k consecutive hashes."""

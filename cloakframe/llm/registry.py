@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from cloakframe.llm import decontam, host_rules, line_dedup, mixing, secrets, simhash
+from cloakframe.llm import decontam, host_rules, line_dedup, lm, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_decontaminate": decontam.op2_decontaminate,
+    "op3_language_model": lm.op3_language_model,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_host_rules": host_rules.op6_host_rules,
     "op7_secrets": secrets.op7_secrets,
     "op8_line_dedup": line_dedup.op8_line_dedup,
