@@ -1,6 +1,433 @@
-"""Queries of the de-identification operators and their DuckDB equivalents."""
+"""Queries of the de-identification operators and their DuckDB equivalents.
+
+Every query runs over its whole tables.  The SQL side has no lookaround, so its patterns state the same
+matches by their maximal runs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from cloakframe.functions import anonymize as A
+from cloakframe.functions import patterns as P
+from cloakframe.functions import surrogates as S
+from cloakframe.functions import text as X
+from cloakframe.functions import validators as V
+from cloakframe.operators import blocks as B
+from cloakframe.operators import evaluate as E
+from cloakframe.operators import leak as L
+from cloakframe.operators import mapping as M
+from cloakframe.operators import review as R
+from cloakframe.operators.detect import detections, raw_spans
+from cloakframe.operators.engine import process_text
+from cloakframe.operators.overlap import normalize_overlaps
+from cloakframe.operators.propagate import candidates, seeds_from
+from cloakframe.operators.roles import defined_terms, is_role_term
+from cloakframe.sources.tables import read_table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+SQL_EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,63}"
+SQL_IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+SQL_PHONE = r"\+?[0-9]{1,3} ?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+SQL_HEX = r"\b[0-9a-f]{40}\b"
+SQL_CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
+
+#: Simple forms of the recognizers, for queries that compare spans one to one.
+EMAIL, IPV4, PHONE, CARD, HEX = P.EMAIL, P.IPV4, P.PHONE, P.CARD, P.HEX_TOKEN
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def spans_sql(pattern: str, table: str = "documents", keys: str = "doc_id", text: str = "text") -> str:
+    """Rows (keys, start, end, value) of all matches."""
+    p = pattern.replace("'", "''")
+    return f"""select {keys}, (list_sum(list_transform(b[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0))::int "start",
+    (list_sum(list_transform(b[1:i], lambda z: length(z))) + list_sum(list_transform(m[1:i], lambda z: length(z))))::int "end", m[i] "value"
+  from (select {keys}, m, b, unnest(range(1, len(m) + 1)) i from (
+    select {keys}, regexp_extract_all({text}, '{p}') m, regexp_split_to_array({text}, '{p}') b from {table}) where len(m) > 0)"""
+
+
+IPV4_OK = "list_bool_and(list_transform(string_split(value, '.'), lambda x: x::int <= 255))"
+LUHN_OK = """(list_sum(list_transform(range(1, length(regexp_replace(value, '[^0-9]', '', 'g')) + 1),
+  lambda i: case when i % 2 = 1 then substr(reverse(regexp_replace(value, '[^0-9]', '', 'g')), i, 1)::int
+            else (2 * substr(reverse(regexp_replace(value, '[^0-9]', '', 'g')), i, 1)::int) % 10 + substr(reverse(regexp_replace(value, '[^0-9]', '', 'g')), i, 1)::int // 5 end)) % 10 = 0)"""
+ALL_SPANS = f"""(
+  select *, 'EMAIL_ADDRESS' entity_type from ({spans_sql(SQL_EMAIL)}) union all select *, 'IP_ADDRESS' from ({spans_sql(SQL_IPV4)}) where {IPV4_OK}
+  union all select *, 'PHONE_NUMBER' from ({spans_sql(SQL_PHONE)}) union all select *, 'CREDIT_CARD' from ({spans_sql(SQL_CARD)}) where {LUHN_OK}
+  union all select *, 'ID_NUMBER' from ({spans_sql(SQL_HEX)}))"""
+
+
+def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
+
+
+def _spans(df: DataFrame, recognizer: P.Recognizer, *keys: str, text: str = "text") -> DataFrame:
+    found = df.select(*keys, F.col(text).alias("_t"), X.matches(text, recognizer.pattern).alias("_m")).where(F.size("_m") > 0)
+    rows = found.select(*keys, F.explode(X.spans_of("_t", F.col("_m"), recognizer.pattern)).alias("s"))
+    rows = rows.select(*keys, "s.start", "s.end", F.col("s.text").alias("value"))
+    return rows.where(recognizer.validate(F.col("value"))) if recognizer.validate else rows
+
+
+# Detection ------------------------------------------------------------------------------------
+
+
+@query(f"select d.doc_id, d.text not null and len(m) > 0 found, coalesce(len(m), 0)::int n_emails, sha256(coalesce(regexp_replace(text, '{SQL_EMAIL}', '<EMAIL_ADDRESS>', 'g'), '')) text_sha, 0 leaks from (select doc_id, text, regexp_extract_all(text, '{SQL_EMAIL}') m from documents) d")
+def email_replace(spark, sf_dir):
+    """E-mail spans, replacement, splice and leak counts, natively."""
+    out = process_text(_docs(spark, sf_dir), {"DEFAULT": A.REPLACE}, recognizers=[EMAIL], entities=["EMAIL_ADDRESS"])
+    return out.select("doc_id", (F.size("spans") > 0).alias("found"), F.size("spans").alias("n_emails"), F.sha2(F.coalesce("anonymized", F.lit("")), 256).alias("text_sha"), F.size("leaks").alias("leaks"))
+
+
+@query(spans_sql(SQL_EMAIL))
+def email_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), EMAIL, "doc_id")
+
+
+@query(f"select * from ({spans_sql(SQL_IPV4)}) where {IPV4_OK}")
+def ipv4_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), IPV4, "doc_id")
+
+
+@query(spans_sql(SQL_PHONE))
+def phone_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), PHONE, "doc_id")
+
+
+@query(f"select *, {LUHN_OK} luhn_valid from ({spans_sql(SQL_CARD)})")
+def card_spans(spark, sf_dir):
+    plain = P.Recognizer("Card", "CREDIT_CARD", CARD.pattern, 0.5)
+    return _spans(_docs(spark, sf_dir), plain, "doc_id").withColumn("luhn_valid", V.luhn(F.col("value")))
+
+
+@query(spans_sql(SQL_HEX))
+def token_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), HEX, "doc_id")
+
+
+def _profile(spark, sf_dir) -> DataFrame:
+    found = raw_spans(_docs(spark, sf_dir, "doc_id", "lang", "source", "text"), recognizers=[EMAIL, IPV4, PHONE, CARD, HEX])
+    return found.select("doc_id", "lang", "source", F.explode("spans").alias("s")).select("doc_id", "lang", "source", F.col("s.entity_type").alias("entity_type"))
+
+
+_PROFILE_SQL = f"(select d.lang, d.source, a.doc_id, a.entity_type from {ALL_SPANS} a join documents d using (doc_id))"
+
+
+@query(f"select lang, entity_type, count(*) n, count(distinct doc_id) docs from {_PROFILE_SQL} group by lang, entity_type")
+def entity_counts_by_lang(spark, sf_dir):
+    return _profile(spark, sf_dir).groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"select lang, entity_type, count(*) n from {_PROFILE_SQL} group by rollup (lang, entity_type)")
+def entity_rollup(spark, sf_dir):
+    return _profile(spark, sf_dir).rollup("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select lang, entity_type, source, count(*) n from {_PROFILE_SQL} group by cube (lang, entity_type, source)")
+def entity_cube(spark, sf_dir):
+    return _profile(spark, sf_dir).cube("lang", "entity_type", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with s(s, e, t, sc) as (values (0, 10, 'A', 0.5), (2, 6, 'B', 0.9), (12, 20, 'A', 0.6), (16, 22, 'B', 0.9), (30, 34, 'C', 0.5), (30, 34, 'D', 0.7))
+select * from (values (0, 10, 'A'), (12, 20, 'A'), (20, 22, 'B'), (30, 34, 'D')) r("start", "end", entity_type)""")
+def overlap_resolution(spark, sf_dir):
+    """Containment, trimming of the shorter span, and the higher score of equal spans."""
+    rows = [(0, 10, "A", 0.5), (2, 6, "B", 0.9), (12, 20, "A", 0.6), (16, 22, "B", 0.9), (30, 34, "C", 0.5), (30, 34, "D", 0.7)]
+    df = spark.createDataFrame([(1, [dict(start=a, end=b, entity_type=t, score=x, recognizer_name="r") for a, b, t, x in rows])], "id int, spans array<struct<start:int,end:int,entity_type:string,score:double,recognizer_name:string>>")
+    return df.select(F.explode(normalize_overlaps(F.col("spans"))).alias("s")).select("s.start", "s.end", "s.entity_type")
+
+
+@query(f"""select conv_id, turn, role, len(regexp_extract_all(text, '{SQL_EMAIL}'))::int emails, len(regexp_extract_all(text, '{SQL_PHONE}'))::int phones from conversations""")
+def conversation_pii(spark, sf_dir):
+    df = read_table(spark, sf_dir, "conversations")
+    n = lambda r: F.size(X.matches("text", r.pattern))
+    return df.select("conv_id", "turn", "role", n(EMAIL).alias("emails"), n(PHONE).alias("phones"))
+
+
+@query(r"select regexp_extract(url, '^https?://([^/:?#]+)', 1) as host, count(*) n, count(distinct url) urls from pages group by 1")
+def page_url_hosts(spark, sf_dir):
+    host = F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)
+    return read_table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"))
+
+
+# Anonymization --------------------------------------------------------------------------------
+
+
+def _rewritten(spark, sf_dir, policy: A.Policy) -> DataFrame:
+    out = process_text(_docs(spark, sf_dir), {"DEFAULT": policy}, recognizers=[EMAIL], entities=["EMAIL_ADDRESS"])
+    return out.select("doc_id", F.col("anonymized").alias("text"))
+
+
+@query(f"select doc_id, regexp_replace(text, '{SQL_EMAIL}', '', 'g') as text from documents")
+def redact_text(spark, sf_dir):
+    return _rewritten(spark, sf_dir, A.Policy("redact"))
+
+
+@query(f"select doc_id, regexp_replace(text, '{SQL_EMAIL}', '[mail]', 'g') as text from documents")
+def replace_text(spark, sf_dir):
+    return _rewritten(spark, sf_dir, A.Policy("replace", {"new_value": "[mail]"}))
+
+
+@query(f"""select doc_id, value as original, '####' || substr(value, 5) as masked from ({spans_sql(SQL_EMAIL)})""")
+def mask_values(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), EMAIL, "doc_id").select("doc_id", F.col("value").alias("original"), A.mask(F.col("value"), "#", 4).alias("masked"))
+
+
+@query(f"select doc_id, sha256('pepper' || value) as hashed from ({spans_sql(SQL_EMAIL)})")
+def hash_values(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), EMAIL, "doc_id").select("doc_id", A.hash_value(F.col("value"), "pepper").alias("hashed"))
+
+
+@query("select doc_id, text from documents")
+def keep_text(spark, sf_dir):
+    return _rewritten(spark, sf_dir, A.Policy("keep"))
+
+
+@query(f"select doc_id, value as original from ({spans_sql(SQL_EMAIL)})")
+def encrypt_round_trip(spark, sf_dir):
+    key = "0123456789abcdef"
+    return _spans(_docs(spark, sf_dir), EMAIL, "doc_id").select("doc_id", A.decrypt(A.encrypt(F.col("value"), key), key).alias("original"))
+
+
+@query(f"""select doc_id, regexp_replace(regexp_replace(text, '{SQL_EMAIL}', '<EMAIL_ADDRESS>', 'g'), '{SQL_HEX}', '<ID_NUMBER>', 'g') as text from documents""")
+def multi_type_replace(spark, sf_dir):
+    out = process_text(_docs(spark, sf_dir), {"DEFAULT": A.REPLACE}, recognizers=[EMAIL, HEX], entities=["EMAIL_ADDRESS", "ID_NUMBER"])
+    return out.select("doc_id", F.col("anonymized").alias("text"))
+
+
+_DATE_MOVE = """(select case when ('0x' || substr(h, 1, 1))::int >= 8 then d else -d end m from (select h, 730 + ('0x' || substr(h, 2, 15))::bigint % 1096 d from (select sha256('date' || chr(0) || 'corpus') h)))"""
+
+
+@query(f"select o_orderkey, strftime(o_orderdate::date + m::int, '%Y-%m-%d') as shifted from orders, {_DATE_MOVE}")
+def date_shift(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", S.shift_date(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("corpus"), F.lit(0)).alias("shifted"))
+
+
+@query("""select c_custkey, list_aggregate(list_transform(range(1, length(v) + 1), lambda i: case
+    when regexp_matches(substr(v, i, 1), '[0-9]') then (('0x' || substr(sha256('salt' || c_name || chr(0) || (i - 1)), 1, 15))::bigint % 10)::varchar
+    when regexp_matches(substr(v, i, 1), '[a-z]') then chr((('0x' || substr(sha256('salt' || c_name || chr(0) || (i - 1)), 1, 15))::bigint % 26 + 97)::int)
+    when regexp_matches(substr(v, i, 1), '[A-Z]') then chr((('0x' || substr(sha256('salt' || c_name || chr(0) || (i - 1)), 1, 15))::bigint % 26 + 65)::int)
+    else substr(v, i, 1) end), 'string_agg', '') as shaped from (select c_custkey, c_name, c_name v from customer)""")
+def hips_reshape(spark, sf_dir):
+    """Customer names with other digits and letters in the same places."""
+    return read_table(spark, sf_dir, "customer").select("c_custkey", S.reshape(F.col("c_name"), F.concat(F.lit("salt"), F.col("c_name"))).alias("shaped"))
+
+
+@query(None)
+def hips_text(spark, sf_dir):
+    """All pattern types rewritten with surrogates that avoid the document's originals; leaks must be none."""
+    out = process_text(_docs(spark, sf_dir), recognizers=P.PATTERNS, salt=F.concat(F.lit("corpus-"), F.col("doc_id").cast("string")))
+    return out.select("doc_id", F.size("spans").alias("n_spans"), F.sha2(F.coalesce("anonymized", F.lit("")), 256).alias("text_sha"), F.size("leaks").alias("leaks"))
+
+
+# Mapping store --------------------------------------------------------------------------------
+
+
+def _short(entity_type, original, attempt):
+    return F.substring(F.sha2(F.concat_ws("|", entity_type, original, attempt.cast("string")).cast("binary"), 256), 1, 16)
+
+
+@query("select c_name as original, substr(sha256('PERSON|' || c_name || '|0'), 1, 16) as pseudonym, c_name as reversed from customer")
+def pseudonym_map(spark, sf_dir):
+    """Minting for every customer, then back again."""
+    people = read_table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original"), F.col("c_custkey").alias("ord"))
+    named, grown = M.get_or_create(people, M.empty(spark), _short)
+    back = M.reverse(named.select("entity_type", "pseudonym", F.col("original").alias("_o")), grown)
+    return back.select(F.col("_o").alias("original"), "pseudonym", F.col("original").alias("reversed"))
+
+
+@query("select c_name as original, 'shared' || case when c_custkey = 0 then '' else '-' || c_custkey end as pseudonym from customer where c_custkey <= 50")
+def pseudonym_collisions(spark, sf_dir):
+    """All draw the same candidate: the first keeps it, the others get suffixes in order."""
+    people = read_table(spark, sf_dir, "customer").where("c_custkey <= 50").select(F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original"), F.col("c_custkey").alias("ord"))
+    return M.mint(people, M.empty(spark), lambda t, o, k: F.lit("shared")).select("original", "pseudonym")
+
+
+# Blocks ---------------------------------------------------------------------------------------
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    """The lines of documents as segments; two lines make a block, joined by a space."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seg_ord", "text"))
+    return lines.select("doc_id", "seg_ord", F.concat(F.lit("line"), F.col("seg_ord").cast("string")).alias("segment_id"), "text", F.floor(F.col("seg_ord") / 2).cast("string").alias("block"), F.lit(" ").alias("join_before"))
+
+
+_LINES = "(select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 seg_ord from documents)"
+
+
+@query(f"select doc_id, min(seg_ord)::int block_ord, string_agg(text, ' ' order by seg_ord) as text, count(*)::int segments from {_LINES} group by doc_id, seg_ord // 2")
+def block_join(spark, sf_dir):
+    return B.join_blocks(_segments(spark, sf_dir)).select("doc_id", "block_ord", "text", F.size("segs").alias("segments"))
+
+
+@query(f"""with b as (select doc_id, seg_ord // 2 k, string_agg(text, ' ' order by seg_ord) as text, first(length(text) order by seg_ord) n0 from {_LINES} group by all),
+s as ({spans_sql("[a-z]+ [A-Z][a-z]+", "b", "doc_id, k, n0")})
+select doc_id, (2 * k)::int block_ord, "start" || '-' || "end" as at, 'line' || (2 * k) segment_id, "start" piece_start, least("end", n0)::int piece_end from s where "start" < n0
+union all select doc_id, (2 * k)::int, "start" || '-' || "end", 'line' || (2 * k + 1), greatest("start" - n0 - 1, 0)::int, ("end" - n0 - 1)::int from s where "end" > n0 + 1""")
+def block_projection(spark, sf_dir):
+    """Spans of joined blocks as pieces of their lines."""
+    blocks = B.join_blocks(_segments(spark, sf_dir))
+    pattern = "[a-z]+ [A-Z][a-z]+"
+    found = blocks.withColumn("_m", X.matches("text", pattern)).where(F.size("_m") > 0).select("doc_id", "block_ord", "segs", F.explode(X.spans_of("text", F.col("_m"), pattern)).alias("s"))
+    each = found.select("doc_id", "block_ord", F.concat_ws("-", "s.start", "s.end").alias("at"), F.explode(B.pieces_of(F.col("segs"), F.col("s.start"), F.col("s.end"))).alias("p"))
+    return each.select("doc_id", "block_ord", "at", "p.segment_id", F.col("p.start").alias("piece_start"), F.col("p.end").alias("piece_end"))
+
+
+@query(r"select doc_id, regexp_replace(text, '[A-Z]{2,}', '_', 'g') as text from documents")
+def splice_edits(spark, sf_dir):
+    pattern = "[A-Z]{2,}"
+    df = _docs(spark, sf_dir).withColumn("_m", X.matches("text", pattern))
+    edits = F.transform(X.spans_of("text", F.col("_m"), pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("_").alias("replacement")))
+    return df.select("doc_id", X.splice("text", edits).alias("text"))
+
+
+@query(None)
+def detect_document_blocks(spark, sf_dir):
+    """Findings of all documents with roles and propagation across blocks, on their lines."""
+    found = B.detect_blocks(_segments(spark, sf_dir))
+    return found.select("doc_id", "block_ord", "start", "end", "entity_type", "original", F.size("pieces").alias("pieces"))
+
+
+# Roles and propagation ------------------------------------------------------------------------
+
+_ROLE_TEXTS = [(1, 'Acme Ltd (the "Supplier") and Bolt ("Bolt") agree.'), (1, '"Confidential Information" means all data.'), (2, "(each a “Lending Party”) (hereinafter referred to as \"the Fund\")")]
+
+
+@query("select * from (values (1, 'confidential information'), (1, 'supplier'), (2, 'fund'), (2, 'lending party')) t(doc_id, term)")
+def defined_terms_found(spark, sf_dir):
+    texts = spark.createDataFrame(_ROLE_TEXTS, "doc_id int, text string")
+    return defined_terms(texts).select("doc_id", F.explode("defined").alias("term"))
+
+
+@query("""select * from (values ('PERSON', 'the Parties', true), ('PERSON', 'Mark Price', false), ('ORGANIZATION', 'Legal Department', true), ('PERSON', 'Q2', true),
+('ORGANIZATION', 'Acme', false), ('LOCATION', 'the Board', false), ('PERSON', 'Lenders', true), ('PERSON', 'Lead’s', true)) t(entity_type, "value", role)""")
+def role_terms(spark, sf_dir):
+    rows = [("PERSON", "the Parties"), ("PERSON", "Mark Price"), ("ORGANIZATION", "Legal Department"), ("PERSON", "Q2"), ("ORGANIZATION", "Acme"), ("LOCATION", "the Board"), ("PERSON", "Lenders"), ("PERSON", "Lead’s")]
+    return spark.createDataFrame(rows, "entity_type string, value string").withColumn("role", is_role_term(F.col("entity_type"), F.col("value")))
+
+
+@query("""select * from (values ('mark price', 'PERSON', 0.8, 'Mark Price'), ('mark', 'PERSON', 0.8, 'Mark'), ('price', 'PERSON', 0.8, 'PRICE|Price'), ('price ltd', 'ORGANIZATION', 0.7, 'PRICE Ltd'),
+('verdana pharma', 'ORGANIZATION', 0.9, 'Verdana Pharma'), ('verdana', 'ORGANIZATION', 0.9, 'Verdana')) t(key, entity_type, score, forms)""")
+def seeds_of_findings(spark, sf_dir):
+    rows = [("PERSON", "Mark Price", 0.8), ("ORGANIZATION", "PRICE Ltd", 0.7), ("ORGANIZATION", "Verdana Pharma", 0.9)]
+    spans = [dict(entity_type=t, text_span=x, score=s) for t, x, s in rows]
+    df = spark.createDataFrame([(spans,)], "spans array<struct<entity_type:string,text_span:string,score:double>>")
+    return df.select(F.explode(seeds_from(candidates(F.col("spans")))).alias("s")).select("s.key", "s.entity_type", "s.score", F.array_join(F.array_sort("s.forms"), "|").alias("forms"))
+
+
+# Leak check -----------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, value as original, count(*) as occurrences from ({spans_sql(SQL_EMAIL)}) group by all")
+def leak_counts(spark, sf_dir):
+    """How often each e-mail address of a document stands in it, by the leak check's rules."""
+    docs = _docs(spark, sf_dir)
+    originals = _spans(docs, EMAIL, "doc_id").select("doc_id", F.col("value").alias("original"))
+    return L.surviving_rows(docs, originals).select("doc_id", "original", F.col("occurrences").cast("long").alias("occurrences"))
+
+
+# Review ---------------------------------------------------------------------------------------
+
+
+def _proposals(spark, sf_dir) -> DataFrame:
+    found = raw_spans(_docs(spark, sf_dir), recognizers=[EMAIL, IPV4])
+    rows = detections(found, "doc_id", "text").withColumn("text_span", F.expr("substring(text, start + 1, end - start)"))
+    order = W.partitionBy("doc_id").orderBy("start", "end")
+    return R.propose_spans(rows.select(F.col("doc_id").cast("string").alias("session_id"), (F.row_number().over(order) - 1).alias("ord"), F.lit("t").alias("segment_id"), "start", "end", "entity_type", "score", "text_span"))
+
+
+_PROPOSALS = f"""(select doc_id::varchar session_id, "start", "end", value, entity_type, (row_number() over (partition by doc_id order by "start", "end") - 1)::int ord,
+  substr(sha1(entity_type || chr(0) || value || chr(0) || 't:' || "start"), 1, 12) detection_id
+  from {ALL_SPANS} where entity_type in ('EMAIL_ADDRESS', 'IP_ADDRESS'))"""
+
+
+@query(f'select session_id, ord, detection_id, entity_type, value as original, "start", "end" from {_PROPOSALS}')
+def detection_ids(spark, sf_dir):
+    return _proposals(spark, sf_dir).select("session_id", "ord", "detection_id", "entity_type", "original", "start", "end")
+
+
+def _decisions(proposals: DataFrame) -> DataFrame:
+    """Every proposal is rejected first; those at even places are accepted afterwards."""
+    rows = proposals.select("session_id", "ord", "detection_id", F.explode(F.when(F.col("ord") % 2 == 0, F.array(F.lit("reject"), F.lit("accept"))).otherwise(F.array(F.lit("reject")))).alias("status"))
+    null = lambda t: F.lit(None).cast(t)
+    return rows.select(
+        "session_id", (F.col("ord") * 2 + (F.col("status") == "accept").cast("int")).alias("ord"), F.lit("proposal").alias("kind"), F.col("detection_id").alias("proposal_id"), "status", null("string").alias("id"), null("string").alias("segment_anchor"),
+        null("string").alias("entity_type"), null("string").alias("original"), null("int").alias("start"), null("int").alias("end"), null("string").alias("operator"), null("map<string,string>").alias("operator_params"), null("string").alias("custom_replacement"),
+    )
+
+
+def _sessions(spark, sf_dir) -> DataFrame:
+    created = F.timestamp_seconds(F.col("doc_id") + 1_700_000_000)
+    return _docs(spark, sf_dir, "doc_id").select(F.col("doc_id").cast("string").alias("session_id"), F.lit("open").alias("status"), F.lit("replace").alias("default_operator"), F.lit(None).cast("map<string,string>").alias("default_operator_params"), created.alias("created_at"), F.lit(None).cast("timestamp").alias("committed_at"), F.lit("s").alias("salt"))
+
+
+@query(f"select session_id, detection_id as proposal_id, case when ord % 2 = 0 then 'accept' else 'reject' end as status from {_PROPOSALS}")
+def decisions_latest(spark, sf_dir):
+    proposals = _proposals(spark, sf_dir)
+    return R.effective_decisions(_decisions(proposals), proposals).select("session_id", "proposal_id", "status")
+
+
+@query(f"""select session_id, detection_id, "start", "end" from {_PROPOSALS} where not ("start" < 900 and "end" > 300)""")
+def overlap_purge(spark, sf_dir):
+    """A reviewer marks characters 300 to 900 of every document: what overlaps goes."""
+    proposals = _proposals(spark, sf_dir)
+    marks = proposals.select("session_id").distinct().select("session_id", F.lit("t").alias("segment_anchor"), F.lit(300).alias("start"), F.lit(900).alias("end"))
+    return R.purge_overlaps(proposals, marks)[0].select("session_id", "detection_id", "start", "end")
+
+
+@query(f"""select d.doc_id::varchar session_id, coalesce(count_if(ord % 2 = 0), 0)::bigint accepted, coalesce(count_if(ord % 2 = 1), 0)::bigint rejected, 0::bigint pending from documents d left join {_PROPOSALS} p on p.session_id = d.doc_id::varchar group by 1""")
+def session_index(spark, sf_dir):
+    proposals = _proposals(spark, sf_dir)
+    out = R.session_index(_sessions(spark, sf_dir), proposals, _decisions(proposals))
+    return out.select("session_id", *[F.col(c).cast("long").alias(c) for c in ("accepted", "rejected", "pending")])
+
+
+@query(f"""with a as (select *, lag("end", 1, 0) over (partition by session_id order by ord) prev from {_PROPOSALS} where ord % 2 = 0),
+t as (select d.doc_id::varchar session_id, text, string_agg(substr(text, prev + 1, a."start" - prev) || '<' || entity_type || '>', '' order by ord) head, max("end") last from documents d left join a on a.session_id = d.doc_id::varchar group by all)
+select session_id, sha256(coalesce(coalesce(head, '') || substr(text, coalesce(last, 0) + 1), '')) as text_sha from t""")
+def review_commit(spark, sf_dir):
+    """Accepted proposals replaced in their documents, the rest as it was."""
+    proposals, docs = _proposals(spark, sf_dir), _docs(spark, sf_dir)
+    segments = docs.select(F.col("doc_id").cast("string").alias("session_id"), F.lit("t").alias("segment_id"), "text")
+    edits = R.plan_edits(segments, proposals, _decisions(proposals), _sessions(spark, sf_dir))
+    return R.apply_edits(segments, edits).select("session_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"))
+
+
+# Evaluation -----------------------------------------------------------------------------------
+
+
+def _truth_and_predictions(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    numbers = P.Recognizer("n", "NUM", r"\b[0-9]{2,}\b", 0.5)
+    longer = P.Recognizer("n", "NUM", r"\b[0-9]{3,}\b|\b[0-9]\b", 0.5)
+    rows = lambda r: _spans(docs, r, "doc_id").select("doc_id", F.when(F.length("value") % 2 == 0, "EVEN").otherwise("ODD").alias("entity_type"), "start", "end", F.lit(0.5).alias("score"))
+    return rows(numbers), rows(longer)
+
+
+_NUMBERS = r"""(select doc_id, "start", "end", case when length(value) % 2 = 0 then 'EVEN' else 'ODD' end entity_type from ({}))"""
+
+
+@query(f"""with t as (select * from {_NUMBERS.format(spans_sql(r"\b[0-9]{2,}\b"))}), p as (select * from {_NUMBERS.format(spans_sql(r"\b[0-9]{3,}\b|\b[0-9]\b"))}),
+c as (select coalesce(t.entity_type, p.entity_type) entity_type, count_if(t.doc_id is not null and p.doc_id is not null)::bigint tp, count_if(t.doc_id is null)::bigint fp, count_if(p.doc_id is null)::bigint fn
+  from t full join p on t.doc_id = p.doc_id and t."start" = p."start" and t."end" = p."end" and t.entity_type = p.entity_type group by 1),
+r as (select *, case when tp + fp = 0 then 0.0 else tp / (tp + fp)::double end as "precision", case when tp + fn = 0 then 0.0 else tp / (tp + fn)::double end recall from c)
+select *, case when "precision" + recall = 0 then 0.0 else 2 * "precision" * recall / ("precision" + recall) end f1 from r""")
+def scorer_exact(spark, sf_dir):
+    return E.metrics(E.counts(*_truth_and_predictions(spark, sf_dir)), "entity_type")
+
+
+@query(None)
+def scorer_overlap(spark, sf_dir):
+    return E.metrics(E.counts(*_truth_and_predictions(spark, sf_dir), mode="overlap"), "entity_type")
