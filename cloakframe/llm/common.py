@@ -7,10 +7,6 @@ exactly ``bytes.lower()``.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakframe.sources.scratch import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -25,29 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="cloakframe-")
-        atexit.register(shutil.rmtree, named, True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; NULL ids give NULL."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
@@ -177,3 +154,28 @@ def append_from_text(df: DataFrame, fields: str, compute: Callable[[list[bytes]]
                 yield pa.RecordBatch.from_arrays(own + new, names=[f.name for f in kept] + arrow.names)
 
     return df.mapInArrow(run, T.StructType([*kept, *added]))
+
+
+def pack(text: bytes) -> bytes:
+    """A text compressed for a shuffle (zstd, after its length)."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def with_packed(df: DataFrame, text: str) -> DataFrame:
+    """df with its text column as packed bytes (NULL stays NULL)."""
+    from pyspark.sql import types as T
+
+    names = df.columns
+    at = names.index(text)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(df.schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [None if x is None else pack(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()) if i == at else batch.column(i) for i in range(batch.num_columns)], names=names)
+
+    return df.mapInArrow(run, schema)
