@@ -81,12 +81,27 @@ class FMIndex:
         g = self.short[lo]
         return self.short_at[g], self.short_at[g + 1]
 
+    def _shortened(self, symbols: np.ndarray, at: np.ndarray, most: np.ndarray):
+        """The longest match of at most ``most`` symbols from each position on: (lo, hi, length)."""
+        lo, hi, length = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64), np.zeros(len(at), np.int64)
+        open_ = np.arange(len(at))
+        for size in range(int(most.max()), 0, -1):
+            own = open_[most[open_] >= size]
+            a, b = np.zeros(len(own), np.int64), np.full(len(own), self.n, np.int64)
+            for j in range(size - 1, -1, -1):
+                a, b = self.extend(symbols[at[own] + j].astype(np.uint32), a, b)
+                b = np.maximum(a, b)
+            hit = own[b > a]
+            lo[hit], hi[hit], length[hit] = a[b > a], b[b > a], size
+            open_ = open_[length[open_] == 0]
+        return lo, hi, length
+
     def matching(self, symbols: np.ndarray, first: np.ndarray, count: np.ndarray):
         """Matching statistics of streamed sequences, cut off at depth: yields (starts, rows, lo, hi)
         for the positions whose longest match reaches depth.
 
-        symbols holds the sequences; sequence i is symbols[first[i]: first[i] + count[i]].  A sequence
-        whose match breaks off starts anew before the position where it broke.
+        symbols holds the sequences; sequence i is symbols[first[i]: first[i] + count[i]].  A match that
+        can't be extended is shortened at its end until it can.
         """
         order = np.argsort(-count, kind="stable")
         first, count = first[order], count[order]
@@ -101,9 +116,10 @@ class FMIndex:
                 lo[cut], hi[cut] = self.drop_last(lo[cut])
                 length[cut] -= 1
             new_lo, new_hi = self.extend(symbols[at].astype(np.uint32), lo, hi)
-            broken = new_lo >= new_hi
-            lo, hi = np.where(broken, 0, new_lo), np.where(broken, self.n, new_hi)
-            length = np.where(broken, 0, length + 1)
+            broken = np.flatnonzero(new_lo >= new_hi)
+            lo, hi, length = new_lo, new_hi, length + 1
+            if len(broken):
+                lo[broken], hi[broken], length[broken] = self._shortened(symbols, at[broken], length[broken] - 1)
             full = np.flatnonzero(length == self.depth)
             if len(full):
                 yield at[full], order[full], lo[full], hi[full]
