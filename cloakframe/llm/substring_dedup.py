@@ -1,7 +1,7 @@
 """Substring deduplication with an FM-index per shard and streamed matching statistics.
 
 A window is 13 consecutive words; a word goes if a window over it also starts in a document of a
-smaller id.  Equal windows have the same minimiser (the least hash of their 5-word grams), so:
+smaller id.  Equal windows have the same minimiser (the least hash of their 4-word grams), so:
 
 1. Each document's minimisers are sorted by (minimiser, id) over range partitions, which a hot one
    may span; those with a neighbour of another document survive (a superset, decided locally).
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import Words, chunks, grams, mix, table, written
+from cloakframe.llm.common import Words, chunks, grams, mix, table, unpack, with_packed, written
 from cloakframe.llm.fm_index import FMIndex
 
 WINDOW = 13
-GRAM = 5
+GRAM = 4
 HOT_PLACES = 2000
+#: Shortest run of one anchor in a partition whose length is reported.
+_RUN = 256
 #: Most windows in a segment, and about the most words in an index.
 SEGMENT_WINDOWS = 64
 BLOCK_WORDS = 400_000
@@ -73,48 +75,57 @@ def _minimiser_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose anchor also occurs in another document; at a partition's ends, all."""
+    """(anchor, doc_id, run): rows whose anchor also occurs in another document, run 0; at a partition's
+    ends, all.  Long runs of an anchor, and those at a partition's ends, also give a row without doc_id.
+    """
+
+    def emit(anchor: np.ndarray, doc: np.ndarray, edges: bool) -> pa.RecordBatch:
+        new = np.ones(len(anchor), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(anchor)))
+        differ = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+        report = size >= _RUN
+        if edges:
+            differ[[0, -1]] = report[[0, -1]] = True
+        keep = np.repeat(differ, size)
+        n = int(report.sum())
+        ids = pa.concat_arrays([pa.array(doc[keep]), pa.nulls(n, pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.append(anchor[keep], anchor[at[report]])), ids, pa.array(np.append(np.zeros(int(keep.sum()), np.int64), size[report]))], names=["anchor", "doc_id", "run"])
 
     def run(batches):
-        anchor = doc = np.zeros(0, np.int64)  # the last row, not yet decided
-        kept = np.zeros(0, bool)
-        first = True
+        anchor = doc = np.zeros(0, np.int64)
+        edges = True
         for batch in batches:
             if not batch.num_rows:
                 continue
             anchor, doc = np.append(anchor, batch.column(0).to_numpy()), np.append(doc, batch.column(1).to_numpy())
-            same = (anchor[1:] == anchor[:-1]) & (doc[1:] != doc[:-1])
-            keep = np.zeros(len(anchor), bool)
-            keep[: len(kept)] |= kept
-            keep[1:] |= same
-            keep[:-1] |= same
-            # the same document again: decided like the one before it
-            again = np.flatnonzero((anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1])) + 1
-            keep[again] = True
-            keep[0] |= first
-            first = False
-            out = keep[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[:-1][out]), pa.array(doc[:-1][out])], names=["anchor", "doc_id"])
-            anchor, doc, kept = anchor[-1:], doc[-1:], keep[-1:]
+            cut = int(np.searchsorted(anchor, anchor[-1]))
+            if not cut and len(anchor) > 1_000_000:  # one anchor goes on and on: its parts are runs of their own
+                cut, edges = len(anchor), True
+            if cut:
+                yield emit(anchor[:cut], doc[:cut], edges)
+                anchor, doc, edges = anchor[cut:], doc[cut:], cut == len(anchor)
         if len(anchor):
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc)], names=["anchor", "doc_id"])
+            yield emit(anchor, doc, True)
 
-    return rows.repartitionByRange("anchor", "doc_id").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, "anchor bigint, doc_id bigint")
+    return rows.repartitionByRange("anchor", "doc_id").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, "anchor bigint, doc_id bigint, run bigint")
 
 
 def _segments(w: Words, anchors: list, hot: list, window: int, gram: int):
     """(route, hash, first window, windows, text) of each segment of the texts of w."""
     at, m = window_minimisers(w, window, gram)
     own = w.text[at]
-    signed = m.view(np.int64)
-    take, alone = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    edge = np.searchsorted(own, np.arange(len(anchors) + 1))
-    for i, (a, h) in enumerate(zip(anchors, hot, strict=True)):
-        if a is not None and len(a) and edge[i] < edge[i + 1]:
-            part = slice(edge[i], edge[i + 1])
-            take[part] = np.isin(signed[part], a)
-            if len(h):
-                alone[part] = np.isin(signed[part], h)
+    salt = mix(np.arange(len(anchors), dtype=np.uint64))
+
+    def among(lists: list) -> np.ndarray:
+        sizes = [0 if x is None else len(x) for x in lists]
+        if not sum(sizes):
+            return np.zeros(len(at), bool)
+        wanted = np.concatenate([x for x in lists if x is not None and len(x)]).view(np.uint64) ^ np.repeat(salt, sizes)
+        return np.isin(m ^ salt[own], wanted, kind="sort")
+
+    take, alone = among(anchors), among(hot)
     pick = np.flatnonzero(take)
     at, m, own, alone = at[pick], m[pick], own[pick], alone[pick]
     if not len(at):
@@ -143,10 +154,10 @@ def _cut(joined: DataFrame, window: int, gram: int, places: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            texts = [unpack(x) if x and y else None for x, y in zip(batch.column(2).to_pylist(), batch.column(3).is_valid().to_pylist(), strict=True)]
             anchors = [None if x is None else np.asarray(x, np.int64) for x in batch.column(3).to_pylist()]
             hot = [np.asarray(x or [], np.int64) for x in batch.column(4).to_pylist()]
-            rows = [i for i, a in enumerate(anchors) if a is not None and texts[i]]
+            rows, held = [i for i, a in enumerate(anchors) if a is not None and texts[i]], []
             for lo, hi in chunks([len(texts[i]) + 1 for i in rows], _CHUNK_BYTES):
                 some = rows[lo:hi]
                 w = Words([texts[i] for i in some])
@@ -166,11 +177,20 @@ def _cut(joined: DataFrame, window: int, gram: int, places: bool) -> DataFrame:
                 heads, last = order[new], order[np.append(np.flatnonzero(new)[1:], len(order)) - 1]
                 begin, end = w.start[first[heads]], w.end[first[heads] + size[heads] + window - 2]
                 text = [b" ".join(w.data[a:b].split()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                held.append((route[heads], h[heads], np.array(text, object), doc[heads], doc[last]))
+            if held:
+                route, h, text, least, most = (np.concatenate(c) for c in zip(*held, strict=True))
+                order = np.lexsort((h, route))
+                new = np.ones(len(order), bool)
+                new[1:] = (route[order][1:] != route[order][:-1]) | (h[order][1:] != h[order][:-1])
+                at = np.flatnonzero(new)
+                heads = order[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(route[heads]), pa.array(h[heads]), pa.array(text, pa.binary()).cast(pa.string()), pa.array(doc[heads]), pa.array(doc[last])], names=["route", "h", "seg", "least", "most"]
+                    [pa.array(route[heads]), pa.array(h[heads]), pa.array(text[heads].tolist(), pa.binary()).cast(pa.string()), pa.array(np.minimum.reduceat(least[order], at)), pa.array(np.maximum.reduceat(most[order], at))],
+                    names=["route", "h", "seg", "least", "most"],
                 )
 
-    schema = "route bigint, h bigint, doc_id bigint, key bigint, pos int" if places else "route bigint, h bigint, seg string, least bigint, most bigint"
+    schema = "route bigint, h bigint, doc_id bigint, key int, pos int" if places else "route bigint, h bigint, seg string, least bigint, most bigint"
     return joined.mapInArrow(run, schema)
 
 
@@ -236,12 +256,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text",
     """docs with text as its kept words joined by one space, n_words and n_removed."""
     gram = max(1, min(GRAM, window // 2))
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", text).alias("_key"), F.col(text).alias("text"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("doc_id", text).alias("_key"), F.col(text).alias("text"))
     hits = written(_shared(_minimiser_rows(base, window, gram)), "anchors")
-    hot = hits.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_places).select(F.col("anchor").alias("_hot"))
-    marked = hits.join(hot, F.col("anchor") == F.col("_hot"), "left")
+    runs = hits.where("doc_id is null").groupBy("anchor").agg(F.sum("run").alias("_n")).where(F.col("_n") > hot_places)
+    hot = written(runs.select(F.col("anchor").alias("_hot")), "hot")
+    marked = hits.where("doc_id is not null").join(hot, F.col("anchor") == F.col("_hot"), "left")
     lists = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("anchor").alias("_anchors"), F.collect_set("_hot").alias("_hot"))
-    joined = base.join(lists, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "_key", "text", "_anchors", "_hot")
+    packed = with_packed(base, "text")
+    joined = packed.join(lists, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "_key", "text", "_anchors", "_hot")
 
     mins = _indexed(_cut(joined, window, gram, False), window, block_words)
     places = _cut(joined, window, gram, True)
@@ -249,17 +271,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text",
         "doc_id", "key", F.filter(F.transform("mins", lambda m, i: F.when(m < F.col("doc_id"), F.col("pos") + i)), lambda x: x.isNotNull()).alias("at")
     ).where(F.size("at") > 0)
     starts = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("key", "at")).alias("_starts"))
-    full = docs.select(*[F.col(c) for c in kept], F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("doc_id", text).alias("_key"))
-    if set(kept) == {"doc_id", text}:
-        full = base.select(*[F.col("text").alias(text) if c == text else F.col(c) for c in kept], F.col("doc_id").alias("_doc"), "_key")
+    full = with_packed(docs.select(*kept, F.col("doc_id").cast("bigint").alias("_doc"), F.hash("doc_id", text).alias("_key")), text)
+    if set(kept) == {"doc_id", text}:  # then one exchange of the texts serves both joins
+        full = packed.select(*[F.col("text").alias(text) if c == text else F.col(c) for c in kept], F.col("doc_id").alias("_doc"), "_key")
     both = full.join(starts, F.col("_doc") == F.col("_id"), "left").select(*kept, "_key", "_starts")
-    at, schema = kept.index(text), T.StructType([*both.select(*kept).schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    at, schema = kept.index(text), T.StructType([*docs.select(*kept).schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches):
         for batch in batches:
             texts, words, gone = [], [], []
             keys = batch.column(len(kept)).to_pylist()
-            for x, key, lists in zip(batch.column(at).cast(pa.binary()).to_pylist(), keys, batch.column(len(kept) + 1).to_pylist(), strict=True):
+            for z, key, lists in zip(batch.column(at).to_pylist(), keys, batch.column(len(kept) + 1).to_pylist(), strict=True):
+                x = None if z is None else unpack(z)
                 own = (x or b"").split()
                 drop = np.zeros(len(own) + 1, np.int32)
                 for s in lists or []:
@@ -273,8 +296,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text",
                     gone[-1] = int(len(own) - stay.sum())
                     own = [own[i] for i in np.flatnonzero(stay)]
                 texts.append(None if x is None else b" ".join(own))
-            kind = batch.column(at).type
-            out = [pa.array(texts, pa.binary()).cast(kind) if i == at else batch.column(i) for i in range(len(kept))]
+            out = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*out, pa.array(words, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "n_words", "n_removed"])
 
     return both.mapInArrow(run, schema)
