@@ -98,15 +98,19 @@ def surrogate(entity_type: Column, original: Column, salt: Column, avoid: Column
     from cloakframe.operators.leak import matcher
 
     own = matcher(X.normalize_ws(original))
-    first = draw(entity_type, original, salt, F.lit(0))
 
     def clean(value: Column) -> Column:
         flat = X.normalize_ws(value)
         hit = F.coalesce(F.regexp_count(flat, own) > 0, F.lit(False))
         return ~hit if avoid is None else ~hit & ~F.coalesce(F.regexp_count(flat, avoid) > 0, F.lit(False))
 
-    more = F.filter(F.transform(F.sequence(F.lit(1), F.lit(MAX_ATTEMPTS - 1)), lambda i: draw(entity_type, original, salt, i)), clean)
-    return F.when(clean(first), first).otherwise(F.coalesce(F.get(more, F.lit(0)), draw(entity_type, original, salt, F.lit(MAX_ATTEMPTS - 1))))
+    def step(acc: Column, attempt: Column) -> Column:
+        # the one-element array names the draw, so that it is made once and the expression stays small
+        tried = F.transform(F.array(draw(entity_type, original, salt, attempt)), lambda v: F.struct(clean(v).alias("ok"), v.alias("value")))
+        return F.when(acc["ok"], acc).otherwise(F.get(tried, F.lit(0)))
+
+    begin = F.struct(F.lit(False).alias("ok"), F.lit(None).cast("string").alias("value"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), begin, step, lambda acc: acc["value"])
 
 
 def pseudonym_candidate(entity_type: Column, original: Column, attempt: Column) -> Column:
