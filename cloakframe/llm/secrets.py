@@ -3,8 +3,8 @@
 Every version of a path is content-addressed by SHA-256.  The ledger holds one row per scanned
 (blob, rule, rule version) with the spans found; a run scans only distinct blobs, and of each only
 the rules whose pair is not in the ledger yet, and joins the findings back to all paths.  Distinct
-blobs are picked by partial aggregation (copies collapse before the shuffle); the join back is split
-by adaptive execution where one blob has very many paths.
+blobs are picked by partial aggregation (copies collapse before the shuffle).  Findings are written, and
+the join back is split by adaptive execution where one blob has very many paths.
 
 Offsets are code points.  They come from pairing all matches with the text between them.
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import table
+from cloakframe.llm.common import table, written
 
 
 @dataclass(frozen=True)
@@ -116,9 +116,9 @@ def scan_paths(versions: DataFrame, ledger: DataFrame | None = None, rules: list
         found = both.groupBy(F.col("blob").alias("_blob")).agg(F.collect_list(F.struct("kind", "version", "spans")).alias("found"))
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     flat = F.flatten(F.transform("found", lambda f: F.transform(f["spans"], lambda s: F.struct(s["s"].alias("start"), order[f["kind"]].alias("rank"), s["e"].alias("end"), f["kind"].alias("kind")))))
-    spans = found.select("_blob", F.array_sort(flat).alias("spans"))
+    spans = written(found.select("_blob", F.array_sort(flat).alias("spans")).where(F.size("spans") > 0), "findings")
     kept = [c for c in versions.columns if c.lower() not in ("spans", "_blob")]
-    return versions.select(*kept, blob_of(F.col(text)).alias("_blob")).join(spans, "_blob", "left")
+    return versions.select(*kept, blob_of(F.col(text)).alias("_blob")).join(spans, "_blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
