@@ -14,9 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.sources.scratch import shared_dir, written
-
-__all__ = ["shared_dir", "written"]
+from cloakframe.sources.scratch import written as written
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -35,24 +33,6 @@ def in_fold(doc_id: Column, parts: int, which: int) -> Column:
     return F.coalesce(fold(doc_id, parts) == which, F.lit(False))
 
 
-def map_texts(df: DataFrame, fn: Callable, schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow where fn(batch, texts) gets the batch and its texts as bytes (NULL: empty)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-                yield from fn(batch, [x or b"" for x in texts.to_pylist()])
-
-    return df.mapInArrow(run, schema)
-
-
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema
-    )
-
-
 def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive items whose sizes add up to about most; a larger item is alone."""
     start = total = 0
