@@ -11,10 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 16
-WINDOW = 24
-STREAMS = 128
+WINDOW = 16
+STREAMS = 512
 SCORE_WINDOW = 64
-LEARNING_RATE = 0.004
+LEARNING_RATE = 0.008
 
 Params = dict[str, np.ndarray]
 
@@ -49,31 +49,40 @@ def _step(p: Params, x: np.ndarray, h: np.ndarray):
     return n + z * (h - n), z, r, n, u[:, 2 * k :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def _exp_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the rows and their sums, in place; rows are shifted only where exp would overflow."""
+    if x.size and x.max() > 80:
+        x -= x.max(1, keepdims=True) - 80
+    np.exp(x, out=x)
+    return x, x.sum(1)
 
 
 def _softmax_loss(x: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, float]:
     """The gradient of the summed loss by the logits, and that loss."""
-    x -= x.max(1, keepdims=True)
     at = np.arange(len(x))
-    chosen = x[at, picked]
-    np.exp(x, out=x)
-    sums = x.sum(1, keepdims=True)
-    x /= sums
-    loss = float(np.log(sums).sum() - chosen.sum())
+    x, sums = _exp_sums(x)
+    loss = float((np.log(sums) - np.log(x[at, picked])).sum())
+    x /= sums[:, None]
     x[at, picked] -= 1
     return x, loss
 
 
+def _log_chosen(x: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    x, sums = _exp_sums(x)
+    return np.log(x[np.arange(len(x)), picked]) - np.log(sums)
+
+
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """ids in 16 bits where they fit: those are sorted by radix."""
+    return ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
+
+
 def _by_class(p: Params, ids: np.ndarray):
     """Class of each id, and (class, positions) for the classes of words that occur."""
     classes, size = p["w"].shape
     words = classes * size
     of = np.where(ids < words, ids // size, ids - words + classes)
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(_narrow(of), kind="stable")
     edge = np.searchsorted(of[order], np.arange(classes + 1))
     return of, [(c, order[edge[c] : edge[c + 1]]) for c in range(classes) if edge[c] < edge[c + 1]]
 
@@ -81,10 +90,10 @@ def _by_class(p: Params, ids: np.ndarray):
 def token_log_probs(p: Params, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural logs of P(class) and, for words, P(word | class)."""
     of, groups = _by_class(p, ids)
-    out = _log_softmax(h @ p["C"] + p["c"])[np.arange(len(ids)), of]
+    out = _log_chosen(h @ p["C"] + p["c"], of)
     size = p["w"].shape[1]
     for c, at in groups:
-        out[at] += _log_softmax(h[at] @ p["W"][c] + p["w"][c])[np.arange(len(at)), ids[at] % size]
+        out[at] += _log_chosen(h[at] @ p["W"][c] + p["w"][c], ids[at] % size)
     return out
 
 
@@ -155,7 +164,7 @@ def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, str
             dx[t] = np.concatenate([dz, dr, dm], 1)
             g["U"] += was.T @ du
             dh = (dh * z + du @ p["U"].T) * fresh[t]
-        flat_prev = prev.ravel()
+        flat_prev = _narrow(prev.ravel())
         order = np.argsort(flat_prev, kind="stable")
         rows, first = np.unique(flat_prev[order], return_index=True)
         g["E"] = np.zeros_like(p["E"])
@@ -167,7 +176,7 @@ def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, str
     return total / (length * streams)
 
 
-def score(p: Params, texts: list[np.ndarray], end: int, group: int = 256, window: int = SCORE_WINDOW) -> np.ndarray:
+def score(p: Params, texts: list[np.ndarray], end: int, group: int = 1024, window: int = SCORE_WINDOW) -> np.ndarray:
     """The natural log-likelihood of each whole text (ids, the end token last); state is carried throughout."""
     out = np.zeros(len(texts))
     k = p["U"].shape[0]
