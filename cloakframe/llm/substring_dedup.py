@@ -271,10 +271,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text",
         "doc_id", "key", F.filter(F.transform("mins", lambda m, i: F.when(m < F.col("doc_id"), F.col("pos") + i)), lambda x: x.isNotNull()).alias("at")
     ).where(F.size("at") > 0)
     starts = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("key", "at")).alias("_starts"))
-    full = with_packed(docs.select(*kept, F.col("doc_id").cast("bigint").alias("_doc"), F.hash("doc_id", text).alias("_key")), text)
-    if set(kept) == {"doc_id", text}:  # then one exchange of the texts serves both joins
-        full = packed.select(*[F.col("text").alias(text) if c == text else F.col(c) for c in kept], F.col("doc_id").alias("_doc"), "_key")
-    both = full.join(starts, F.col("_doc") == F.col("_id"), "left").select(*kept, "_key", "_starts")
+    if set(kept) == {"doc_id", text} and docs.schema["doc_id"].dataType == T.LongType():
+        # the same rows as above, so that one exchange of the texts serves both joins
+        both = packed.join(starts, F.col("doc_id") == F.col("_id"), "left").select(*[F.col("text").alias(text) if c == text else F.col(c) for c in kept], "_key", "_starts")
+    else:
+        full = with_packed(docs.select(*kept, F.col("doc_id").cast("bigint").alias("_doc"), F.hash("doc_id", text).alias("_key")), text)
+        both = full.join(starts, F.col("_doc") == F.col("_id"), "left").select(*kept, "_key", "_starts")
     at, schema = kept.index(text), T.StructType([*docs.select(*kept).schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches):
