@@ -87,26 +87,31 @@ class Model:
         return -np.expm1(-loss), t, 1 / (1 + np.exp(-z))
 
 
-def _counts(texts: list[bytes], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the texts and in how many toxic and other texts each occurs."""
-    keys = pos = neg = None
-    for lo, hi in chunks([len(x) + 1 for x in texts], 2_000_000):
+def _document_features(texts: list[bytes]):
+    """For chunks of the texts: (first text, features, texts), each pair of feature and text once."""
+    for lo, hi in chunks([len(x) + 1 for x in texts], 1_000_000):
         t = Tokens(texts[lo:hi])
-        parts = []
         for at, h in t.features():
             text = t.words.text[at]
             order = np.lexsort((text, h))
             h, text = h[order], text[order]
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            parts.append((h[first], y[lo:hi][text[first]]))
-        h, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        if keys is not None:
-            h, a, b = np.append(keys, h), np.append(pos, own == 1), np.append(neg, own == 0)
-        else:
-            a, b = (own == 1).astype(np.int64), (own == 0).astype(np.int64)
-        keys, at = np.unique(h, return_inverse=True)
-        pos, neg = (np.bincount(at, x, len(keys)).astype(np.int64) for x in (a, b))
+            yield h[first], text[first] + lo
+
+
+def _counts(texts: list[bytes], y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of at least ``least`` toxic texts, and in how many toxic and other texts each occurs."""
+    keys, pos = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for h, _ in _document_features([x for x, own in zip(texts, y, strict=True) if own == 1]):
+        one, n = np.unique(h, return_counts=True)
+        keys, at = np.unique(np.append(keys, one), return_inverse=True)
+        pos = np.bincount(at, np.append(pos, n), len(keys)).astype(np.int64)
+    keys, pos = keys[pos >= least], pos[pos >= least]
+    neg = np.zeros(len(keys), np.int64)
+    for h, _ in _document_features([x for x, own in zip(texts, y, strict=True) if own == 0]) if len(keys) else ():
+        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        neg += np.bincount(i[keys[i] == h], minlength=len(keys))
     return keys, pos, neg
 
 
@@ -115,16 +120,15 @@ def fit(texts: list[bytes], labels: list[int], max_features: int = MAX_FEATURES,
     n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
     if not n_pos or not n_neg:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0 if not n_pos else 0.0)
-    keys, pos, neg = _counts(texts, y)
+    keys, pos, neg = _counts(texts, y, MIN_DOCS)
     odds = np.log((pos + 0.1) / (n_pos + 0.2)) - np.log((neg + 0.1) / (n_neg + 0.2))
     strength = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    strength[pos < MIN_DOCS] = 0
     chosen = np.sort(np.argsort(-strength)[:max_features])
     chosen = chosen[strength[chosen] > 3]
     keys, odds = keys[chosen], odds[chosen]
 
     rows, columns, sentence_text, empty, done = [], [], [], np.zeros(len(texts)), 0
-    for lo, hi in chunks([len(x) + 1 for x in texts], 2_000_000):
+    for lo, hi in chunks([len(x) + 1 for x in texts], 1_000_000):
         t = Tokens(texts[lo:hi])
         s, f = [], []
         for at, h in t.features():
@@ -150,7 +154,7 @@ def fit(texts: list[bytes], labels: list[int], max_features: int = MAX_FEATURES,
         loss = np.bincount(text, np.logaddexp(0, z), len(texts)) + empty * np.logaddexp(0, b)
         slope = np.where(y == 1, -1 / np.expm1(np.clip(loss, 1e-9, 500)), 1.0) / len(texts)
         slope[empty + np.bincount(text, minlength=len(texts)) == 0] = 0
-        dz = slope[text] / (1 + np.exp(-z))
+        dz = slope[text] / (1 + np.exp(-np.clip(z, -500, 500)))
         g = np.append(np.bincount(column, dz[row], len(w)) + 1e-5 * w, dz.sum() + (slope * empty).sum() / (1 + np.exp(-b)))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
