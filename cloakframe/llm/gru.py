@@ -36,17 +36,22 @@ def start(words: int, classes: int, tails: int, counts: np.ndarray, hidden: int
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _step(p: Params, x: np.ndarray, h: np.ndarray):
+    """The next state, both gates, the candidate and its recurrent part; temporaries are reused."""
     k = h.shape[1]
     u = h @ p["U"]
-    gates = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
-    z, r = gates[:, :k], gates[:, k:]
-    n = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
-    return n + z * (h - n), z, r, n, u[:, 2 * k :]
+    gates = u[:, : 2 * k] + x[:, : 2 * k]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    m = gates[:, k:] * u[:, 2 * k :]
+    m += x[:, 2 * k :]
+    np.tanh(m, out=m)
+    new = h - m
+    new *= gates[:, :k]
+    new += m
+    return new, gates, m, u[:, 2 * k :]
 
 
 def _exp_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +135,12 @@ def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, str
         t_max, n = len(prev), len(goal)
         fresh = (prev != end).astype(np.float32)[:, :, None]
         x = p["E"][prev]
-        kept, states = [], np.empty((t_max, streams, k), np.float32)
+        states, was, cand, recur = (np.empty((t_max, streams, k), np.float32) for _ in range(4))
+        gates = np.empty((t_max, streams, 2 * k), np.float32)
         for t in range(t_max):
-            h = h * fresh[t]
-            new, z, r, m, un = _step(p, x[t], h)
-            kept.append((h, z, r, m, un))
-            states[t] = h = new
+            np.multiply(h, fresh[t], out=was[t])
+            h, gates[t], cand[t], recur[t] = _step(p, x[t], was[t])
+            states[t] = h
         flat = states.reshape(n, k)
 
         of, groups = _by_class(p, goal)
@@ -152,18 +157,25 @@ def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, str
             g["W"][c], g["w"][c] = own.T @ d, d.sum(0)
             dflat[at] += d @ p["W"][c].T
 
-        dstates, dx = dflat.reshape(t_max, streams, k), np.empty_like(x)
-        g["U"], dh = np.zeros_like(p["U"]), np.zeros((streams, k), np.float32)
+        # what the loop multiplies with, for all steps at once
+        z, r = gates[:, :, :k], gates[:, :, k:]
+        to_cand = (1 - z) * (1 - cand * cand)
+        to_z = (was - cand) * z * (1 - z)
+        to_r = recur * r * (1 - r)
+        dstates, dcand, du = dflat.reshape(t_max, streams, k), np.empty_like(cand), np.empty_like(x)
+        back, dh = np.ascontiguousarray(p["U"].T), np.zeros((streams, k), np.float32)
         for t in range(t_max - 1, -1, -1):
-            was, z, r, m, un = kept[t]
-            dh = dh + dstates[t]
-            dm = dh * (1 - z) * (1 - m * m)
-            dz = dh * (was - m) * z * (1 - z)
-            dr = dm * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dm * r], 1)
-            dx[t] = np.concatenate([dz, dr, dm], 1)
-            g["U"] += was.T @ du
-            dh = (dh * z + du @ p["U"].T) * fresh[t]
+            dh += dstates[t]
+            np.multiply(dh, to_cand[t], out=dcand[t])
+            np.multiply(dh, to_z[t], out=du[t, :, :k])
+            np.multiply(dcand[t], to_r[t], out=du[t, :, k : 2 * k])
+            np.multiply(dcand[t], r[t], out=du[t, :, 2 * k :])
+            dh *= z[t]
+            dh += du[t] @ back
+            dh *= fresh[t]
+        g["U"] = was.reshape(n, k).T @ du.reshape(n, 3 * k)
+        dx = du
+        dx[:, :, 2 * k :] = dcand
         flat_prev = _narrow(prev.ravel())
         order = np.argsort(flat_prev, kind="stable")
         rows, first = np.unique(flat_prev[order], return_index=True)

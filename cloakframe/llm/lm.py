@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -83,9 +84,10 @@ class Vocabulary:
         self.tail_log = -np.log10(tail_tokens + tail_words + 1.0)
         self.id_counts = np.append(np.append(counts[:WORDS], np.zeros(max(0, WORDS - len(counts)))), tail_tokens)
         self._read: dict | None = None
+        self._to_id: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_read": None}
+        return self.__dict__ | {"_read": None, "_to_id": None}
 
     @property
     def read(self) -> dict[bytes, int]:
@@ -99,8 +101,19 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """The network's ids."""
-        get = self.read.get
-        return np.fromiter((i if (i := get(w, WORDS)) < WORDS else WORDS + zlib.crc32(w[-2:]) % TAILS for w in words), np.int32, len(words))
+        return self.network_ids(words, self.places(words))
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Ranks among the frequent words; -1 for others."""
+        return np.fromiter(map(self.read.get, words, repeat(-1)), np.int32, len(words))
+
+    def network_ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        if self._to_id is None:
+            self._to_id = np.array([i if i < WORDS else WORDS + tail_of(w) for i, w in enumerate(self.words)] + [0], np.int32)
+        ids = self._to_id[places]
+        rare = np.flatnonzero(places < 0)
+        ids[rare] = [WORDS + tail_of(words[i]) for i in rare.tolist()]
+        return ids
 
 
 def vocabulary(counts: DataFrame, top_words: int = TOP_WORDS) -> Vocabulary:
@@ -198,20 +211,18 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", warm_texts: in
 def _score_texts(texts: list[bytes], p: gru.Params, vocab: Vocabulary) -> dict:
     ids, known, base, lm, rare = [], [], [], [], []
     log_count = np.log10(vocab.counts + 1.0)
-    end, get = vocab.end, vocab.read.get
+    end = vocab.end
     for x in texts:
         words = tokens(x)
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        own = at.astype(np.int32)
-        other = np.flatnonzero((at < 0) | (at >= WORDS))
-        tails = np.fromiter((tail_of(words[i]) for i in other), np.int64, len(other))
-        own[other] = WORDS + tails
+        at = vocab.places(words)
+        own = vocab.network_ids(words, at)
+        tails = own[own >= WORDS] - WORDS
         ids.append(own)
         top = at[at >= 0]
         known.append(len(top))
         base.append(float(log_count[top].sum()))
         lm.append(float(log_count[top[top >= WORDS]].sum() + vocab.tail_log[tails].sum()))
-        rare.append([{"word": w.decode(), "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(at < 0)).items()])
+        rare.append([{"word": w.decode(), "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()])
     network = gru.score(p, ids, end) / np.log(10)
     return {"n_tokens": [len(x) for x in ids], "_known": known, "_base": base, "_lm": network + np.array(lm), "_rare": rare}
 
