@@ -3,6 +3,8 @@
 Minting is set-wise.  Each missing original tries its candidates in turn; among originals that draw the
 same free candidate the first by (ord, original) gets it, and who finds none of five free takes the first
 candidate with the next free suffix -1, -2, ...  Preview follows the same rule without writing.
+A candidate that very many originals draw is spread over tasks: winners are picked by partial aggregation,
+and suffixes are ranked by range partitions.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from cloakframe.functions.surrogates import pseudonym_candidate
 from cloakframe.sources.scratch import written
 
 ATTEMPTS = 5
+_SLOTS = 4096
 SCHEMA = "entity_type string, original string, pseudonym string"
 
 
@@ -35,27 +38,52 @@ def reverse(aliases: DataFrame, mappings: DataFrame) -> DataFrame:
     return aliases.join(mappings, ["entity_type", "pseudonym"], "left")
 
 
+def _ranked(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """rows with _n, their place from 1 by order among the rows of the same keys; no key is held by one task."""
+    own = ["_part", *keys]
+    parts = written(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = parts.groupBy(*own).agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select(*[F.col(c).alias(f"_of_{c}") for c in own], F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    placed = parts.withColumn("_p", F.row_number().over(W.partitionBy(*own).orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in own]
+    return placed.join(offsets, same).select(*rows.columns, (F.col("_o") + F.col("_p")).alias("_n"))
+
+
+def _free_numbers(ranked: DataFrame, taken: DataFrame) -> DataFrame:
+    """(entity_type, _base, _n, _free): the _n-th suffix that is not taken, for bases with taken suffixes."""
+    base = ["entity_type", "_base"]
+    pattern = "^(.*)-([0-9]{1,9})$"
+    used = taken.select("entity_type", F.regexp_extract("pseudonym", pattern, 1).alias("_base"), F.regexp_extract("pseudonym", pattern, 2).alias("_s")).where("_s <> ''")
+    used = used.select(*base, F.col("_s").cast("long").alias("_free")).distinct()
+    asked = ranked.groupBy(*base).agg(F.max("_n").alias("_c")).join(used.groupBy(*base).agg(F.count(F.lit(1)).alias("_u")), base)
+    chunks = asked.select(*base, (F.col("_c") + F.col("_u")).alias("_last"), F.explode(F.sequence(F.lit(0), F.floor((F.col("_c") + F.col("_u") - 1) / _SLOTS))).alias("_k"))
+    first = F.col("_k") * _SLOTS + 1
+    slots = chunks.repartition(*base, "_k").select(*base, F.explode(F.sequence(first, F.least("_last", first + (_SLOTS - 1)))).alias("_free"))
+    return _ranked(slots.join(used, [*base, "_free"], "left_anti"), base, "_free")
+
+
 def mint(requests: DataFrame, mappings: DataFrame, candidate=pseudonym_candidate, attempts: int = ATTEMPTS) -> DataFrame:
     """New rows of the mapping for requests (entity_type, original, ord) that aren't in it yet."""
     asked = requests.groupBy("entity_type", "original").agg(F.min("ord").alias("ord"))
     left = written(asked.join(mappings, ["entity_type", "original"], "left_anti"), "unmapped")
     taken, made = mappings.select("entity_type", "pseudonym"), mappings.limit(0)
-    first = W.partitionBy("entity_type", "pseudonym").orderBy("ord", "original")
     for k in range(attempts):
         if left.isEmpty():
             return made
         tried = left.withColumn("pseudonym", candidate(F.col("entity_type"), F.col("original"), F.lit(k)))
-        free = tried.join(taken, ["entity_type", "pseudonym"], "left_anti").withColumn("_n", F.row_number().over(first))
-        won = written(free.where("_n = 1").select("entity_type", "original", "pseudonym"), "minted")
+        firsts = tried.groupBy("entity_type", "pseudonym").agg(F.min(F.struct("ord", "original"))["original"].alias("original"))
+        won = written(firsts.join(taken, ["entity_type", "pseudonym"], "left_anti").select("entity_type", "original", "pseudonym"), "minted")
         made = made.unionByName(won)
         taken = taken.unionByName(won.select("entity_type", "pseudonym"))
         left = written(left.join(won.select("entity_type", "original"), ["entity_type", "original"], "left_anti"), "unmapped")
+    if left.isEmpty():
+        return made
     base = left.withColumn("_base", candidate(F.col("entity_type"), F.col("original"), F.lit(0)))
-    suffixed = taken.select("entity_type", F.regexp_extract("pseudonym", "^(.*)-([0-9]{1,9})$", 1).alias("_base"), F.regexp_extract("pseudonym", "^(.*)-([0-9]{1,9})$", 2).alias("_s")).where("_s <> ''")
-    used = suffixed.groupBy("entity_type", "_base").agg(F.collect_set(F.col("_s").cast("int")).alias("_used"))
-    order = W.partitionBy("entity_type", "_base").orderBy("ord", "original")
-    ranked = base.withColumn("_n", F.row_number().over(order)).join(used, ["entity_type", "_base"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    number = F.get(F.array_except(F.sequence(F.lit(1), F.col("_n") + F.size("_used")), F.col("_used")), F.col("_n") - 1)
+    ranked = written(_ranked(base, ["entity_type", "_base"], "ord", "original"), "ranked")
+    free = _free_numbers(ranked, taken)
+    number = F.coalesce("_free", "_n")
+    ranked = ranked.join(free, ["entity_type", "_base", "_n"], "left")
     last = ranked.select("entity_type", "original", F.concat_ws("-", "_base", number.cast("string")).alias("pseudonym"))
     return made.unionByName(last)
 

@@ -88,6 +88,62 @@ def test_minting(spark):
     assert {r.pseudonym: r.original for r in back.collect()} == {"x-2": "b", "none": None}
 
 
+def _mint_by_hand(ask, had, candidate, attempts=5):
+    least = {}
+    for t, o, k in ask:
+        if (t, o) not in had:
+            least[t, o] = min(k, least.get((t, o), k))
+    left, out = sorted(least, key=lambda x: (x[0], least[x], x[1])), {}
+    taken = {(t, p) for (t, _), p in had.items()}
+    for k in range(attempts):
+        again = []
+        won = set()
+        for t, o in left:
+            p = candidate(t, o, k)
+            if (t, p) in taken or (t, p) in won:
+                again.append((t, o))
+            else:
+                out[t, o] = p
+                won.add((t, p))
+        taken |= won
+        left = again
+    for t, o in left:
+        base, i = candidate(t, o, 0), 1
+        while (t, f"{base}-{i}") in taken:
+            i += 1
+        taken.add((t, f"{base}-{i}"))
+        out[t, o] = f"{base}-{i}"
+    return out
+
+
+def test_minting_of_hot_candidates_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "_SLOTS", 7)
+    ask = [("PQ"[i % 7 == 0], f"n{i * 37 % 400}", i * 13 % 300) for i in range(600)]
+    had = {("P", f"old{s}"): f"x-{s}" for s in (1, 2, 5, 30, 31, 9000)} | {("P", "n3"): "y", ("Q", "old"): "x-4"}
+    start = lambda o: F.when(F.col("original") < "n2", F.lit("x")).otherwise(F.lit("y"))
+    named = lambda t, o, k: F.concat(start(o), F.when(k == 0, "").otherwise(F.concat(F.lit("."), k.cast("string"))))
+    by_hand = lambda t, o, k: ("x" if o < "n2" else "y") + (f".{k}" if k else "")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # ranks must cross range partitions
+    try:
+        made = mapping.mint(spark.createDataFrame(ask, _ASK), spark.createDataFrame([(*k, v) for k, v in had.items()], mapping.SCHEMA), named)
+        got = made.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {(r.entity_type, r.original): r.pseudonym for r in got} == _mint_by_hand(ask, had, by_hand)
+    assert len(got) == len({(r.entity_type, r.pseudonym) for r in got})
+
+
+def test_collisions_query_runs_over_all_customers(spark):
+    from cloakframe.plans.catalog import pseudonym_collisions
+
+    path = "/root/testdata/sf0.01"
+    people = spark.read.parquet(f"{path}/customer.parquet").select("c_custkey", "c_name").collect()
+    want = {o: p for (_, o), p in _mint_by_hand([("P", r.c_name, r.c_custkey) for r in people], {}, lambda t, o, k: "shared").items()}
+    got = pseudonym_collisions(spark, path).collect()
+    assert len(got) == len(people) > 51 and {r.original: r.pseudonym for r in got} == want
+
+
 def test_encrypted_store(spark, tmp_path):
     path = str(tmp_path / "store")
     store = mapping.EncryptedStore(spark, path)
