@@ -102,3 +102,11 @@ def test_lm_base_equals_brute_force(spark, monkeypatch):
 
 def test_lm_without_rows(spark):
     assert _score(spark, []) == {}
+
+
+def test_lm_held_out_beats_base(spark):
+    from pyspark.sql import functions as F
+
+    scored = lm.op3_language_model(spark, "/root/testdata/sf0.01").where("held_out")
+    r = scored.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
+    assert r[0] > r[1] + 0.1 and r[2] > 0.95
