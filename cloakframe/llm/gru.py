@@ -119,20 +119,23 @@ class Adam:
 
 
 def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, streams: int = STREAMS, window: int = WINDOW) -> float:
-    """One pass over the token ids of consecutive texts, in place; the mean loss in nats."""
+    """One pass over the token ids of consecutive texts, in place; the mean loss in nats.
+
+    Every id is a target once: streams are filled up at the end with masked targets (-1).
+    """
     streams = max(1, min(streams, len(ids) // (4 * window) or 1))
-    length = len(ids) // streams
-    if not length:
+    if not len(ids):
         return 0.0
-    before = np.append(np.int32(end), ids[:-1])
-    target = ids[: length * streams].reshape(streams, length).T
-    given = before[: length * streams].reshape(streams, length).T
+    length = -(-len(ids) // streams)
+    fill = length * streams - len(ids)
+    target = np.append(ids, np.full(fill, -1, np.int32)).reshape(streams, length).T
+    given = np.append(np.int32(end), np.append(ids[:-1], np.full(fill, end, np.int32))).reshape(streams, length).T
     k = p["U"].shape[0]
     classes, size = p["w"].shape
     adam, h, total = Adam(p, rate), np.zeros((streams, k), np.float32), 0.0
     for lo in range(0, length, window):
         prev, goal = given[lo : lo + window], target[lo : lo + window].ravel()
-        t_max, n = len(prev), len(goal)
+        t_max, n = len(prev), prev.size
         fresh = (prev != end).astype(np.float32)[:, :, None]
         x = p["E"][prev]
         states, was, cand, recur = (np.empty((t_max, streams, k), np.float32) for _ in range(4))
@@ -142,20 +145,27 @@ def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, str
             h, gates[t], cand[t], recur[t] = _step(p, x[t], was[t])
             states[t] = h
         flat = states.reshape(n, k)
+        real = None
+        if goal.min() < 0:
+            real = np.flatnonzero(goal >= 0)
+            flat, goal = flat[real], goal[real]
 
         of, groups = _by_class(p, goal)
         d, loss = _softmax_loss(flat @ p["C"] + p["c"], of)
         total += loss
-        d /= n
+        d /= len(goal)
         g = {"C": flat.T @ d, "c": d.sum(0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
         dflat = d @ p["C"].T
         for c, at in groups:
             own = flat[at]
             d, loss = _softmax_loss(own @ p["W"][c] + p["w"][c], goal[at] % size)
             total += loss
-            d /= n
+            d /= len(goal)
             g["W"][c], g["w"][c] = own.T @ d, d.sum(0)
             dflat[at] += d @ p["W"][c].T
+        if real is not None:
+            dreal, dflat = dflat, np.zeros((n, k), np.float32)
+            dflat[real] = dreal
 
         # what the loop multiplies with, for all steps at once
         z, r = gates[:, :, :k], gates[:, :, k:]
@@ -185,7 +195,7 @@ def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, str
         if norm > 1:
             g = {key: v / norm for key, v in g.items()}
         adam.step(g)
-    return total / (length * streams)
+    return total / len(ids)
 
 
 def score(p: Params, texts: list[np.ndarray], end: int, group: int = 1024, window: int = SCORE_WINDOW) -> np.ndarray:

@@ -75,6 +75,34 @@ def test_gru_gradient_and_carried_state():
     assert abs(np.exp(gru.token_log_probs(p, np.repeat(h, 10, 0), np.arange(10))).sum() - 1) < 1e-5
 
 
+def test_gru_trains_on_every_token():
+    """The loss before the first update is that of all tokens, also those that don't fill a row of streams."""
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 9, 131, 403):
+        ids = rng.integers(0, 9, size).astype(np.int32)
+        for streams in (1, 3, 8):
+            p = gru.start(8, 2, 2, np.ones(10), hidden=4)
+            p["C"] *= 100  # tokens differ in loss
+            p["E"] *= 10
+            still = {k: v.copy() for k, v in p.items()}
+            loss = gru.train(p, ids, 9, rate=0.0, streams=streams, window=8)
+            used = max(1, min(streams, size // 32 or 1))
+            length = -(-size // used)
+            want = 0.0
+            for lo in range(0, size, length):  # each stream starts from a zero state, with the token before it
+                h, prev = np.zeros((1, 4), np.float32), ids[lo - 1] if lo else 9
+                for x in ids[lo : lo + length]:
+                    h = gru._step(still, still["E"][[prev]], h * (prev != 9))[0]
+                    want -= gru.token_log_probs(still, h, np.array([x]))[0]
+                    prev = x
+            assert abs(loss - want / size) < 1e-4
+    p = gru.start(8, 2, 2, np.ones(10), hidden=4)
+    ids = np.append(np.zeros(66, np.int32), np.int32(7))  # one token more than two streams hold evenly
+    before = p["w"].copy()
+    gru.train(p, ids, 9, streams=2, window=8)
+    assert p["w"][1, 3] > before[1, 3]  # the last token was a target
+
+
 def _score(spark, docs):
     df = spark.createDataFrame(docs, DOCS)
     from pyspark.sql import functions as F
