@@ -5,7 +5,8 @@
    broadcast) of which the first ``WORDS`` are the network's own; every other word belongs to one of
    ``TAILS`` tail classes by a hash of its last bytes, and inside its class has the probability
    (c + 1) / (tokens + words + 1 of the class); unknown words are the class's +1.
-3. Training: first weights from at most ``WARM_TEXTS`` texts on the driver; then each task trains one
+3. Training: first weights from one in ``WARM_SHARE`` texts (about ``WARM_TEXTS`` where that is fewer), picked
+   and ordered by a hash of doc_id and read by the driver one partition at a time; then each task trains one
    pass by truncated backpropagation over all its training documents, and the weights are averaged by
    tokens in a tree of bounded groups.
 4. Scoring: one pass over every whole text; rare words meet their counts in a shuffled join (their
@@ -36,7 +37,7 @@ from cloakframe.llm.common import append_from_text, in_fold, table, written
 FOLDS, HELD_OUT = 7, 2
 WORDS, CLASSES, TAILS = 1024, 32, 32
 TOP_WORDS = 150_000
-WARM_TEXTS = 192
+WARM_TEXTS, WARM_SHARE = 192, 1000
 #: The end token; no word holds a line's end.
 END = b"\n"
 _CHUNK = 4096
@@ -164,13 +165,22 @@ def _average(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(mean, "chunk int, task int, n double, w array<float>")
 
 
-def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", warm_texts: int = WARM_TEXTS) -> gru.Params:
+def warm_texts(docs: DataFrame, n: int, text: str = "text", least: int = WARM_TEXTS, share: int = WARM_SHARE) -> DataFrame:
+    """(_h, _t): the share of n rows of docs, or about least, by a hash; the same for any layout of the rows."""
+    t = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    h = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), t))
+    part = max(1 / share, min(1.0, least / max(1, n)))
+    picked = docs.select(h.alias("_h"), t.alias("_t")).where(F.pmod("_h", F.lit(1 << 30)) < int(part * (1 << 30)))
+    return written(picked, "warm_texts").orderBy("_h", "_t")
+
+
+def train(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> gru.Params:
     """Weights after one pass over all rows of docs."""
     p = gru.start(WORDS, CLASSES, TAILS, vocab.id_counts)
-    warm = [bytes(r._t) for r in docs.where(F.length(text) > 200).select(F.col(text).cast("binary").alias("_t")).limit(warm_texts).collect()]
+    warm = [vocab.ids(tokens(bytes(r._t))) for r in warm_texts(docs, docs.count(), text).toLocalIterator()]
     for _ in range(2):
         if warm:
-            gru.train(p, np.concatenate([vocab.ids(tokens(x)) for x in sorted(warm)]), vocab.end, streams=32)
+            gru.train(p, np.concatenate(warm), vocab.end, streams=32)
     shapes = _shapes(p)
     shared = docs.sparkSession.sparkContext.broadcast((_flat(p), vocab))
 

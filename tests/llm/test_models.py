@@ -128,6 +128,31 @@ def test_lm_base_equals_brute_force(spark, monkeypatch):
         assert r.score < 0
 
 
+def test_warm_texts_are_repeatable_and_grow(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text "), F.col("id").cast("string")).alias("text"))
+    pick = lambda df, share: [bytes(r._t) for r in lm.warm_texts(df, df.count(), least=50, share=share).collect()]
+    one = pick(docs.repartition(1), 100)
+    assert one == pick(docs.repartition(7, "text"), 100) == pick(docs.orderBy(F.desc("doc_id")), 100)
+    assert 150 < len(one) < 250 and 70 < len(pick(docs.where("doc_id < 10000"), 100)) < 130
+    assert 25 < len(pick(docs, 10_000)) < 80 and len(pick(docs.limit(40), 100)) == 40
+    assert len(pick(docs.withColumn("doc_id", F.lit(None).cast("long")), 100)) > 150  # rows without an id, by their text
+
+
+def test_first_weights_do_not_depend_on_layout(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("word"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)).cast("string")) for i in range(40)]).alias("text"))
+    vocab = lm.vocabulary(lm.written(lm.token_counts(docs), "counts"))
+    seen = []
+    real = lm.gru.train
+    monkeypatch.setattr(lm.gru, "train", lambda p, ids, *a, **k: (seen.append(ids.copy()), real(p, ids, *a, **k))[1])
+    lm.train(docs.repartition(1), vocab)
+    lm.train(docs.repartition(5, "text"), vocab)
+    assert len(seen) == 4 and np.array_equal(seen[0], seen[2])
+
+
 def test_lm_without_rows(spark):
     assert _score(spark, []) == {}
 
