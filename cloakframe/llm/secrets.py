@@ -3,8 +3,9 @@
 Every version of a path is content-addressed by SHA-256.  The ledger holds one row per scanned
 (blob, rule, rule version) with the spans found; a run scans only distinct blobs, and of each only
 the rules whose pair is not in the ledger yet, and joins the findings back to all paths.  Distinct
-blobs are picked by partial aggregation (copies collapse before the shuffle).  Findings are written, and
-the join back is split by adaptive execution where one blob has very many paths.
+blobs are picked by partial aggregation (copies collapse before the shuffle).  New ledger rows are written,
+those without spans included, so that a later run can skip their pairs; the findings of paths are joined back from
+the ledger; they are written first, so that the join is split by adaptive execution where one blob has very many paths.
 
 Offsets are code points.  They come from pairing all matches with the text between them.
 
@@ -102,28 +103,37 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: lis
 
 def ledger_rows(found: DataFrame) -> DataFrame:
     """(blob, kind, version, spans), to be appended to the ledger."""
-    return found.select(F.col("_blob").alias("blob"), F.explode("found").alias("f")).select("blob", "f.kind", "f.version", "f.spans")
+    # outer, as the filter that is inferred for an inner explode would search all texts twice
+    return found.select(F.col("_blob").alias("blob"), F.explode_outer("found").alias("f")).where("f is not null").select("blob", "f.kind", "f.version", "f.spans")
+
+
+def grow_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
+    """ledger with a written row for each pair of versions' blobs and rules that it lacks."""
+    new = written(ledger_rows(scan_unseen(versions, ledger, rules, text)), "ledger")
+    return new if ledger is None else ledger.select(*new.columns).unionByName(new)
 
 
 def scan_paths(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """versions with spans: all findings of its blob under the rules, from the ledger or scanned now."""
+    return paths_of(versions, grow_ledger(versions, ledger, rules, text), rules, text)
+
+
+def paths_of(versions: DataFrame, ledger: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
+    """versions with spans: all findings of its blob under the rules in a ledger that has them."""
     rules = rules or RULES
-    found = scan_unseen(versions, ledger, rules, text)
-    if ledger is not None:
-        pairs = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-        old = ledger.where(F.array_contains(pairs, F.concat_ws(":", "kind", F.col("version").cast("string"))))
-        both = old.select("blob", "kind", "version", "spans").unionByName(ledger_rows(found))
-        found = both.groupBy(F.col("blob").alias("_blob")).agg(F.collect_list(F.struct("kind", "version", "spans")).alias("found"))
+    pairs = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+    hits = ledger.where((F.size("spans") > 0) & F.array_contains(pairs, F.concat_ws(":", "kind", F.col("version").cast("string"))))
+    found = hits.groupBy(F.col("blob").alias("_blob")).agg(F.collect_list(F.struct("kind", "version", "spans")).alias("found"))
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     flat = F.flatten(F.transform("found", lambda f: F.transform(f["spans"], lambda s: F.struct(s["s"].alias("start"), order[f["kind"]].alias("rank"), s["e"].alias("end"), f["kind"].alias("kind")))))
-    spans = written(found.select("_blob", F.array_sort(flat).alias("spans")).where(F.size("spans") > 0), "findings")
+    spans = written(found.select("_blob", F.array_sort(flat).alias("spans")), "findings")
     kept = [c for c in versions.columns if c.lower() not in ("spans", "_blob")]
     return versions.select(*kept, blob_of(F.col(text)).alias("_blob")).join(spans, "_blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_paths(docs).select("doc_id", "spans")
+    found = paths_of(docs, grow_ledger(docs)).select("doc_id", "spans")
     text_of = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["rank"] < len(BASE_RULES))

@@ -85,3 +85,19 @@ def test_ledger_scans_only_unseen_pairs(spark):
     whole = {r.doc_id: r.spans for r in secrets.scan_paths(df, None, secrets.BASE_RULES).collect()}
     assert {r.doc_id: r.spans for r in secrets.scan_paths(df, old, secrets.BASE_RULES).collect()} == whole
     assert secrets.scan_paths(df.limit(0)).count() == 0
+
+
+def test_op7_writes_a_ledger_that_a_later_run_can_use(spark, monkeypatch):
+    made = []
+    real = secrets.written
+    monkeypatch.setattr(secrets, "written", lambda df, what: made.append(real(df, what)) or made[-1])
+    path = "/root/testdata/sf0.001"
+    first = secrets.op7_secrets(spark, path).collect()
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    ledger = made[0]
+    assert ledger.columns == ["blob", "kind", "version", "spans"]
+    assert ledger.count() == docs.select(secrets.blob_of(docs.text)).distinct().count() * len(secrets.RULES)
+    assert ledger.where("size(spans) = 0").count() and ledger.where("size(spans) > 0").count()
+    assert secrets.scan_unseen(docs, ledger).count() == 0  # all pairs were seen, those without findings too
+    spans = {r.doc_id: [f"{x.kind}:{x.start}:{x.end}" for x in r.spans] for r in secrets.scan_paths(docs, ledger).collect()}
+    assert {r.doc_id: r.spans for r in first} == {k: ",".join(v) for k, v in spans.items()}
