@@ -7,7 +7,7 @@ exactly ``bytes.lower()``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Own:
+    """A caller's rows under names of our own (u0, u1, ...), so that no helper column (_x) can clash.
+
+    ``own[name]`` is the name that a column of the caller has in ``own.df``; ``back`` restores the names.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.df = docs.toDF(*[f"u{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        at = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not at:
+            raise KeyError(f"no column {name!r} among {self.names}")
+        return f"u{at[0]}"
+
+    def all(self) -> list[str]:
+        return self.df.columns
+
+    def kept(self, outputs: Iterable[str] = (), keep: list[str] | None = None) -> list[str]:
+        """Our names of the caller's columns (or of those in keep) but for those that outputs replace."""
+        gone = {o.lower() for o in outputs}
+        wanted = range(len(self.names)) if keep is None else [int(self[k][1:]) for k in keep]
+        return [f"u{i}" for i in wanted if self.names[i].lower() not in gone]
+
+    def back(self, df: DataFrame, outputs: dict[str, Column | str], keep: list[str] | None = None) -> DataFrame:
+        """df's kept columns under the caller's names, then the outputs (name: column or its name in df)."""
+        mine = [F.col(u).alias(self.names[int(u[1:])]) for u in self.kept(outputs, keep)]
+        return df.select(*mine, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in outputs.items()])
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; NULL ids give NULL."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

@@ -51,6 +51,31 @@ def test_weights_budget_and_limits(spark):
     assert one.count() == df.where("source = 'big'").count()
 
 
+def test_no_document_is_lost_at_exponent_one(spark):
+    """Twenty equal sources and a hot one: at exponent 1 each is drawn exactly once, however rows are spread."""
+    import random
+
+    docs = [(i, f"s{i % 20}", " ".join(["w"] * (1 + i // 20 % 9))) for i in range(400)]
+    for rows in (docs, [*docs, *[(1000 + i, "hot", "w " * (i % 13)) for i in range(700)]]):
+        want = sorted(i for i, _, t in rows if t.split())
+        for parts, seed in [(k, k) for k in range(1, 9)]:
+            some = list(rows)
+            random.Random(seed).shuffle(some)
+            df = spark.createDataFrame(some, "doc_id long, source string, text string").repartition(parts)
+            got = mixing.mix(df, target_entropy=0.1, max_repeats=1000.0).where("n_tokens > 0")
+            assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_draws_do_not_depend_on_layout_and_fill_the_budget(spark):
+    df = spark.createDataFrame(_docs(), "doc_id long, source string, text string")
+    sums = df.groupBy(df.source.alias("_source")).agg(mixing.F.sum(mixing.F.coalesce(mixing.F.regexp_count("text", mixing.F.lit(mixing.WORD)), mixing.F.lit(0))).cast("long").alias("_tokens"))
+    for budget in (None, 1, 997, 12_345):
+        got = mixing.quotas(sums, budget=budget).agg({"_quota": "sum", "_tokens": "sum"}).first()
+        assert got["sum(_quota)"] == (got["sum(_tokens)"] if budget is None else budget)
+    key = lambda parts: _key(mixing.mix(df.repartition(parts, "text")).collect())
+    assert key(1) == key(3) == key(8)
+
+
 @pytest.fixture(scope="module")
 def expected():
     con = duckdb.connect()
