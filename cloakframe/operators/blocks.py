@@ -28,15 +28,10 @@ def join_blocks(segments: DataFrame) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("b:"), F.col("block")), F.concat(F.lit("s:"), F.col("seg_ord").cast("string")))
     own = F.struct("seg_ord", "segment_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("join_before", F.lit("")).alias("join"))
     grouped = segments.groupBy("doc_id", key.alias("_key")).agg(F.array_sort(F.collect_list(own)).alias("_segs"))
-    kind = "array<struct<segment_id:string,offset:int,text:string>>"
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(F.size(acc["segs"]) == 0, F.lit("")).otherwise(s["join"])
-        at = F.length(acc["text"]) + F.length(gap)
-        return F.struct(F.concat(acc["text"], gap, s["text"]).alias("text"), F.concat(acc["segs"], F.array(F.struct(s["segment_id"].alias("segment_id"), at.alias("offset"), s["text"].alias("text")))).alias("segs"))
-
-    joined = F.aggregate("_segs", F.struct(F.lit("").alias("text"), F.array().cast(kind).alias("segs")), step)
-    return grouped.select("doc_id", F.get("_segs", F.lit(0))["seg_ord"].alias("block_ord"), joined.alias("_j")).select("doc_id", "block_ord", "_j.text", "_j.segs")
+    parts = F.transform("_segs", lambda s, i: F.when(i == 0, s["text"]).otherwise(F.concat(s["join"], s["text"])))
+    ends = X.running_sums(F.transform(parts, F.length))
+    placed = F.transform(F.arrays_zip(F.col("_segs").alias("s"), ends.alias("e")), lambda x: F.struct(x["s"]["segment_id"].alias("segment_id"), (x["e"] - F.length(x["s"]["text"])).alias("offset"), x["s"]["text"].alias("text")))
+    return grouped.select("doc_id", F.get("_segs", F.lit(0))["seg_ord"].alias("block_ord"), F.array_join(parts, "").alias("text"), placed.alias("segs"))
 
 
 def pieces_of(segs: Column, start: Column, end: Column) -> Column:

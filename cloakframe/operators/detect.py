@@ -13,23 +13,33 @@ from cloakframe.operators.overlap import normalize_overlaps
 
 DEFAULT_THRESHOLD = 0.35
 CONTEXT = 40
+_TEXT_SPAN = "array<struct<start:int,end:int,entity_type:string,score:double,text_span:string,context:string,recognizer_name:string>>"
 _SPAN = "array<struct<start:int,end:int,entity_type:string,score:double,recognizer_name:string>>"
 
 
-def _found(df: DataFrame, text: str, r: Recognizer, i: int) -> Column:
-    spans = X.spans_of(text, F.col(f"_m{i}"), r.pattern)
+def _found(text: str, r: Recognizer, matches: Column) -> Column:
+    """Spans of a recognizer's matches that its validator keeps, with scores boosted by context words."""
+    spans = X.spans_of(text, matches, r.pattern)
     if r.validate:
         spans = F.filter(spans, lambda s: r.validate(s["text"]))
-    score: Column | float = F.lit(r.score)
+    words = r"\b(?:" + "|".join(r.context) + r")\b"
 
-    def describe(s: Column) -> Column:
-        value = score
-        if r.context:
-            near = F.lower(X.context_of(text, s["start"], s["end"], CONTEXT))
-            value = F.when(near.rlike(r"\b(?:" + "|".join(r.context) + r")\b"), F.least(F.lit(1.0), score + r.boost)).otherwise(score)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r.entity_type).alias("entity_type"), value.alias("score"), F.lit(r.name).alias("recognizer_name"))
+    def scored(score_of) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r.entity_type).alias("entity_type"), score_of(s).alias("score"), F.lit(r.name).alias("recognizer_name")))
 
-    return F.transform(spans, describe).cast(_SPAN)
+    plain = F.lit(r.score)
+    if not r.context:
+        return F.when(F.size(matches) > 0, scored(lambda s: plain)).otherwise(F.array().cast(_SPAN))
+    boosted = lambda cut: scored(lambda s: F.when(F.lower(cut(*X.around(s["start"], s["end"], CONTEXT))).rlike(words), F.least(F.lit(1.0), plain + r.boost)).otherwise(plain))
+    return F.when(F.size(matches) > 0, X.cutting(text, boosted)).otherwise(F.array().cast(_SPAN))
+
+
+def matches_of(text: str, r: Recognizer) -> Column:
+    """All matches of a recognizer's pattern; texts without its hint are not searched."""
+    found = X.matches(text, r.pattern)
+    if not r.hint:
+        return found
+    return F.when(F.col(text).rlike(r.hint) if r.hint_is_pattern else F.col(text).contains(r.hint), found).otherwise(F.array().cast("array<string>"))
 
 
 def raw_spans(df: DataFrame, text: str = "text", recognizers: Iterable[Recognizer] = ALL, threshold: float | None = None, entities: list[str] | None = None, out: str = "spans") -> DataFrame:
@@ -38,21 +48,24 @@ def raw_spans(df: DataFrame, text: str = "text", recognizers: Iterable[Recognize
     own = [r for r in recognizers if entities is None or r.entity_type in entities]
     if not own:
         return df.withColumn(out, F.array().cast(_SPAN))
-    found = df.select("*", *[X.matches(text, r.pattern).alias(f"_m{i}") for i, r in enumerate(own)])
-    spans = F.concat(*[_found(df, text, r, i) for i, r in enumerate(own)])
+    found = df.select("*", *[matches_of(text, r).alias(f"_m{i}") for i, r in enumerate(own)])
+    spans = F.concat(*[_found(text, r, F.col(f"_m{i}")).cast(_SPAN) for i, r in enumerate(own)])
     spans = F.coalesce(F.filter(spans, lambda s: s["score"] >= limit), F.array().cast(_SPAN))
     return found.withColumn(out, spans).drop(*[f"_m{i}" for i in range(len(own))])
 
 
 def with_text(text: str, spans: Column) -> Column:
     """Spans with text_span and context."""
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"),
-            F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).alias("text_span"), X.context_of(text, s["start"], s["end"], CONTEXT).alias("context"), s["recognizer_name"].alias("recognizer_name"),
-        ),
-    )
+    def described(cut) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"),
+                cut(s["start"], s["end"]).alias("text_span"), cut(*X.around(s["start"], s["end"], CONTEXT)).alias("context"), s["recognizer_name"].alias("recognizer_name"),
+            ),
+        )
+
+    return F.when(F.size(spans) > 0, X.cutting(text, described)).otherwise(F.array().cast(_TEXT_SPAN))
 
 
 def analyze(df: DataFrame, text: str = "text", recognizers: Iterable[Recognizer] = ALL, threshold: float | None = None, entities: list[str] | None = None, out: str = "spans") -> DataFrame:

@@ -11,16 +11,18 @@ from cloakframe.functions.patterns import ALL
 from cloakframe.operators.detect import analyze
 from cloakframe.operators.leak import surviving
 from cloakframe.operators.propagate import propagate
-from cloakframe.operators.roles import drop_role_terms, terms_in
+from cloakframe.operators.roles import ROLE_TYPES, drop_role_terms, terms_in
 
 
 def analyze_rows(df: DataFrame, text: str = "text", recognizers=ALL, threshold: float | None = None, entities: list[str] | None = None) -> DataFrame:
     """df with spans: detected, without role terms, propagated, without role terms again."""
-    found = analyze(df, text, recognizers, threshold, entities).withColumn("_defined", terms_in(F.col(text)))
+    found = analyze(df, text, recognizers, threshold, entities)
+    named = {r.entity_type for r in recognizers} & set(ROLE_TYPES if entities is None else entities)
+    if not named & set(ROLE_TYPES):  # nobody to be a role or to be looked for again
+        return found
+    found = found.withColumn("_defined", terms_in(F.col(text)))
     found = found.withColumn("spans", drop_role_terms(F.col("spans"), F.col("_defined")))
-    if entities is None or {"PERSON", "ORGANIZATION"} & set(entities):
-        found = propagate(found, text).withColumn("spans", drop_role_terms(F.col("spans"), F.col("_defined")))
-    return found.drop("_defined")
+    return propagate(found, text).withColumn("spans", drop_role_terms(F.col("spans"), F.col("_defined"))).drop("_defined")
 
 
 def anonymize_rows(analyzed: DataFrame, policies: dict[str, A.Policy] | None = None, text: str = "text", salt=None, out: str = "anonymized", default: A.Policy = A.HIPS) -> DataFrame:

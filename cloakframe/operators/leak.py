@@ -30,11 +30,14 @@ def alternation(originals: Column) -> Column:
 
 def surviving(output: Column, originals: Column) -> Column:
     """Array of (original, occurrences) for the originals that output still holds, in input order."""
-    haystack = X.normalize_ws(output)
-    needles = F.transform(originals, lambda o, i: F.struct(X.normalize_ws(o).alias("needle"), i.alias("i"), o.alias("original")))
-    firsts = F.filter(needles, lambda n: F.array_position(F.transform(originals, X.normalize_ws), n["needle"]) == n["i"] + 1)
-    counted = F.transform(firsts, lambda n: F.struct(n["original"].alias("original"), F.coalesce(F.regexp_count(haystack, matcher(n["needle"])), F.lit(0)).alias("occurrences")))
-    return F.filter(counted, lambda c: c["occurrences"] > 0)
+    ranked = F.array_sort(F.transform(originals, lambda o, i: F.struct(X.normalize_ws(o).alias("needle"), i.alias("i"), o.alias("original"))))
+    firsts = X.once(ranked, lambda r: F.filter(r, lambda n, i: (i == 0) | (F.get(r, i - 1)["needle"] != n["needle"])))
+
+    def counted(haystack: Column) -> Column:
+        rows = F.transform(firsts, lambda n: F.struct(n["i"], n["original"].alias("original"), F.coalesce(F.regexp_count(haystack, matcher(n["needle"])), F.lit(0)).alias("occurrences")))
+        return F.transform(F.array_sort(F.filter(rows, lambda c: c["occurrences"] > 0)), lambda c: F.struct(c["original"].alias("original"), c["occurrences"].alias("occurrences")))
+
+    return F.when(F.size(originals) > 0, X.once(X.normalize_ws(output), counted)).otherwise(F.array().cast("array<struct<original:string,occurrences:int>>"))
 
 
 def surviving_rows(outputs: DataFrame, originals: DataFrame, doc: str = "doc_id") -> DataFrame:

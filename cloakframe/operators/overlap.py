@@ -1,8 +1,8 @@
-"""Disjoint spans from overlapping ones, as one bounded fold over the sorted array.
+"""Disjoint spans from overlapping ones, as bounded folds over clusters of the sorted array.
 
 Spans are ordered by (start, end, higher score first).  Of the first two that overlap, a container
 stays alone; otherwise the longer one wins (then the higher score, then the earlier) and the other
-keeps what lies outside.  The sweep takes at most two steps per span; rows without any overlap skip it.
+keeps what lies outside.  A sweep takes at most two steps per span of its cluster.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cloakframe.functions.text import once, running_max
+
 #: What the fold works on; ``ord`` keeps equal spans in input order.
 WORK = "struct<start:int,end:int,neg:double,ord:int,entity_type:string,score:double,recognizer_name:string>"
 
@@ -42,11 +44,9 @@ def _resolve(a: Column, b: Column) -> Column:
     )
 
 
-def normalize_overlaps(spans: Column) -> Column:
-    """Disjoint spans (start, end, entity_type, score, recognizer_name) in document order."""
+def _settle(work: Column) -> Column:
+    """Disjoint spans of one cluster: a sorted array of the work type."""
     kind = f"array<{WORK}>"
-    work = _work(spans)
-    clash = F.exists(F.transform(work, lambda s, i: F.struct(s["start"].alias("a"), i.alias("i"))), lambda x: (x["i"] > 0) & (x["a"] < F.get(work, x["i"] - 1)["end"]))
 
     def step(acc: Column, _: Column) -> Column:
         todo, done = acc["todo"], acc["done"]
@@ -60,6 +60,26 @@ def normalize_overlaps(spans: Column) -> Column:
         )
 
     begin = F.struct(F.array().cast(kind).alias("done"), work.cast(kind).alias("todo"))
-    folded = F.aggregate(F.sequence(F.lit(1), 2 * F.size(spans)), begin, step, lambda acc: F.concat(acc["done"], acc["todo"]))
-    out = F.when(F.size(spans) < 2, work).when(clash, folded).otherwise(work)
+    return F.aggregate(F.sequence(F.lit(1), 2 * F.size(work)), begin, step, lambda acc: F.concat(acc["done"], acc["todo"]))
+
+
+def _clusters(work: Column) -> Column:
+    """The sorted spans cut where a span starts at or after the end of all before it."""
+    reach = running_max(F.transform(work, lambda s: s["end"]))
+    tagged = F.transform(F.arrays_zip(work.alias("s"), F.concat(F.array(F.lit(-1)), reach).alias("r")), lambda x, i: F.when(x["s"]["start"] >= x["r"], i))
+    heads = F.filter(tagged, lambda i: i.isNotNull())
+    return once(heads, lambda h: F.transform(h, lambda at, i: F.slice(work, at + 1, F.coalesce(F.get(h, i + 1), F.size(work)) - at)))
+
+
+def normalize_overlaps(spans: Column) -> Column:
+    """Disjoint spans (start, end, entity_type, score, recognizer_name) in document order.
+
+    Spans that don't touch a common cluster never meet, so each cluster is settled by itself; the cost
+    grows with the clusters' sizes, not with the spans of the text.
+    """
+
+    def settled(work: Column) -> Column:
+        return F.flatten(F.transform(_clusters(work), lambda c: F.when(F.size(c) > 1, _settle(c)).otherwise(c)))
+
+    out = F.when(F.size(spans) < 2, _work(spans)).otherwise(once(_work(spans), settled))
     return F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"), s["recognizer_name"].alias("recognizer_name")))

@@ -63,3 +63,34 @@ def test_overlaps_equal_pairwise_model(spark):
 def test_validators(spark):
     df = spark.createDataFrame([("4111 1111 1111 1111", "4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33", "1.2.3.255", "1.2.3.256")], "a string, b string, c string, d string, e string, f string")
     assert tuple(df.select(V.luhn(F.col("a")), V.luhn(F.col("b")), V.iban(F.col("c")), V.iban(F.col("d")), V.ipv4(F.col("e")), V.ipv4(F.col("f"))).first()) == (True, False, True, False, True, False)
+
+
+def test_running_and_cutting(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(9) for _ in range(rng.choice([0, 1, 2, 3, 7, 8, 9, 100, 1000]))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, v array<int>")
+    for r, (_, v) in zip(df.select("i", X.running_sums(F.col("v")).alias("s"), X.running_max(F.col("v")).alias("m")).orderBy("i").collect(), rows, strict=True):
+        assert r.s == [sum(v[: k + 1]) for k in range(len(v))] and r.m == [max(v[: k + 1]) for k in range(len(v))]
+    text = "".join(rng.choice("ab😀é\n") for _ in range(5000))
+    cuts = [(a, b) for a, b in ((rng.randrange(5001), rng.randrange(5200)) for _ in range(300))] + [(0, 5000), (0, 1024), (1024, 2048), (1023, 1025), (5000, 5001)]
+    df = spark.createDataFrame([(text, [dict(s=a, e=b) for a, b in cuts])], "t string, c array<struct<s:int,e:int>>")
+    got = df.select(X.cutting("t", lambda cut: F.transform("c", lambda x: cut(x["s"], x["e"])))).first()[0]
+    assert got == [text[a:b] for a, b in cuts]
+
+
+def test_many_spans_in_one_text(spark):
+    """Spans, overlaps and splicing of very many matches in one text: right, and not quadratic."""
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        text = "é ab1 " * n
+        df = spark.createDataFrame([(text,)], "t string")
+        began = time.perf_counter()
+        spans = X.spans_of("t", X.matches("t", "[a-z]+[0-9]"), "[a-z]+[0-9]")
+        full = df.withColumn("s", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("T").alias("entity_type"), F.lit(0.5).alias("score"), F.lit("r").alias("recognizer_name"))))
+        out = full.withColumn("s", normalize_overlaps(F.col("s"))).withColumn("e", F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("_").alias("replacement"))))
+        r = out.select(F.size("s").alias("n"), X.splice("t", F.col("e")).alias("t")).first()
+        took.append(time.perf_counter() - began)
+        assert r.n == n and r.t == "é _ " * n
+    assert took[1] < 3 * took[0] + 2
