@@ -7,11 +7,13 @@ are removed.  Windows are judged on the input, so covered positions of overlappi
 merge; lines without a word stay where they are.
 
 Windows are counted with partial aggregation; occurrences meet the repeated windows in a join that
-adaptive execution splits where a window is hot; removed positions are gathered per document only.
+adaptive execution splits where a window is hot; removed positions are gathered per document only
+and return to it by its id and a hash of its text.
 
 Defined results: NULL texts stay NULL; a text of fewer than three lines with words has no window;
 rows without an id come first in the order; identical repeated rows count as one occurrence and are
-treated alike; an empty table gives no rows; input columns named n_lines or n_removed are replaced.
+treated alike; ids may be of any type that has an order; an empty table gives no rows; input columns
+named n_lines or n_removed are replaced, all others (whatever their names) are returned.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import table
+from cloakframe.llm.common import Own, table
 
 LINES = 3
+_ADDED = ("n_lines", "n_removed")
 
 
 def _windows(text: bytes, k: int) -> list[bytes]:
@@ -34,8 +37,8 @@ def _windows(text: bytes, k: int) -> list[bytes]:
     return [blake2b(b"\n".join(lines[i : i + k]), digest_size=16).digest() for i in range(len(lines) - k + 1)]
 
 
-def window_rows(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """(h1, h2, _key, doc_id, pos) for each window of each text."""
+def window_rows(keyed: DataFrame, k: int) -> DataFrame:
+    """(_h1, _h2, _id, _key, _pos) for each window of each text of (_id, _key, text)."""
 
     def run(batches):
         for batch in batches:
@@ -48,12 +51,12 @@ def window_rows(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
             h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), batch.column(1).take(take), batch.column(0).take(take), pa.array(pos, pa.int32())],
-                names=["h1", "h2", "_key", "doc_id", "pos"],
+                [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32())],
+                names=["_h1", "_h2", "_id", "_key", "_pos"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_key", text).mapInArrow(run, f"h1 bigint, h2 bigint, _key bigint, doc_id {kind}, pos int")
+    long = lambda name: T.StructField(name, T.LongType())
+    return keyed.mapInArrow(run, T.StructType([long("_h1"), long("_h2"), T.StructField("_id", keyed.schema[0].dataType), long("_key"), T.StructField("_pos", T.IntegerType())]))
 
 
 def _rebuild(text: bytes, starts: list[int], k: int) -> tuple[bytes, int]:
@@ -70,15 +73,18 @@ def _rebuild(text: bytes, starts: list[int], k: int) -> tuple[bytes, int]:
 
 def dedup_lines(docs: DataFrame, lines: int = LINES, text: str = "text") -> DataFrame:
     """docs with text less its later repetitions, and n_lines and n_removed (lines that hold a word)."""
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "_key", "_starts")]
-    keyed = docs.select(*kept).withColumn("_key", F.xxhash64("doc_id", text))
-    found = window_rows(keyed, lines, text)
-    first = F.min(F.struct("doc_id", "_key", "pos"))
-    repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first")).where("_n > 1").drop("_n")
-    later = found.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "_key", "pos").eqNullSafe(F.col("_first")))
-    removed = later.groupBy(F.col("_key").alias("_k")).agg(F.collect_set("pos").alias("_starts"))
-    both = keyed.join(removed, F.col("_key") == F.col("_k"), "left").select(*kept, "_starts")
-    at, schema = kept.index(text), docs.select(*kept).schema.add("n_lines", T.LongType()).add("n_removed", T.LongType())
+    own = Own(docs)
+    doc, body = own["doc_id"], own[text]
+    kept = [*dict.fromkeys([*own.kept(_ADDED), doc, body])]
+    keyed = own.df.select(*kept, F.xxhash64(doc, body).alias("_key"))
+    found = window_rows(keyed.select(F.col(doc).alias("_id"), "_key", body), lines)
+    occurrence = F.struct("_id", "_key", "_pos")
+    repeated = found.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min(occurrence).alias("_first")).where("_n > 1").drop("_n")
+    later = found.join(repeated, ["_h1", "_h2"]).where(~occurrence.eqNullSafe(F.col("_first")))
+    removed = later.groupBy("_id", F.col("_key").alias("_k")).agg(F.collect_set("_pos").alias("_starts"))
+    # the id parts what a 64-bit hash of a whole corpus can't
+    both = keyed.join(removed, (F.col("_key") == F.col("_k")) & F.col(doc).eqNullSafe(F.col("_id")), "left").select(*kept, "_starts")
+    at, schema = kept.index(body), own.df.select(*kept).schema.add("_lines", T.LongType()).add("_gone", T.LongType())
 
     def run(batches):
         for batch in batches:
@@ -89,10 +95,10 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, text: str = "text") -> Data
                 x, less = _rebuild(x, starts, lines) if starts else (x, 0)
                 texts.append(x)
                 gone.append(less)
-            own = [pa.array(texts, pa.binary()).cast(kind) if i == at else batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "n_lines", "n_removed"])
+            same = [pa.array(texts, pa.binary()).cast(kind) if i == at else batch.column(i) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "_lines", "_gone"])
 
-    return both.mapInArrow(run, schema)
+    return own.back(both.mapInArrow(run, schema), {"n_lines": "_lines", "n_removed": "_gone"})
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
