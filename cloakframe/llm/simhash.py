@@ -6,16 +6,21 @@ four bytes or three of the last four; the index therefore posts each distinct fi
 eight triples of bytes (byte positions and values), which no link can miss.  Within a posting list
 the shared positional bytes of each pair are tallied, pairs reaching five stay, and their bits are
 compared.  A list over ``LIST_LIMIT`` is not paired but posted anew under all 56 sets of five bytes
-(exact: a link shares five), whose lists span at most 24 free bits.  Only edges that join different
+(exact: a link shares five).  Such a list has 24 free bits, so at most 2**24 fingerprints however large
+the corpus; where it is over the limit again, its free bits are parted in four and only those equal in
+one part are paired (exact: three differing bits leave a part untouched).  Only edges that join different
 trees leave a list, so a group of copies gives links in proportion to its size.
 
 Defined results: NULL, empty and wordless texts have fingerprint zero and are linked like any other;
 rows without an id get the component's smallest id, NULL if it has none; repeated rows get the same
-result; an empty table gives no rows; input columns named like an output are replaced.
+result, and of rows that share a group's smallest id one stays; ids may be of any type that has an order;
+an empty table gives no rows; input columns named fingerprint or component_id are replaced by
+near_duplicates, all others (whatever their names) are returned, and one_of_each returns all as they were.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import append_from_text, table, written
+from cloakframe.llm.common import Own, append_from_text, table, written
 from cloakframe.llm.graph import components
 
 SHINGLE = 3
@@ -103,16 +108,40 @@ def link_lists(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _pair(postings: DataFrame, limit: int | None) -> DataFrame:
-    """(u, v, long): edges, and (u, NULL, true) for the members of lists over the limit."""
+def _cells(fps: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Lists of at most limit of the distinct fps that hold every linked pair together.
+
+    The bits in which the fps differ are parted in four; a linked pair is equal in one part at least, so
+    the fps that share a part's bits form a list, parted again while it is long.
+    """
+    spread = int(np.bitwise_or.reduce(fps.view(np.uint64) ^ fps.view(np.uint64)[0]))
+    bits = [b for b in range(64) if spread >> b & 1]
+    if len(fps) <= limit or len(bits) <= MOST_BITS:
+        yield fps
+        return
+    for part in np.array_split(bits, MOST_BITS + 1):
+        shared = fps.view(np.uint64) & np.uint64(sum(1 << int(b) for b in part))
+        order = np.argsort(shared, kind="stable")
+        ends = np.flatnonzero(np.append(shared[order][1:] != shared[order][:-1], True)) + 1
+        for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            if hi - lo > 1:
+                yield from _cells(fps[order[lo:hi]], limit)
+
+
+def _pair(postings: DataFrame, limit: int, last: bool) -> DataFrame:
+    """(u, v, long): edges, and, but for the last index, (u, NULL, true) for the members of lists over the limit."""
 
     def emit(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         long = np.zeros(0, np.int64)
-        if limit:
-            _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            big = np.repeat(counts > limit, counts)
-            long, keys, fps = fps[big], keys[~big], fps[~big]
-        edges = link_lists(keys, fps)
+        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        big = np.repeat(counts > limit, counts)
+        edges = link_lists(keys[~big], fps[~big])
+        if last:
+            for at in np.flatnonzero(counts > limit).tolist():
+                cells = list(_cells(fps[first[at] : first[at] + counts[at]], limit))
+                edges += link_lists(np.repeat(np.arange(len(cells)), [len(c) for c in cells]), np.concatenate(cells))
+        else:
+            long = fps[big]
         u = pa.array([a for a, _ in edges] + long.tolist(), pa.int64())
         v = pa.array([b for _, b in edges] + [None] * len(long), pa.int64())
         return pa.RecordBatch.from_arrays([u, v, pa.array([False] * len(edges) + [True] * len(long), pa.bool_())], names=["u", "v", "long"])
@@ -135,7 +164,7 @@ def _pair(postings: DataFrame, limit: int | None) -> DataFrame:
                 cut = np.searchsorted(keys, keys[-1])
                 yield emit(keys[:cut], fps[:cut])
                 keys, fps = keys[cut:], fps[cut:]
-            if limit and len(keys) > limit:
+            if not last and len(keys) > limit:
                 over = keys[0]
                 yield passed(fps)
                 keys, fps = keys[:0], fps[:0]
@@ -147,30 +176,37 @@ def _pair(postings: DataFrame, limit: int | None) -> DataFrame:
 
 def links(distinct: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that connect all that are linked; distinct: (fp)."""
-    first = written(_pair(distinct.select(_postings(F.col("fp"), TRIPLES).alias("key"), "fp"), list_limit), "links")
+    first = written(_pair(distinct.select(_postings(F.col("fp"), TRIPLES).alias("key"), "fp"), list_limit, False), "links")
     again = first.where("long").select(F.col("u").alias("fp")).distinct()
-    second = _pair(again.select(_postings(F.col("fp"), FIVES).alias("key"), "fp"), None)
+    second = _pair(again.select(_postings(F.col("fp"), FIVES).alias("key"), "fp"), list_limit, True)
     return first.where("not long").select("u", "v").unionByName(second.select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """keep (default: all columns) with _row, fp, fingerprint (hex) and component_id (smallest linked doc_id)."""
-    columns = [c for c in keep or docs.columns if c.lower() not in ("_row", "fp", "fingerprint", "component_id")]
-    marked = append_from_text(docs.select(*{*columns, "doc_id", text}), "fp bigint", lambda x: {"fp": fingerprints(x, shingle)}, text)
-    base = written(marked.select(*columns, F.monotonically_increasing_id().alias("_row"), "fp"), "fingerprints")
-    distinct = base.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+def _grouped(own: Own, mine: list[str], shingle: int, text: str) -> DataFrame:
+    """mine (columns of own) with _row, _id, _fp, _root (the group) and _least (its smallest id)."""
+    doc, body = own["doc_id"], own[text]
+    marked = append_from_text(own.df.select(*dict.fromkeys([*mine, doc, body])), "_fp bigint", lambda x: {"_fp": fingerprints(x, shingle)}, body)
+    base = written(marked.select(*mine, F.col(doc).alias("_id"), F.monotonically_increasing_id().alias("_row"), "_fp"), "fingerprints")
+    distinct = base.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_doc"))
     stars = components(links(distinct.select("fp")))
-    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return base.join(of, "fp").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "_doc", F.coalesce("root", "fp").alias("_root"))
+    least = rooted.groupBy("_root").agg(F.min("_doc").alias("_least"))
+    return base.join(rooted.join(least, "_root").select("fp", "_root", "_least"), F.col("_fp") == F.col("fp"))
+
+
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
+    """keep (default: all columns) with fingerprint (hex) and component_id (smallest linked doc_id)."""
+    own = Own(docs)
+    found = _grouped(own, own.kept(("fingerprint", "component_id"), keep), shingle, text)
+    return own.back(found, {"fingerprint": F.lpad(F.lower(F.hex("_fp")), 16, "0"), "component_id": "_least"}, keep)
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """One document of each group, that of the smallest id, with the columns of docs."""
-    found = near_duplicates(docs, None, shingle, text)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min("_row").alias("_stays"))
-    return found.join(stays.select("_stays"), F.col("_row") == F.col("_stays"), "left_semi").select(*docs.columns)
+    """One document of each group, that of the smallest id, with the columns of docs as they were."""
+    own = Own(docs)
+    found = _grouped(own, own.all(), shingle, text)
+    stays = found.where(F.col("_id").eqNullSafe(F.col("_least"))).groupBy("_root").agg(F.min("_row").alias("_stays"))
+    return own.back(found.join(stays, F.col("_row") == F.col("_stays"), "left_semi"), {})
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,21 @@ def test_list_edges_connect_what_is_linked():
     assert groups(every.tolist(), lambda a, b: frozenset((a, b)) in own) == want and len(edges) == len(every) - len(set(want.values()))
 
 
+def test_dense_lists_are_parted_without_losing_a_link():
+    rng = np.random.default_rng(13)
+    for bits, n in ((24, 3000), (10, 900), (4, 16)):
+        free = rng.choice(64, bits, replace=False)
+        values = rng.choice(1 << bits, n, replace=False)
+        fps = np.unique(np.array([sum(1 << int(b) for k, b in enumerate(free) if v >> k & 1) for v in values.tolist()], np.uint64).view(np.int64))
+        for limit in (2, 50, 4096):
+            cells = list(simhash._cells(fps, limit))
+            assert all(len(c) <= max(limit, 8) for c in cells)
+            together = {(a, b) for c in cells for i, a in enumerate(sorted(c.tolist())) for b in sorted(c.tolist())[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+            bits_of = fps.view(np.uint64)
+            every = {tuple(sorted((int(fps[i]), int(fps[j])))) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(bits_of ^ bits_of[i]) <= 3).tolist() if j != i}
+            assert together == every
+
+
 def test_every_link_shares_an_index_key():
     rng = random.Random(10)
     for _ in range(500):
