@@ -4,11 +4,14 @@ Every window of ten consecutive benchmark words is a pattern (an item of fewer w
 pattern).  For each pattern length, a shift table over blocks of two words says how far the
 search may jump, the blocks that end a pattern select a bucket of patterns, and a direct
 comparison confirms each occurrence.  Patterns reach the executors in blocks of bounded size
-(``BLOCK_CHARS``); a larger benchmark takes several passes in one stage, without a shuffle.
+(``BLOCK_CHARS``).  A benchmark of one block takes one pass and no shuffle; for a larger one, separate tasks
+search the texts for each block, so that a task holds one block's patterns whatever the benchmark's
+size, and only the hits are shuffled, to meet by row.
 
 Defined results: NULL and empty texts have no words and no hits; NULL or wordless items have no
-pattern; repeated rows are scored alike; items that share an id count once; documents or
-benchmarks without rows give no rows or no hits; input columns named like an output are replaced.
+pattern; repeated rows are scored alike; items that share an id count once; windows of items without an
+id hit, but such an item is in no list of items; documents or benchmarks without rows give no rows or no
+hits; input columns named like an output are replaced, all others (whatever their names) are returned.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import table
+from cloakframe.llm.common import Own, append_from_text, table, written
 
 WINDOW = 10
 #: Most characters of benchmark text whose patterns are held by a task at once.
 BLOCK_CHARS = 1_000_000
+_ADDED = ("n_words", "hit_spans", "items", "contaminated")
+_FOUND = "_n_words bigint, _spans array<struct<s:int,e:int>>, _items array<string>"
 
 #: A-Z to a-z; bytes that are in no word to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 47 or 58 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
@@ -78,63 +83,78 @@ def compile_patterns(rows: list[tuple[object, str]], window: int) -> list[WuManb
     return [WuManber(dict(p), n) for n, p in sorted(by_length.items())]
 
 
-def _scan(matchers: list[WuManber], text: bytes, spans: list, items: set) -> tuple[int, list]:
+def _merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Word ranges joined where they overlap or touch."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [{"s": s, "e": e} for s, e in out]
+
+
+def _scan(matchers: list[WuManber], text: bytes) -> tuple[int, list[dict], list[str]]:
+    """Words of a text, its hit word ranges and the ids of the items found (items without an id have none)."""
     words, found = words_of(text), []
     for m in matchers:
         m.search(words, found)
-    if found:
-        for _, _, ids in found:
-            items.update(ids)
-        merged: list[list[int]] = []
-        for s, e in sorted([(s, e) for s, e, _ in found] + [(x["s"], x["e"]) for x in spans]):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e])
-        spans = [{"s": s, "e": e} for s, e in merged]
-    return len(words), spans
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with n_words, hit_spans (word ranges in windows of the benchmark), items and contaminated."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col("text").alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    return len(words), _merged([(s, e) for s, e, _ in found]), sorted({i for _, _, ids in found for i in ids if i is not None})
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with n_words, hit_spans (word ranges in windows of the benchmark), items and contaminated."""
+    own, bench = Own(docs), Own(benchmark)
+    mine = own.kept(_ADDED, keep)
+    items = bench.df.select(F.col(bench[item_id]).cast("string").alias("_item"), F.col(bench["text"]).alias("_t")).where("_t is not null")
+    total = items.agg(F.sum(F.length("_t"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
-    out = docs
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
-        shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.t) for r in own.toLocalIterator()])
-        out = _pass(out, shared, window, text, first=k == 0)
-    return out.withColumn("contaminated", F.size("hit_spans") > 0)
+    rows = own.df.select(*dict.fromkeys([*mine, own[text]]))
+    if blocks == 1:
+        found = _pass(rows, own[text], items, window)
+    else:
+        found = _passes(rows, own[text], items, window, blocks)
+    return own.back(found, {"n_words": "_n_words", "hit_spans": "_spans", "items": "_items", "contaminated": F.size("_spans") > 0}, keep)
 
 
-def _pass(df: DataFrame, shared, window: int, text: str, first: bool) -> DataFrame:
-    from pyspark.sql import types as T
+def _pass(rows: DataFrame, text: str, items: DataFrame, window: int) -> DataFrame:
+    """rows with _n_words, _spans and _items by the patterns of items, which one broadcast holds."""
+    shared = rows.sparkSession.sparkContext.broadcast([(r._item, r._t) for r in items.toLocalIterator()])
+    compiled: list = []
 
-    added = T.StructType.fromDDL("n_words bigint, hit_spans array<struct<s:int,e:int>>, items array<string>")
-    kept = [f for f in df.schema if f.name.lower() not in ("n_words", "hit_spans", "items", "contaminated")]
-    at, was = df.columns.index(text), None if first else [df.columns.index(f.name) for f in added]
-    kept_at = [df.columns.index(f.name) for f in kept]
+    def search(texts: list[bytes]) -> dict:
+        if not compiled:
+            compiled.append(compile_patterns(shared.value, window))
+        got = [_scan(compiled[0], x) for x in texts]
+        return {"_n_words": [n for n, _, _ in got], "_spans": [s for _, s, _ in got], "_items": [i for _, _, i in got]}
+
+    return append_from_text(rows, _FOUND, search, text)
+
+
+def _passes(rows: DataFrame, text: str, items: DataFrame, window: int, blocks: int) -> DataFrame:
+    """As _pass, by blocks of patterns: separate tasks read the texts for each block, and hits meet by row."""
+    base = written(append_from_text(rows.withColumn("_row", F.monotonically_increasing_id()), "_n_words bigint", lambda x: {"_n_words": [len(words_of(y)) for y in x]}, text), "texts")
+    hits = None
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("_item", "_t"), F.lit(blocks)) == k)
+        some = _pass(base.select("_row", text), text, part, window).where(F.size("_spans") > 0).select("_row", "_spans", "_items")
+        hits = some if hits is None else hits.unionByName(some)
+    both = hits.groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
 
-    def run(batches):
+    def merge(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        matchers, arrow = compile_patterns(shared.value, window), to_arrow_schema(added)
         for batch in batches:
-            before = ([[]] * batch.num_rows, [[]] * batch.num_rows) if first else [batch.column(i).to_pylist() for i in was[1:]]
-            rows = []
-            for x, spans, items in zip(batch.column(at).cast(pa.binary()).to_pylist(), *before, strict=True):
-                n, spans = _scan(matchers, x or b"", spans, items := set(items))
-                rows.append((n, spans, sorted(items)))
-            new = [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept_at] + new, names=[f.name for f in kept] + arrow.names)
+            spans = [_merged([(x["s"], x["e"]) for x in own]) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, batch.schema.field(1).type), batch.column(2)], names=["_of", "_spans", "_items"])
 
-    return df.mapInArrow(run, T.StructType([*kept, *added]))
+    merged = both.mapInArrow(merge, "_of bigint, _spans array<struct<s:int,e:int>>, _items array<string>")
+    joined = base.join(merged, F.col("_row") == F.col("_of"), "left")
+    return joined.withColumns({c: F.coalesce(c, F.array().cast(joined.schema[c].dataType)) for c in ("_spans", "_items")})
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -157,7 +177,7 @@ win as (
   from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) s from tok, (select distinct k from pat) where len(w) >= k)),
 hit as (select doc_id, s, win.k, item_id from win join pat on win.k = pat.k and win.p = pat.p),
 cov as (select doc_id, count(distinct j) n from (select doc_id, unnest(range(s, s + k)) j from hit) group by doc_id),
-its as (select doc_id, count(*) n, string_agg(i, ',' order by i) ids from (select distinct doc_id, item_id::varchar i from hit) group by doc_id)
+its as (select doc_id, count(i) n, string_agg(i, ',' order by i) ids from (select distinct doc_id, item_id::varchar i from hit) group by doc_id)
 select tok.doc_id, len(w)::bigint n_words, coalesce(cov.n, 0)::bigint n_hit, coalesce(its.n, 0)::bigint n_items,
        sha256(coalesce(its.ids, '')) items_sha256, coalesce(cov.n, 0) > 0 contaminated
 from tok left join cov using (doc_id) left join its using (doc_id)
