@@ -3,25 +3,31 @@
 Every version of a path is content-addressed by SHA-256.  The ledger holds one row per scanned
 (blob, rule, rule version) with the spans found; a run scans only distinct blobs, and of each only
 the rules whose pair is not in the ledger yet, and joins the findings back to all paths.  Distinct
-blobs are picked by partial aggregation (copies collapse before the shuffle).  New ledger rows are written,
-those without spans included, so that a later run can skip their pairs; the findings of paths are joined back from
-the ledger; they are written first, so that the join is split by adaptive execution where one blob has very many paths.
+blobs are picked by partial aggregation (copies collapse before the shuffle).  New ledger rows are stored in
+a folder of their run (class ``Ledger``), those without spans included, so that a later run can skip their
+pairs; the findings of paths are joined back from the stored ledger; they are written first, so that the
+join is split by adaptive execution where one blob has very many paths.
 
-Offsets are code points.  They come from pairing all matches with the text between them.
+Offsets are code points.  They come from pairing all matches with the text between them; ends are running
+sums (n log n in the matches of a text).
 
 Defined results: NULL texts are empty and have no spans; repeated rows and copies get the same
-spans; overlapping spans of different kinds all stay, sorted by start, then kind; an empty table
-gives no rows and no new ledger rows; input columns named spans or _blob are replaced.
+spans; overlapping spans of different kinds all stay, sorted by start, then kind; ids are not used, so
+they may be missing, repeated or of any type; an empty table gives no rows and no new ledger rows; an input
+column named spans is replaced, all others (whatever their names) are returned.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import table, written
+from cloakframe.functions.text import once, running_sums
+from cloakframe.llm.common import Own, table, written
+from cloakframe.sources.scratch import folder
 
 
 @dataclass(frozen=True)
@@ -53,6 +59,7 @@ MORE_RULES = [
 RULES = BASE_RULES + MORE_RULES
 
 _SPANS = "array<struct<s:int,e:int>>"
+_LEDGER = f"blob string, kind string, version int, spans {_SPANS}"
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -61,21 +68,16 @@ def _matches(text: Column, rule: Rule) -> Column:
 
 
 def _spans(text: Column, matches: Column, rule: Rule) -> Column:
-    """Spans of the matches, those with too short a value left out."""
-    between = F.split(text, rule.pattern, -1)
+    """Spans of the matches, those with too short a value left out; ends are running sums of lengths."""
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.value)) if rule.value else matches
-    parts = F.transform(F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("b"), values.alias("v")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    walked = F.aggregate(
-        parts,
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + x["b"] + x["m"]).alias("at"),
-            F.when(x["v"] >= rule.least, F.concat(a["out"], F.array(F.struct((a["at"] + x["b"]).alias("s"), (a["at"] + x["b"] + x["m"]).alias("e"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(matches) > 0, walked).otherwise(F.array().cast(_SPANS))
+
+    def placed(m: Column) -> Column:
+        between = F.slice(F.split(text, rule.pattern, -1), 1, F.size(m))
+        sizes = F.transform(F.arrays_zip(m.alias("m"), between.alias("b")), lambda x: F.length(x["b"]) + F.length(x["m"]))
+        rows = F.arrays_zip(m.alias("m"), running_sums(sizes).alias("e"), (values if rule.value else m).alias("v"))
+        return F.transform(F.filter(rows, lambda x: F.length(x["v"]) >= rule.least), lambda x: F.struct((x["e"] - F.length(x["m"])).alias("s"), x["e"].alias("e")))
+
+    return F.when(F.size(matches) > 0, once(matches, placed)).otherwise(F.array().cast(_SPANS))
 
 
 def blob_of(text: Column) -> Column:
@@ -88,7 +90,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: lis
     ledger: (blob, kind, version, spans) as ``ledger_rows`` gives it.
     """
     rules = rules or RULES
-    blobs = versions.select(blob_of(F.col(text)).alias("_blob"), F.coalesce(F.col(text), F.lit("")).alias("_text")).groupBy("_blob").agg(F.first("_text").alias("_text"))
+    own = Own(versions)
+    body = F.col(own[text])
+    blobs = own.df.select(blob_of(body).alias("_blob"), F.coalesce(body, F.lit("")).alias("_text")).groupBy("_blob").agg(F.first("_text").alias("_text"))
     if ledger is None:
         todo = blobs.withColumn("_seen", F.array().cast("array<string>"))
     else:
@@ -107,6 +111,29 @@ def ledger_rows(found: DataFrame) -> DataFrame:
     return found.select(F.col("_blob").alias("blob"), F.explode_outer("found").alias("f")).where("f is not null").select("blob", "f.kind", "f.version", "f.spans")
 
 
+class Ledger:
+    """A ledger stored in a folder that all executors share: one table of new rows per run, none rewritten."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """(blob, kind, version, spans) of all runs so far."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        runs = [f"{self.path}/{s.getPath().getName()}" for s in files.listStatus(folder)] if files.exists(folder) else []
+        done = [r for r in runs if files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{r}/_SUCCESS"))]
+        if done:
+            return self.spark.read.schema(_LEDGER).parquet(*done)
+        return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (("blob", "string"), ("kind", "string"), ("version", "int"), ("spans", _SPANS))])
+
+    def grow(self, versions: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
+        """Scan the pairs of versions' blobs and rules that the ledger lacks, store them; all rows."""
+        new = ledger_rows(scan_unseen(versions, self.rows(), rules, text))
+        new.write.option("compression", "zstd").parquet(f"{self.path}/run-{uuid.uuid4().hex}")
+        return self.rows()
+
+
 def grow_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """ledger with a written row for each pair of versions' blobs and rules that it lacks."""
     new = written(ledger_rows(scan_unseen(versions, ledger, rules, text)), "ledger")
@@ -118,22 +145,25 @@ def scan_paths(versions: DataFrame, ledger: DataFrame | None = None, rules: list
     return paths_of(versions, grow_ledger(versions, ledger, rules, text), rules, text)
 
 
-def paths_of(versions: DataFrame, ledger: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """versions with spans: all findings of its blob under the rules in a ledger that has them."""
-    rules = rules or RULES
+def paths_of(versions: DataFrame, ledger: DataFrame, rules: list[Rule] | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """versions (or its columns in keep) with spans: all findings of its blob under the rules in a ledger that has them."""
+    rules, own = rules or RULES, Own(versions)
     pairs = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     hits = ledger.where((F.size("spans") > 0) & F.array_contains(pairs, F.concat_ws(":", "kind", F.col("version").cast("string"))))
-    found = hits.groupBy(F.col("blob").alias("_blob")).agg(F.collect_list(F.struct("kind", "version", "spans")).alias("found"))
+    found = hits.groupBy(F.col("blob").alias("_of")).agg(F.collect_list(F.struct("kind", "version", "spans")).alias("_found"))
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    flat = F.flatten(F.transform("found", lambda f: F.transform(f["spans"], lambda s: F.struct(s["s"].alias("start"), order[f["kind"]].alias("rank"), s["e"].alias("end"), f["kind"].alias("kind")))))
-    spans = written(found.select("_blob", F.array_sort(flat).alias("spans")), "findings")
-    kept = [c for c in versions.columns if c.lower() not in ("spans", "_blob")]
-    return versions.select(*kept, blob_of(F.col(text)).alias("_blob")).join(spans, "_blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
+    flat = F.flatten(F.transform("_found", lambda f: F.transform(f["spans"], lambda s: F.struct(s["s"].alias("start"), order[f["kind"]].alias("rank"), s["e"].alias("end"), f["kind"].alias("kind")))))
+    spans = written(found.select("_of", F.array_sort(flat).alias("_spans")), "findings")
+    rows = own.df.select(*own.kept(("spans",), keep), blob_of(F.col(own[text])).alias("_blob"))
+    joined = rows.join(spans, F.col("_blob") == F.col("_of"), "left")
+    return own.back(joined, {"spans": F.coalesce("_spans", F.array().cast(spans.schema["_spans"].dataType))}, keep)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run over all documents: its ledger is stored, consulted for pairs seen before (none yet) and joined back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = paths_of(docs, grow_ledger(docs)).select("doc_id", "spans")
+    ledger = Ledger(spark, folder(spark, "secret-ledger"))
+    found = paths_of(docs, ledger.grow(docs), keep=["doc_id"])
     text_of = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["rank"] < len(BASE_RULES))

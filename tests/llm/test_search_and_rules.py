@@ -89,15 +89,53 @@ def test_ledger_scans_only_unseen_pairs(spark):
 
 def test_op7_writes_a_ledger_that_a_later_run_can_use(spark, monkeypatch):
     made = []
-    real = secrets.written
-    monkeypatch.setattr(secrets, "written", lambda df, what: made.append(real(df, what)) or made[-1])
+    real = secrets.Ledger
+    monkeypatch.setattr(secrets, "Ledger", lambda *where: made.append(real(*where)) or made[-1])
     path = "/root/testdata/sf0.001"
     first = secrets.op7_secrets(spark, path).collect()
     docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
-    ledger = made[0]
+    ledger = made[0].rows()
+    assert made[0].grow(docs).count() == ledger.count()  # a second run finds nothing to scan
     assert ledger.columns == ["blob", "kind", "version", "spans"]
     assert ledger.count() == docs.select(secrets.blob_of(docs.text)).distinct().count() * len(secrets.RULES)
     assert ledger.where("size(spans) = 0").count() and ledger.where("size(spans) > 0").count()
     assert secrets.scan_unseen(docs, ledger).count() == 0  # all pairs were seen, those without findings too
     spans = {r.doc_id: [f"{x.kind}:{x.start}:{x.end}" for x in r.spans] for r in secrets.scan_paths(docs, ledger).collect()}
     assert {r.doc_id: r.spans for r in first} == {k: ",".join(v) for k, v in spans.items()}
+
+
+def test_many_spans_in_one_text_take_no_quadratic_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        text = "x 0123456789abcdef " * n
+        df = spark.createDataFrame([(1, text)], DOCS)
+        began = time.perf_counter()
+        spans = secrets.scan_paths(df).first().spans
+        took.append(time.perf_counter() - began)
+        assert [(x.start, x.end) for x in spans] == [(19 * i + 2, 19 * i + 18) for i in range(n)]
+    assert took[1] < 2 * took[0] + 2
+
+
+def test_stored_ledger_over_runs(spark, tmp_path):
+    """Versions arrive in two runs; the second scans only its new blobs, and a new rule version only that rule."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), DOCS)
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.rows().count() == 0
+    first = ledger.grow(df.where("doc_id < 3"), secrets.BASE_RULES).count()
+    assert first == 9
+    again = ledger.grow(df, secrets.BASE_RULES)
+    assert again.count() == 3 * len({t or "" for t in TEXTS}) and again.groupBy("blob", "kind", "version").count().where("count > 1").count() == 0
+    newer = [secrets.Rule("hex", "[0-9a-f]{17,}", version=2), *secrets.BASE_RULES[:2]]
+    assert ledger.grow(df, newer).count() == 4 * len({t or "" for t in TEXTS})
+    got = {r.doc_id: [(x.start, x.rank, x.end, x.kind) for x in r.spans] for r in secrets.paths_of(df, ledger.rows(), secrets.BASE_RULES).collect()}
+    assert got == {i: _secrets(t) for i, t in enumerate(TEXTS)}
+
+
+def test_items_without_an_id_hit_but_are_not_named(spark):
+    items = spark.createDataFrame([(None, "a b c"), ("7", "b c d"), (None, None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x a b c d"), (None, "a b c"), (2, None)], DOCS)
+    for chars in (4, 1000):
+        got = {r.doc_id: (r.n_words, [(x.s, x.e) for x in r.hit_spans], r["items"], r.contaminated) for r in decontam.decontaminate(docs, items, window=3, block_chars=chars).collect()}
+        assert got == {1: (5, [(1, 5)], ["7"], True), None: (3, [(0, 3)], [], True), 2: (0, [], [], False)}
