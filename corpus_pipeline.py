@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm import decontam, line_dedup, mixing, simhash, toxicity
 from cloakframe.llm.common import table, written
+from cloakframe.sources import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each but the last is a written table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; the result of each but the last is a written table.
+
+    What a stage wrote on its way, and the table it read, are deleted once its own result is stored.
+    """
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch.scope() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        scratch.drop(spark, read + made[:-1])
+        read = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
