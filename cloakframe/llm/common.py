@@ -140,8 +140,8 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(g)
 
 
-def append_from_text(df: DataFrame, fields: str, compute: Callable[[list[bytes]], dict], text: str = "text", most: int = 4_000_000) -> DataFrame:
-    """df with the columns that compute(texts) returns; input columns of the same names are replaced.
+def append_from_text(df: DataFrame, fields: str, compute: Callable[[list[bytes]], dict], text: str = "text", most: int = 4_000_000, drop: bool = False) -> DataFrame:
+    """df (drop: without its text) with the columns that compute(texts) returns; input columns of the same names are replaced.
 
     compute gets at most about ``most`` bytes of whole texts at once (a longer text comes alone).
     """
@@ -149,7 +149,7 @@ def append_from_text(df: DataFrame, fields: str, compute: Callable[[list[bytes]]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     added = T.StructType.fromDDL(fields)
-    names = {f.name.lower() for f in added}
+    names = {f.name.lower() for f in added} | ({text.lower()} if drop else set())
     kept = [f for f in df.schema if f.name.lower() not in names]
     arrow = to_arrow_schema(added)
     n_kept = [i for i, f in enumerate(df.schema) if f.name.lower() not in names]
@@ -167,6 +167,12 @@ def append_from_text(df: DataFrame, fields: str, compute: Callable[[list[bytes]]
     return df.mapInArrow(run, T.StructType([*kept, *added]))
 
 
+def read_texts(own: Own, columns: list[str], fields: str, compute: Callable[[list[bytes]], dict], text: str, most: int = 4_000_000) -> DataFrame:
+    """These columns of own with what compute finds in its texts; texts that aren't among them stay in Python."""
+    body = own[text]
+    return append_from_text(own.df.select(*dict.fromkeys([*columns, body])), fields, compute, body, most, drop=body not in columns)
+
+
 def pack(text: bytes) -> bytes:
     """A text compressed for a shuffle (zstd, after its length)."""
     return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)

@@ -109,16 +109,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     items = bench.df.select(F.col(bench[item_id]).cast("string").alias("_item"), F.col(bench["text"]).alias("_t")).where("_t is not null")
     total = items.agg(F.sum(F.length("_t"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
-    rows = own.df.select(*dict.fromkeys([*mine, own[text]]))
-    if blocks == 1:
-        found = _pass(rows, own[text], items, window)
-    else:
-        found = _passes(rows, own[text], items, window, blocks)
+    rows, drop = own.df.select(*dict.fromkeys([*mine, own[text]])), own[text] not in mine
+    found = _pass(rows, own[text], items, window, drop) if blocks == 1 else _passes(rows, own[text], items, window, blocks)
     return own.back(found, {"n_words": "_n_words", "hit_spans": "_spans", "items": "_items", "contaminated": F.size("_spans") > 0}, keep)
 
 
-def _pass(rows: DataFrame, text: str, items: DataFrame, window: int) -> DataFrame:
-    """rows with _n_words, _spans and _items by the patterns of items, which one broadcast holds."""
+def _pass(rows: DataFrame, text: str, items: DataFrame, window: int, drop: bool) -> DataFrame:
+    """rows (drop: without their text) with _n_words, _spans and _items by the patterns of items, which one broadcast holds."""
     shared = rows.sparkSession.sparkContext.broadcast([(r._item, r._t) for r in items.toLocalIterator()])
     compiled: list = []
 
@@ -128,7 +125,7 @@ def _pass(rows: DataFrame, text: str, items: DataFrame, window: int) -> DataFram
         got = [_scan(compiled[0], x) for x in texts]
         return {"_n_words": [n for n, _, _ in got], "_spans": [s for _, s, _ in got], "_items": [i for _, _, i in got]}
 
-    return append_from_text(rows, _FOUND, search, text)
+    return append_from_text(rows, _FOUND, search, text, drop=drop)
 
 
 def _passes(rows: DataFrame, text: str, items: DataFrame, window: int, blocks: int) -> DataFrame:
@@ -137,7 +134,7 @@ def _passes(rows: DataFrame, text: str, items: DataFrame, window: int, blocks: i
     hits = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("_item", "_t"), F.lit(blocks)) == k)
-        some = _pass(base.select("_row", text), text, part, window).where(F.size("_spans") > 0).select("_row", "_spans", "_items")
+        some = _pass(base.select("_row", text), text, part, window, True).where(F.size("_spans") > 0).select("_row", "_spans", "_items")
         hits = some if hits is None else hits.unionByName(some)
     both = hits.groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Own, Words, append_from_text, grams, table, written
+from cloakframe.llm.common import Own, Words, grams, read_texts, table, written
 
 REPEAT_WINDOW = 5
 HOST_LIMIT = 0.5
@@ -75,8 +75,7 @@ def host_rules(docs: DataFrame, host: str = "source", text: str = "text", limit:
     """docs (or its columns in keep) with the measures, base_failed, rule_failed, host_rate (shrunk), host_rejected and kept."""
     own = Own(docs)
     mine = own.kept((*_MEASURES, *_VERDICTS), keep)
-    some = own.df.select(*dict.fromkeys([*mine, own[host], own[text]]))
-    m = append_from_text(some, ", ".join(f"_{c} bigint" for c in _MEASURES), lambda x: {f"_{k}": v for k, v in measures(x).items()}, own[text])
+    m = read_texts(own, [*mine, own[host]], ", ".join(f"_{c} bigint" for c in _MEASURES), lambda x: {f"_{k}": v for k, v in measures(x).items()}, text)
     base = (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words"))
     judged = m.select(*mine, F.col(own[host]).alias("_host"), *[f"_{c}" for c in _MEASURES], base.alias("_base"), (base | (100 * F.col("_n_symbols") > 10 * F.col("_word_chars"))).alias("_rule"))
     judged = written(judged, "measured")  # read twice, measured once

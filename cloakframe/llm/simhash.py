@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Own, append_from_text, table, written
+from cloakframe.llm.common import Own, read_texts, table, written
 from cloakframe.llm.graph import components
 
 SHINGLE = 3
@@ -184,8 +184,8 @@ def links(distinct: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
 
 def _grouped(own: Own, mine: list[str], shingle: int, text: str) -> DataFrame:
     """mine (columns of own) with _row, _id, _fp, _root (the group) and _least (its smallest id)."""
-    doc, body = own["doc_id"], own[text]
-    marked = append_from_text(own.df.select(*dict.fromkeys([*mine, doc, body])), "_fp bigint", lambda x: {"_fp": fingerprints(x, shingle)}, body)
+    doc = own["doc_id"]
+    marked = read_texts(own, [*mine, doc], "_fp bigint", lambda x: {"_fp": fingerprints(x, shingle)}, text)
     base = written(marked.select(*mine, F.col(doc).alias("_id"), F.monotonically_increasing_id().alias("_row"), "_fp"), "fingerprints")
     distinct = base.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_doc"))
     stars = components(links(distinct.select("fp")))
