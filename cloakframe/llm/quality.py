@@ -6,13 +6,15 @@ of up to three leaves on the current residuals, added with a small rate.  The pa
 residuals interact most then get two-dimensional tables in the same way.  A score is the logistic of
 the sum of table entries, so scoring is a vectorised addition of binned values.
 
-The tables are fitted on the driver from at most ``MAX_ROWS`` labelled rows (a hash sample, parameter
-``max_rows``); only their features leave the executors.  Scoring covers every whole text.
+The tables are fitted on the driver from at most ``MAX_ROWS`` labelled rows of at most ``MAX_BYTES`` of text
+together (a hash sample, parameters ``max_rows`` and ``max_bytes``); only their features leave the
+executors.  Scoring covers every whole text.
 
 Defined results: NULL, empty and wordless texts have all features 0 and get the score of those bins;
 with labels of one value only, or none, every score is the smoothed rate of label 1 (0.5 without
-labels); rows without an id are scored and count as not held out; an empty table gives no rows;
-clashing columns are replaced.
+labels); of documents that share an id the least text is fitted on; rows without an id are scored and
+count as not held out; repeated rows are scored alike; ids may be of any type; an empty table gives no
+rows; input columns named like an output are replaced, all others (whatever their names) are returned.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Words, append_from_text, in_fold, table
+from cloakframe.llm.common import Own, Words, append_from_text, in_fold, read_texts, table
 from cloakframe.llm.host_rules import repeated_words
-from cloakframe.llm.labelled import training_labels
+from cloakframe.llm.labelled import training_rows
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
+MAX_BYTES = 256_000_000
 BINS = 32
 PAIR_BINS = 8
 PAIRS = 10
@@ -192,31 +195,30 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS,
     return model
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    return append_from_text(docs, "features array<double>", lambda t: {"features": list(features(t))}, text)
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, max_rows: int = MAX_ROWS, text: str = "text") -> Gam:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, max_rows: int = MAX_ROWS, text: str = "text", max_bytes: int = MAX_BYTES) -> Gam:
     """A model from labelled documents outside the held-out fold."""
-    some = training_labels(labels, label, in_fold(F.col("doc_id"), folds, held_out), max_rows)
-    own = docs.select("doc_id", text).join(F.broadcast(some), "doc_id")
-    got = with_features(own, text).orderBy("doc_id").select("features", "y").toArrow()
-    x = np.array(got.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
-    return fit(x, np.array(got.column("y").to_pylist(), float))
+    some = training_rows(docs, labels, label, lambda i: in_fold(i, folds, held_out), max_rows, max_bytes, text)
+    read = append_from_text(some, "_x array<double>", lambda t: {"_x": list(features(t))}, "_t", drop=True)
+    got = read.orderBy("_id").select("_x", "_y").toArrow()
+    x = np.array(got.column("_x").to_pylist(), float).reshape(-1, len(FEATURES))
+    return fit(x, np.array(got.column("_y").to_pylist(), float))
 
 
-def score_documents(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs with score and predicted."""
+def score_documents(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with score and predicted."""
+    own = Own(docs)
+    mine = own.kept(("score", "predicted"), keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: list[bytes]) -> dict:
         p = shared.value.score(features(texts))
-        return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
+        return {"_score": p, "_predicted": (p >= threshold).astype(np.int32)}
 
-    return append_from_text(docs, "score double, predicted int", compute, text)
+    scored = read_texts(own, mine, "_score double, _predicted int", compute, text)
+    return own.back(scored, {"score": "_score", "predicted": "_predicted"}, keep)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", "predicted")
