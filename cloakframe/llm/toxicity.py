@@ -5,12 +5,15 @@ Only documents are labelled.  A sentence has the logit b + the weights of its to
 1 - prod(1 - p_sentence).  Weights are fitted by gradient steps on the document likelihood, so the
 sentences that explain the labels get the weight and can then be located.
 
-The fit uses at most ``MAX_DOCS`` labelled documents (a hash sample, parameter ``max_docs``) on the
-driver, with at most ``MAX_FEATURES`` features; scoring covers every whole text in vectorised bytes.
+The fit uses at most ``MAX_DOCS`` labelled documents of at most ``MAX_BYTES`` together (a hash sample,
+parameters ``max_docs`` and ``max_bytes``) on the driver, with at most ``MAX_FEATURES`` features; scoring
+covers every whole text in vectorised bytes.
 
 Defined results: NULL, empty and wordless texts have no sentence and score 0.0; without positive
-training labels every score is 0.0; labels of unknown documents are unused; rows without an id are
-scored and count as not held out; an empty table gives no rows; clashing columns are replaced.
+training labels every score is 0.0; labels of unknown documents are unused; of documents that share an
+id the least text is fitted on; rows without an id are scored and count as not held out; repeated rows are
+scored alike; ids may be of any type; an empty table gives no rows; input columns named like an output are
+replaced, all others (whatever their names) are returned.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Words, append_from_text, chunks, in_fold, mix, table
-from cloakframe.llm.labelled import training_labels
+from cloakframe.llm.common import Own, Words, chunks, in_fold, mix, read_texts, table
+from cloakframe.llm.labelled import training_rows
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 MAX_DOCS = 12_000
+MAX_BYTES = 64_000_000
 MAX_FEATURES = 4096
 MIN_DOCS = 4
 PREFIXES = (5, 6, 7, 8)
@@ -161,15 +165,17 @@ def fit(texts: list[bytes], labels: list[int], max_features: int = MAX_FEATURES,
     return Model(keys, theta[:-1], float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, max_docs: int = MAX_DOCS, text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, max_docs: int = MAX_DOCS, text: str = "text", max_bytes: int = MAX_BYTES) -> Model:
     """A model from labelled documents outside the held-out fold."""
-    some = training_labels(labels, label, in_fold(F.col("doc_id"), folds, held_out), max_docs)
-    got = docs.select("doc_id", F.col(text).alias("_t")).where("_t is not null").join(F.broadcast(some), "doc_id").select("doc_id", "_t", "y").orderBy("doc_id", "_t").select(F.col("_t").cast("binary").alias("t"), "y").toArrow()
+    some = training_rows(docs, labels, label, lambda i: in_fold(i, folds, held_out), max_docs, max_bytes, text)
+    got = some.orderBy("_id").select(F.col("_t").cast("binary").alias("t"), F.col("_y").alias("y")).toArrow()
     return fit(got.column("t").to_pylist(), got.column("y").to_pylist())
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs with score, predicted and offending: (start, end, p) in bytes of each sentence from threshold on."""
+def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with score, predicted and offending: (start, end, p) in bytes of each sentence from threshold on."""
+    own = Own(docs)
+    mine = own.kept(("score", "predicted", "offending"), keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: list[bytes]) -> dict:
@@ -179,13 +185,14 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
         for i in np.flatnonzero(each >= threshold).tolist():
             at = int(t.text[i])
             offending[at].append({"start": int(t.start[i] - begin[at]), "end": int(t.end[i] - begin[at]), "p": float(each[i])})
-        return {"score": p, "predicted": (p >= threshold).astype(np.int32), "offending": offending}
+        return {"_score": p, "_predicted": (p >= threshold).astype(np.int32), "_offending": offending}
 
-    return append_from_text(docs, "score double, predicted int, offending array<struct<start:int,end:int,p:double>>", compute, text)
+    scored = read_texts(own, mine, "_score double, _predicted int, _offending array<struct<start:int,end:int,p:double>>", compute, text)
+    return own.back(scored, {"score": "_score", "predicted": "_predicted", "offending": "_offending"}, keep)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    scored = score_documents(docs, model)
+    scored = score_documents(docs, model, keep=["doc_id"])
     return scored.select("doc_id", in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
