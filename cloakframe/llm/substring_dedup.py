@@ -13,11 +13,14 @@ smaller id.  Equal windows have the same minimiser (the least hash of their 4-wo
 4. The windows' smallest ids return to all places of a segment by a join on its hash, which adaptive
    execution splits where a segment is hot, and per document the covered words are removed.
 
-Words are compared by 64-bit hashes, segments by their routing key and another 64-bit hash.
+Words are compared by 64-bit hashes, segments by their routing key and another 64-bit hash.  What one route
+holds is bounded: a minimiser of at most ``HOT_PLACES`` places gives at most that many runs of ten windows.
 
 Defined results: NULL, empty and short texts have no window and keep all words; rows without an id
 neither lose words nor make others lose them; rows that share an id are one document (neither is
-smaller); an empty table gives no rows; input columns named n_words or n_removed are replaced.
+smaller); ids may be of any type that has an order (others than whole numbers are numbered in that order);
+an empty table gives no rows; input columns named n_words or n_removed are replaced, all others (whatever
+their names) are returned.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import Words, chunks, grams, mix, table, unpack, with_packed, written
+from cloakframe.llm.common import Own, Words, chunks, grams, mix, table, unpack, with_packed, written
 from cloakframe.llm.fm_index import FMIndex
 
 WINDOW = 13
 GRAM = 4
 HOT_PLACES = 2000
+_ADDED = ("n_words", "n_removed")
 #: Shortest run of one anchor in a partition whose length is reported.
 _RUN = 256
 #: Most windows in a segment, and about the most words in an index.
@@ -71,7 +75,7 @@ def _minimiser_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 fresh[1:] = (m[1:] != m[:-1]) | (own[1:] != own[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(m[fresh].view(np.int64)), pa.array(ids[lo:hi][own[fresh]])], names=["anchor", "doc_id"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor bigint, doc_id bigint")
+    return docs.where("_doc is not null").select("_doc", "_text").mapInArrow(run, "anchor bigint, doc_id bigint")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -190,7 +194,7 @@ def _cut(joined: DataFrame, window: int, gram: int, places: bool) -> DataFrame:
                     names=["route", "h", "seg", "least", "most"],
                 )
 
-    schema = "route bigint, h bigint, doc_id bigint, key int, pos int" if places else "route bigint, h bigint, seg string, least bigint, most bigint"
+    schema = "route bigint, h bigint, doc_id bigint, key bigint, pos int" if places else "route bigint, h bigint, seg string, least bigint, most bigint"
     return joined.mapInArrow(run, schema)
 
 
@@ -252,18 +256,31 @@ def _indexed(segments: DataFrame, window: int, block_words: int) -> DataFrame:
     return segments.repartition("route").sortWithinPartitions("route").mapInArrow(run, "route bigint, h bigint, mins array<bigint>")
 
 
+def _numbered(df: DataFrame, doc: str) -> DataFrame:
+    """df with _doc: the id as a number in the order of the ids."""
+    if isinstance(df.schema[doc].dataType, T.IntegralType):
+        return df.withColumn("_doc", F.col(doc).cast("bigint"))
+    # partitions of a range are in order, and so are the numbers given inside and across them
+    ids = df.select(F.col(doc).alias("_of")).where("_of is not null").distinct().repartitionByRange("_of").sortWithinPartitions("_of")
+    ids = written(ids.withColumn("_doc", F.monotonically_increasing_id()), "ids")
+    return df.join(ids, F.col(doc) == F.col("_of"), "left").drop("_of")
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text", hot_places: int = HOT_PLACES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with text as its kept words joined by one space, n_words and n_removed."""
+    own = Own(docs)
+    doc, body = own["doc_id"], own[text]
     gram = max(1, min(GRAM, window // 2))
-    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("doc_id", text).alias("_key"), F.col(text).alias("text"))
+    kept = [*dict.fromkeys([*own.kept(_ADDED), doc, body])]
+    numbered = _numbered(own.df, doc).withColumn("_key", F.xxhash64(doc, body))
+    base = numbered.select("_doc", "_key", F.col(body).alias("_text"))
     hits = written(_shared(_minimiser_rows(base, window, gram)), "anchors")
     runs = hits.where("doc_id is null").groupBy("anchor").agg(F.sum("run").alias("_n")).where(F.col("_n") > hot_places)
     hot = written(runs.select(F.col("anchor").alias("_hot")), "hot")
     marked = hits.where("doc_id is not null").join(hot, F.col("anchor") == F.col("_hot"), "left")
     lists = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("anchor").alias("_anchors"), F.collect_set("_hot").alias("_hot"))
-    packed = with_packed(base, "text")
-    joined = packed.join(lists, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "_key", "text", "_anchors", "_hot")
+    packed = with_packed(base, "_text")
+    joined = packed.join(lists, F.col("_doc") == F.col("_id"), "left").select("_doc", "_key", "_text", "_anchors", "_hot")
 
     mins = _indexed(_cut(joined, window, gram, False), window, block_words)
     places = _cut(joined, window, gram, True)
@@ -271,13 +288,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text",
         "doc_id", "key", F.filter(F.transform("mins", lambda m, i: F.when(m < F.col("doc_id"), F.col("pos") + i)), lambda x: x.isNotNull()).alias("at")
     ).where(F.size("at") > 0)
     starts = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("key", "at")).alias("_starts"))
-    if set(kept) == {"doc_id", text} and docs.schema["doc_id"].dataType == T.LongType():
+    if set(kept) == {doc, body} and own.df.schema[doc].dataType == T.LongType():
         # the same rows as above, so that one exchange of the texts serves both joins
-        both = packed.join(starts, F.col("doc_id") == F.col("_id"), "left").select(*[F.col("text").alias(text) if c == text else F.col(c) for c in kept], "_key", "_starts")
+        both = packed.join(starts, F.col("_doc") == F.col("_id"), "left").select(*[F.col("_text" if c == body else "_doc").alias(c) for c in kept], "_key", "_starts")
     else:
-        full = with_packed(docs.select(*kept, F.col("doc_id").cast("bigint").alias("_doc"), F.hash("doc_id", text).alias("_key")), text)
+        full = with_packed(numbered.select(*kept, "_doc", "_key"), body)
         both = full.join(starts, F.col("_doc") == F.col("_id"), "left").select(*kept, "_key", "_starts")
-    at, schema = kept.index(text), T.StructType([*docs.select(*kept).schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    at, schema = kept.index(body), T.StructType([*own.df.select(*kept).schema, T.StructField("_words", T.LongType()), T.StructField("_gone", T.LongType())])
 
     def run(batches):
         for batch in batches:
@@ -299,9 +316,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text",
                     own = [own[i] for i in np.flatnonzero(stay)]
                 texts.append(None if x is None else b" ".join(own))
             out = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(words, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(words, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "_words", "_gone"])
 
-    return both.mapInArrow(run, schema)
+    return own.back(both.mapInArrow(run, schema), {"n_words": "_words", "n_removed": "_gone"})
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
