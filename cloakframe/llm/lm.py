@@ -6,15 +6,17 @@
    ``TAILS`` tail classes by a hash of its last bytes, and inside its class has the probability
    (c + 1) / (tokens + words + 1 of the class); unknown words are the class's +1.
 3. Training: first weights from one in ``WARM_SHARE`` texts (about ``WARM_TEXTS`` where that is fewer), picked
-   and ordered by a hash of doc_id and read by the driver one partition at a time; then each task trains one
-   pass by truncated backpropagation over all its training documents, and the weights are averaged by
-   tokens in a tree of bounded groups.
+   and ordered by a hash of doc_id and read by the driver one partition at a time; then texts, as 16-bit
+   ids, fall into shards by a hash of the row, a task trains one pass by truncated backpropagation over each
+   of its shards in the order of the hashes, and the weights are averaged by tokens in a tree of bounded
+   groups.  Nothing of this depends on how the rows came partitioned.
 4. Scoring: one pass over every whole text; rare words meet their counts in a shuffled join (their
    counts are below the vocabulary's frequency, so no key is hot) and return as sums per document.
 
 Defined results: NULL texts are empty; an empty text is its end token; repeated rows are scored alike;
-rows without an id are training rows; without training documents N = 0, every word is unknown and the
-scores are those of untrained weights; an empty table gives no rows; clashing columns are replaced.
+rows without an id are training rows; ids may be of any type; without training documents N = 0, every
+word is unknown and the scores are those of untrained weights; an empty table gives no rows; input columns
+named like an output are replaced, all others (whatever their names) are returned.
 """
 
 from __future__ import annotations
@@ -27,17 +29,19 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import gru
-from cloakframe.llm.common import append_from_text, in_fold, table, written
+from cloakframe.llm.common import Own, append_from_text, in_fold, read_texts, table, written
 
 FOLDS, HELD_OUT = 7, 2
 WORDS, CLASSES, TAILS = 1024, 32, 32
 TOP_WORDS = 150_000
 WARM_TEXTS, WARM_SHARE = 192, 1000
+#: Tokens in a training shard, and the most shards (beyond, they hold more tokens).
+SHARD_TOKENS, MOST_SHARDS = 2_000_000, 16_384
+_ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: The end token; no word holds a line's end.
 END = b"\n"
 _CHUNK = 4096
@@ -157,25 +161,40 @@ def _unflat(flat: np.ndarray, shapes: list[tuple[str, tuple]]) -> gru.Params:
 
 
 def _average(rows: DataFrame, *keys: str) -> DataFrame:
-    def mean(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Weights averaged by tokens; summed in the order of shards, so that the result is always the same."""
+
+    def mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard", kind="stable")
         n = pdf["n"].to_numpy()
         w = (np.stack(pdf["w"].to_numpy()) * (n / n.sum())[:, None]).sum(0)
-        return pd.DataFrame({"chunk": [key[0]], "task": [key[1] if len(key) > 1 else 0], "n": [n.sum()], "w": [w.astype(np.float32)]})
+        return pd.DataFrame({"chunk": [key[0]], "shard": [key[1] if len(key) > 1 else 0], "n": [n.sum()], "w": [w.astype(np.float32)]})
 
-    return rows.groupBy(*keys).applyInPandas(mean, "chunk int, task int, n double, w array<float>")
+    return rows.groupBy(*keys).applyInPandas(mean, "chunk int, shard int, n double, w array<float>")
 
 
 def warm_texts(docs: DataFrame, n: int, text: str = "text", least: int = WARM_TEXTS, share: int = WARM_SHARE) -> DataFrame:
     """(_h, _t): the share of n rows of docs, or about least, by a hash; the same for any layout of the rows."""
-    t = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    h = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), t))
+    own = Own(docs)
+    t, i = F.coalesce(F.col(own[text]), F.lit("")).cast("binary"), F.col(own["doc_id"])
+    h = F.xxhash64(i, F.when(i.isNull(), t))
     part = max(1 / share, min(1.0, least / max(1, n)))
-    picked = docs.select(h.alias("_h"), t.alias("_t")).where(F.pmod("_h", F.lit(1 << 30)) < int(part * (1 << 30)))
+    picked = own.df.select(h.alias("_h"), t.alias("_t")).where(F.pmod("_h", F.lit(1 << 30)) < int(part * (1 << 30)))
     return written(picked, "warm_texts").orderBy("_h", "_t")
 
 
-def train(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> gru.Params:
-    """Weights after one pass over all rows of docs."""
+def _as_ids(docs: DataFrame, shared, text: str) -> DataFrame:
+    """(_h, _ids): a hash of each row and its text as the network's ids (16 bits each)."""
+    own = Own(docs)
+    rows = own.df.select(F.xxhash64(own["doc_id"], own[text]).alias("_h"), own[text])
+    read = lambda texts: {"_ids": [shared.value[1].ids(tokens(x)).astype(np.uint16).tobytes() for x in texts]}
+    return append_from_text(rows, "_ids binary", read, own[text], drop=True)
+
+
+def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> gru.Params:
+    """Weights after one pass over all rows of docs, the same for any layout of the rows.
+
+    Rows fall into shards by hash, are trained on in the order of their hashes, and shards are as many as the tokens ask for.
+    """
     p = gru.start(WORDS, CLASSES, TAILS, vocab.id_counts)
     warm = [vocab.ids(tokens(bytes(r._t))) for r in warm_texts(docs, docs.count(), text).toLocalIterator()]
     for _ in range(2):
@@ -183,39 +202,47 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> gru.Params:
             gru.train(p, np.concatenate(warm), vocab.end, streams=32)
     shapes = _shapes(p)
     shared = docs.sparkSession.sparkContext.broadcast((_flat(p), vocab))
+    shards = max(1, min(MOST_SHARDS, round(vocab.n / shard_tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, voc = shared.value
-        own, end, total, held, size = _unflat(flat, shapes), voc.end, 0, [], 0
-        adam_rate = gru.LEARNING_RATE
+        now, own, held, size, total = -1, None, [], 0, 0
 
         def learn() -> None:
-            nonlocal total, size
-            ids = np.concatenate(held)
-            gru.train(own, ids, end, adam_rate)
-            total += len(ids)
-            held.clear()
-            size = 0
+            nonlocal size, total
+            if held:
+                gru.train(own, np.concatenate(held), voc.end)
+                total += size
+                held.clear()
+                size = 0
+
+        def done() -> pa.RecordBatch:
+            learn()
+            new = _flat(own)
+            parts = [new[i : i + _CHUNK] for i in range(0, len(new), _CHUNK)]
+            n = len(parts)
+            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([now] * n, pa.int32()), pa.array([float(total)] * n), pa.array(parts, pa.list_(pa.float32()))], names=["chunk", "shard", "n", "w"])
 
         for batch in batches:
-            for x in batch.column(0).cast(pa.binary()).to_pylist():
-                ids = voc.ids(tokens(x or b""))
+            for shard, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != now:
+                    if own is not None:
+                        yield done()
+                    now, own, total = shard, _unflat(flat, shapes), 0
+                ids = np.frombuffer(x, np.uint16).astype(np.int32)
                 held.append(ids)
                 size += len(ids)
                 if size >= _TRAIN_TOKENS:
                     learn()
-        if held:
-            learn()
-        if total:
-            flat = _flat(own)
-            parts = [flat[i : i + _CHUNK] for i in range(0, len(flat), _CHUNK)]
-            task, n = TaskContext.get().partitionId(), len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([float(total)] * n), pa.array(parts, pa.list_(pa.float32()))], names=["chunk", "task", "n", "w"])
+        if own is not None:
+            yield done()
 
-    trained = docs.select(text).mapInArrow(run, "chunk int, task int, n double, w array<float>")
-    trained = _average(trained.withColumn("task", F.floor(F.col("task") / 64).cast("int")), "chunk", "task")
-    rows = _average(trained, "chunk").orderBy("chunk").select("w").collect()
-    return _unflat(np.concatenate([np.asarray(r.w, np.float32) for r in rows]), shapes) if rows else p
+    rows = _as_ids(docs, shared, text).withColumn("_shard", F.pmod("_h", F.lit(shards)).cast("int"))
+    dealt = rows.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_h", "_ids").select("_shard", "_ids")
+    trained = dealt.mapInArrow(run, "chunk int, shard int, n double, w array<float>")
+    trained = _average(trained.withColumn("group", F.floor(F.col("shard") / 64).cast("int")), "chunk", "group")
+    got = _average(trained, "chunk").orderBy("chunk").select("w").collect()
+    return _unflat(np.concatenate([np.asarray(r.w, np.float32) for r in got]), shapes) if got else p
 
 
 def _score_texts(texts: list[bytes], p: gru.Params, vocab: Vocabulary) -> dict:
@@ -234,26 +261,27 @@ def _score_texts(texts: list[bytes], p: gru.Params, vocab: Vocabulary) -> dict:
         lm.append(float(log_count[top[top >= WORDS]].sum() + vocab.tail_log[tails].sum()))
         rare.append([{"word": w.decode(), "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()])
     network = gru.score(p, ids, end) / np.log(10)
-    return {"n_tokens": [len(x) for x in ids], "_known": known, "_base": base, "_lm": network + np.array(lm), "_rare": rare}
+    return {"_n": [len(x) for x in ids], "_known": known, "_base": base, "_lm": network + np.array(lm), "_rare": rare}
 
 
 def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, p: gru.Params, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """keep (default: all columns but text) with n_tokens, n_known, train_tokens, base_score and score."""
+    """docs (or its columns in keep) with n_tokens, n_known, train_tokens, base_score and score."""
+    own = Own(docs)
+    mine = own.kept(_ADDED, keep)
     shared = docs.sparkSession.sparkContext.broadcast((p, vocab))
-    added = "n_tokens bigint, _known bigint, _base double, _lm double, _rare array<struct<word:string,n:bigint>>"
-    names = ("n_tokens", "_known", "_base", "_lm", "_rare", "_row", "n_known", "train_tokens", "base_score", "score")
-    columns = [c for c in keep or docs.columns if c != text and c.lower() not in names]
-    read = append_from_text(docs.select(*columns, text), added, lambda x: _score_texts(x, *shared.value), text, most=16_000_000)
-    read = written(read.drop(text).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    fields = "_n bigint, _known bigint, _base double, _lm double, _rare array<struct<word:string,n:bigint>>"
+    read = read_texts(own, mine, fields, lambda x: _score_texts(x, *shared.value), text, most=16_000_000)
+    read = written(read.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = read.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.n").join(counts.select("word", "c"), "word", "left")
     sums = rare.groupBy(F.col("_row").alias("_of")).agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_rk"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("_rl"))
     both = read.drop("_rare").join(sums, F.col("_row") == F.col("_of"), "left")
     rare_log = F.coalesce("_rl", F.lit(0.0))
     per_token = float(np.log10(vocab.n + vocab.v + 1.0))
-    return both.select(
-        *columns, "n_tokens", (F.col("_known") + F.coalesce("_rk", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("_base") + rare_log - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), (F.col("_lm") + rare_log).alias("score"),
-    )
+    outputs = {
+        "n_tokens": "_n", "n_known": (F.col("_known") + F.coalesce("_rk", F.lit(0))).cast("long"), "train_tokens": F.lit(vocab.n).cast("long"),
+        "base_score": F.col("_base") + rare_log - F.col("_n") * F.lit(per_token), "score": F.col("_lm") + rare_log,
+    }
+    return own.back(both, outputs, keep)
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
