@@ -10,37 +10,39 @@ from cloakframe.functions import text as X
 ROLE_TYPES = ("PERSON", "ORGANIZATION")
 
 # Role nouns, job titles, pronouns and the shapes of defined terms.
-ROLE_NOUNS = """
-party, parties, disclosing party, receiving party, discloser, recipient, authorized representative,
-authorised representative, representative, employee, employer, supplier, customer, client, contractor,
-subcontractor, consultant, buyer, seller, purchaser, vendor, lessor, lessee, landlord, tenant, licensor,
-licensee, borrower, lender, guarantor, company, board, board of directors, directors, shareholders,
-founders, investor, investors, claimant, defendant, respondent, appellant, applicant, expert, agreement,
-confidential information, effective date, order, services, deliverables, affiliate, affiliates, subsidiary,
-provider, service provider, processor, controller, data controller, data processor, data subject, hr,
-human resources, engineering, operations, finance, legal, sales, marketing, procurement, compliance, it,
-product development, logistics
-"""
-JOB_TITLES = """
-chief, officer, chief executive officer, chief financial officer, chief operating officer,
-chief technology officer, chief information officer, ceo, cfo, coo, cto, cio, director, managing director,
-executive director, non-executive director, manager, assistant, reviewer, chair, chairman, chairwoman,
-chairperson, secretary, company secretary, president, vice president, vp, partner, senior partner,
-associate, counsel, general counsel, head, lead
-"""
-PRONOUNS = "i, me, we, us, you, he, she, him, her, they, them, it"
+ROLE_NOUNS = [
+    "party", "parties", "disclosing party", "receiving party", "discloser", "recipient", "authorized representative", "authorised representative",
+    "representative", "employee", "employer", "supplier", "customer", "client", "contractor", "subcontractor", "consultant", "buyer", "seller",
+    "purchaser", "vendor", "lessor", "lessee", "landlord", "tenant", "licensor", "licensee", "borrower", "lender", "guarantor", "company", "board",
+    "board of directors", "directors", "shareholders", "founders", "investor", "investors", "claimant", "defendant", "respondent", "appellant",
+    "applicant", "expert", "agreement", "confidential information", "effective date", "order", "services", "deliverables", "affiliate", "affiliates",
+    "subsidiary", "provider", "service provider", "processor", "controller", "data controller", "data processor", "data subject", "hr",
+    "human resources", "engineering", "operations", "finance", "legal", "sales", "marketing", "procurement", "compliance", "it",
+    "product development", "logistics",
+]
+JOB_TITLES = [
+    "chief", "officer", "chief executive officer", "chief financial officer", "chief operating officer", "chief technology officer",
+    "chief information officer", "ceo", "cfo", "coo", "cto", "cio", "director", "managing director", "executive director", "non-executive director",
+    "manager", "assistant", "reviewer", "chair", "chairman", "chairwoman", "chairperson", "secretary", "company secretary", "president",
+    "vice president", "vp", "partner", "senior partner", "associate", "counsel", "general counsel", "head", "lead",
+]
+PRONOUNS = [
+    "i", "me", "we", "us", "you", "he", "she", "him", "her", "they", "them", "it",
+]
 PERIOD = r"^(?:q[1-4]|h[12]|fy\s?'?[0-9]{2,4})$"
 EDGE = "\"'.,;:()“”‘’"
+# regexp_extract_all returns one group, so the two shapes in parentheses are two patterns.
 DEFINED_IN_PARENS = r"""(?iuU)\((?:[^()"“”]{0,40}?\b)?(?:the|each\s+a|each\s+an|a|an)\s+["“]([^"”]{2,60})["”]"""
 DEFINED_HEREINAFTER = r"""(?iuU)\(\s*hereinafter\s+(?:referred\s+to\s+as\s+)?["“](?:the\s+)([^"”]{2,60})["”]"""
 DEFINED_MEANS = r"""(?iuU)["“]([^"”]{2,60})["”]\s+(?:means|shall\s+mean|has\s+the\s+meaning)"""
 
 
-def _list(text: str) -> list[str]:
-    return [" ".join(x.split()) for x in text.split(",")]
-
-
-TERMS = _list(ROLE_NOUNS) + _list(JOB_TITLES)
+TERMS = ROLE_NOUNS + JOB_TITLES
+# What is taken off a term, in this order.
+POSSESSIVE = r"['’]s$"
+DETERMINER = r"^(?:the|a|an|each|any|my|our|your|his|her|its|their|such)\s+"
+ORDINAL = r"^(?:first|second|third|fourth|1st|2nd|3rd|4th)\s+"
+UNIT = r"\s+(?:team|department|dept|division|unit|function)$"
 
 
 def normalize_term(text: Column) -> Column:
@@ -48,10 +50,9 @@ def normalize_term(text: Column) -> Column:
     t = X.strip(text)
     t = F.regexp_replace(t, rf"^[{X._escaped(EDGE)}]+|[{X._escaped(EDGE)}]+$", "")
     t = X.normalize_ws(F.lower(t))
-    t = F.regexp_replace(t, r"['’]s$", "")
-    t = F.regexp_replace(t, r"^(?:the|a|an|each|any|my|our|your|his|her|its|their|such)\s+", "")
-    t = F.regexp_replace(t, r"^(?:first|second|third|fourth|1st|2nd|3rd|4th)\s+", "")
-    return F.regexp_replace(t, r"\s+(?:team|department|dept|division|unit|function)$", "")
+    for part in (POSSESSIVE, DETERMINER, ORDINAL, UNIT):
+        t = F.regexp_replace(t, part, "")
+    return t
 
 
 def terms_in(text: Column) -> Column:
@@ -70,7 +71,7 @@ def is_role_term(entity_type: Column, text: Column, defined: Column | None = Non
     t = normalize_term(text)
     defined = F.coalesce(defined, F.array().cast("array<string>")) if defined is not None else F.array().cast("array<string>")
     known = lambda x: x.isin(TERMS) | F.array_contains(defined, x)
-    role = t.isin(_list(PRONOUNS)) | (F.length(t) == 1) | t.rlike(PERIOD) | known(t) | (t.endswith("s") & known(F.left(t, F.length(t) - 1)))
+    role = t.isin(PRONOUNS) | (F.length(t) == 1) | t.rlike(PERIOD) | known(t) | (t.endswith("s") & known(F.left(t, F.length(t) - 1)))
     return entity_type.isin(*ROLE_TYPES) & (t != "") & role
 
 
