@@ -97,7 +97,7 @@ def apply(policy: Policy, entity_type: Column, original: Column, salt: Column, a
         own = F.lit(p["salt"]) if "salt" in p else salt
         return S.surrogate(entity_type, original, own, avoid)
     # without a store, the first candidate; cloakframe.operators.mapping resolves collisions
-    return S.pseudonym_candidate(entity_type, original, F.lit(0))
+    return S.pseudonym_candidate(entity_type, original, F.lit(0), p.get("language"))
 
 
 def _rules(policies: dict[str, Policy] | None, default: Policy) -> tuple[dict[str, Policy], Policy]:

@@ -113,6 +113,68 @@ def surrogate(entity_type: Column, original: Column, salt: Column, avoid: Column
     return F.aggregate(F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), begin, step, lambda acc: acc["value"])
 
 
-def pseudonym_candidate(entity_type: Column, original: Column, attempt: Column) -> Column:
-    """The attempt-th pseudonym to try for an original; deterministic, without a salt."""
-    return _generated(entity_type, original, F.concat_ws("\0", F.lit("pseudonym"), entity_type, original, attempt.cast("string")))
+# Pseudonyms must be many: names are made of syllables, so that 10**8 originals hardly ever draw the same one.
+ONSETS = "b d f g h k l m n p r s t v br dr gr kr tr st".split()
+VOWELS = "a e i o u".split()
+_SYLLABLES = len(ONSETS) * len(VOWELS)
+GIVEN = {
+    "en": "Alice Arthur Clara Edwin Flora Harold Ivy Jasper Laura Martin Nora Oscar Ruth Simon Violet Walter".split(),
+    "it": "Aldo Bianca Carlo Donata Enzo Fabia Gino Ilaria Livio Marta Nino Ornella Pietro Rita Silvio Teresa".split(),
+    "fr": "Amélie Bastien Cécile Didier Élise Fabrice Gisèle Hervé Irène Jules Lucie Marcel Noémie Odile René Simone".split(),
+    "de": "Anke Bernd Dörte Erwin Frieda Gerd Heike Ingo Jutta Kurt Liesel Manfred Nele Otto Renate Uwe".split(),
+    "es": "Alba Andrés Carmen Diego Elena Felipe Gloria Hugo Inés Jaime Lucía Mateo Nuria Óscar Pilar Rubén".split(),
+    "pt": "Afonso Beatriz Cátia Duarte Eva Filipe Graça Henrique Inês Joana Leonor Miguel Nuno Rita Sónia Tiago".split(),
+    "nl": "Anouk Bram Daan Eline Femke Gijs Hanna Jeroen Kees Lotte Maarten Noor Pieter Roos Sanne Thijs".split(),
+}
+SURNAME = {
+    "en": "ton ford well by field ley ham worth".split(), "it": "elli ini oni ardi etti ucci esi asso".split(), "fr": "eau ier ard ette in ot el ois".split(), "de": "mann berg stein feld er bach ing hoff".split(),
+    "es": "ez ero ales ano ido ares ena osa".split(), "pt": "eira ares inho al osa edo ais ino".split(), "nl": "sma stra huis dijk veld man inga sen".split(),
+}
+TOWN = {"en": "ville bury mouth".split(), "it": "ano ello asco".split(), "fr": "ville ac y".split(), "de": "heim hausen stadt".split(), "es": "ar illa edo".split(), "pt": "eiro inha al".split(), "nl": "dam wijk drecht".split()}
+COMPANY = {"en": "Ltd LLC Group".split(), "it": "SpA Srl Gruppo".split(), "fr": "SARL SA Groupe".split(), "de": "GmbH AG KG".split(), "es": "SL SA Grupo".split(), "pt": "Lda SA Grupo".split(), "nl": "BV NV Groep".split()}
+DIAL = {"en": "1", "it": "39", "fr": "33", "de": "49", "es": "34", "pt": "351", "nl": "31"}
+
+
+def language_of(language: str | None) -> str:
+    """One of the languages that have names: of a language or a locale such as en_GB; en for others."""
+    own = (language or "").split("_")[0].lower()
+    return own if own in GIVEN else "en"
+
+
+def _by_language(values: dict, language, use) -> Column:
+    """use(the language's values); language: a name, or a column of names."""
+    if not isinstance(language, Column):
+        return use(values[language_of(language)])
+    own = F.lower(F.substring_index(language, "_", 1))
+    out = F.when(own == "it", use(values["it"]))
+    for code in ("fr", "de", "es", "pt", "nl"):
+        out = out.when(own == code, use(values[code]))
+    return out.otherwise(use(values["en"]))
+
+
+def coined(key: Column, syllables: int = 3) -> Column:
+    """A made-up word of so many syllables."""
+    drawn = X.hash_int(key, _SYLLABLES**syllables)
+    parts = []
+    for i in range(syllables):
+        at = F.floor(drawn / _SYLLABLES**i).cast("int") % _SYLLABLES
+        parts += [F.get(F.array(*[F.lit(o) for o in ONSETS]), F.floor(at / len(VOWELS)).cast("int")), F.get(F.array(*[F.lit(v) for v in VOWELS]), at % len(VOWELS))]
+    return F.concat(*parts)
+
+
+def pseudonym_candidate(entity_type: Column, original: Column, attempt: Column, language=None) -> Column:
+    """The attempt-th pseudonym to try for an original; deterministic, without a salt; language: a name, a column of names, or none."""
+    key = F.concat_ws("\0", F.lit("pseudonym"), entity_type, original, attempt.cast("string"))
+    part = lambda what: F.concat(key, F.lit(f"\0{what}"))
+    pick = lambda values, what: _by_language(values, language, lambda v: _pick(v, part(what)))
+    surname = F.initcap(F.concat(coined(part("name")), pick(SURNAME, "end")))
+    initial = F.char(X.hash_int(part("initial"), 26) + 65)
+    digits = lambda what, n: F.lpad(X.hash_int(part(what), 10**n).cast("string"), n, "0")
+    return (
+        F.when(entity_type == "PERSON", F.concat(pick(GIVEN, "given"), F.lit(" "), initial, F.lit(". "), surname))
+        .when(entity_type == "LOCATION", F.initcap(F.concat(coined(part("town")), pick(TOWN, "end"))))
+        .when(entity_type == "PHONE_NUMBER", F.concat(F.lit("+"), _by_language(DIAL, language, F.lit), F.lit(" ("), digits("area", 3), F.lit(") "), digits("exchange", 3), F.lit("-"), digits("line", 4)))
+        .when(entity_type == "EMAIL_ADDRESS", F.concat(F.lower(initial), F.lit("."), F.lower(surname), digits("mail", 3), F.lit("@"), _pick(MAIL, part("host"))))
+        .when(entity_type.isin("ORGANIZATION", "ORG"), F.concat_ws(" ", _pick(FIRM, part("firm")), F.initcap(coined(part("firm2"))), pick(COMPANY, "tail")))
+        .otherwise(_generated(entity_type, original, key))
+    )

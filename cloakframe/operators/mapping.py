@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,14 +64,19 @@ def _free_numbers(ranked: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def mint(requests: DataFrame, mappings: DataFrame, candidate=pseudonym_candidate, attempts: int = ATTEMPTS) -> DataFrame:
-    """New rows of the mapping for requests (entity_type, original, ord) that aren't in it yet."""
-    asked = requests.groupBy("entity_type", "original").agg(F.min("ord").alias("ord"))
+    """New rows of the mapping for requests (entity_type, original, ord, and perhaps language) that aren't in it yet."""
+    spoken = [F.min_by("language", "ord").alias("language")] if "language" in requests.columns else []
+    asked = requests.groupBy("entity_type", "original").agg(F.min("ord").alias("ord"), *spoken)
+
+    def drawn(k: int) -> Column:
+        return candidate(F.col("entity_type"), F.col("original"), F.lit(k), *([F.col("language")] if spoken else []))
+
     left = written(asked.join(mappings, ["entity_type", "original"], "left_anti"), "unmapped")
     taken, made = mappings.select("entity_type", "pseudonym"), mappings.limit(0)
     for k in range(attempts):
         if left.isEmpty():
             return made
-        tried = left.withColumn("pseudonym", candidate(F.col("entity_type"), F.col("original"), F.lit(k)))
+        tried = left.withColumn("pseudonym", drawn(k))
         firsts = tried.groupBy("entity_type", "pseudonym").agg(F.min(F.struct("ord", "original"))["original"].alias("original"))
         won = written(firsts.join(taken, ["entity_type", "pseudonym"], "left_anti").select("entity_type", "original", "pseudonym"), "minted")
         made = made.unionByName(won)
@@ -79,7 +84,7 @@ def mint(requests: DataFrame, mappings: DataFrame, candidate=pseudonym_candidate
         left = written(left.join(won.select("entity_type", "original"), ["entity_type", "original"], "left_anti"), "unmapped")
     if left.isEmpty():
         return made
-    base = left.withColumn("_base", candidate(F.col("entity_type"), F.col("original"), F.lit(0)))
+    base = left.withColumn("_base", drawn(0))
     ranked = written(_ranked(base, ["entity_type", "_base"], "ord", "original"), "ranked")
     free = _free_numbers(ranked, taken)
     number = F.coalesce("_free", "_n")

@@ -248,9 +248,30 @@ def pseudonym_map(spark, sf_dir):
     return back.select(F.col("_o").alias("original"), "pseudonym", F.col("original").alias("reversed"))
 
 
-@query("select c_name as original, 'shared' || case when c_custkey = 0 then '' else '-' || c_custkey end as pseudonym from customer where c_custkey <= 50")
+def _named_sql() -> str:
+    """The first person's name drawn for (original, lang): no two customers draw the same."""
+    draw = lambda what, n: f"('0x' || substr(sha256('pseudonym' || chr(0) || 'PERSON' || chr(0) || original || chr(0) || '0' || chr(0) || '{what}'), 1, 15))::bigint % {n}"
+    listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    spoken = lambda values, what: "case lang " + " ".join(f"when '{k}' then {listed(v)}[{draw(what, len(v))} + 1]" for k, v in values.items()) + " end"
+    syllable = lambda i: f"{listed(S.ONSETS)}[d // {100**i} % 100 // 5 + 1] || {listed(S.VOWELS)}[d // {100**i} % 100 % 5 + 1]"
+    word = " || ".join(syllable(i) for i in range(3)) + f" || {spoken(S.SURNAME, 'end')}"
+    return f"""select original, {spoken(S.GIVEN, 'given')} || ' ' || chr(({draw('initial', 26)} + 65)::int) || '. ' || upper(word[1]) || word[2:] as pseudonym, original as reversed
+from (select *, {word} word from (select c_name original, ['en', 'it', 'fr', 'de', 'es', 'pt', 'nl'][c_custkey % 7 + 1] lang, {draw('name', 10**6).replace('original', 'c_name')} d from customer))"""
+
+
+@query(_named_sql())
+def pseudonym_names(spark, sf_dir):
+    """Names in seven languages for every customer by the shipped factory, then back again."""
+    languages = F.array(*[F.lit(x) for x in ("en_GB", "it", "fr_FR", "de", "es", "pt", "nl")])
+    people = read_table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original"), F.col("c_custkey").alias("ord"), F.get(languages, (F.col("c_custkey") % 7).cast("int")).alias("language"))
+    named, grown = M.get_or_create(people, M.empty(spark))
+    back = M.reverse(named.select("entity_type", "pseudonym", F.col("original").alias("_o")), grown)
+    return back.select(F.col("_o").alias("original"), "pseudonym", F.col("original").alias("reversed"))
+
+
+@query("select c_name as original, 'shared' || case when n = 0 then '' else '-' || n end as pseudonym from (select c_name, row_number() over (order by c_custkey) - 1 n from customer)")
 def pseudonym_collisions(spark, sf_dir):
-    """All draw the same candidate: the first keeps it, the others get suffixes in order."""
+    """All customers draw the same candidate: the first keeps it, the others get suffixes in order."""
     people = read_table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original"), F.col("c_custkey").alias("ord"))
     return M.mint(people, M.empty(spark), lambda t, o, k: F.lit("shared")).select("original", "pseudonym")
 
