@@ -23,7 +23,8 @@ from cloakframe.operators import review as R
 from cloakframe.operators.detect import detections, raw_spans
 from cloakframe.operators.engine import process_text
 from cloakframe.operators.overlap import normalize_overlaps
-from cloakframe.operators.propagate import candidates, seeds_from
+from cloakframe.operators import roles as ROLES
+from cloakframe.operators.propagate import GENERIC_TOKENS, STOP_TOKENS, candidates, seeds_from
 from cloakframe.operators.roles import defined_terms, is_role_term
 from cloakframe.sources.tables import read_table
 
@@ -139,13 +140,24 @@ def entity_cube(spark, sf_dir):
     return _profile(spark, sf_dir).cube("lang", "entity_type", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with s(s, e, t, sc) as (values (0, 10, 'A', 0.5), (2, 6, 'B', 0.9), (12, 20, 'A', 0.6), (16, 22, 'B', 0.9), (30, 34, 'C', 0.5), (30, 34, 'D', 0.7))
-select * from (values (0, 10, 'A'), (12, 20, 'A'), (20, 22, 'B'), (30, 34, 'D')) r("start", "end", entity_type)""")
+#: Two spans in every 40 characters of a document: apart, touching, nested, equal or overlapping, with scores that tie or don't.
+_PAIRS_SQL = """(select doc_id, k, 40 * k s1, 40 * k + 4 + k % 9 e1, 4 + k % 3 sc1, 40 * k + k % 11 s2, 40 * k + k % 11 + 3 + k % 13 e2, 4 + k % 4 sc2
+  from (select doc_id, unnest(range(0, length(text) // 40)) k from documents))"""
+
+
+@query(f"""with p as (select doc_id, s1 < s2 or (s1 = s2 and (e1 < e2 or (e1 = e2 and sc1 >= sc2))) first1, * exclude (doc_id) from {_PAIRS_SQL}),
+o as (select doc_id, if(first1, s1, s2) a0, if(first1, e1, e2) a1, if(first1, sc1, sc2) ac, if(first1, 'A', 'B') ta, if(first1, s2, s1) b0, if(first1, e2, e1) b1, if(first1, sc2, sc1) bc, if(first1, 'B', 'A') tb from p),
+w as (select *, case when a1 <= b0 then 'both' when b1 <= a1 then 'a' when a0 = b0 then 'b'
+  when a1 - a0 > b1 - b0 or (a1 - a0 = b1 - b0 and ac >= bc) then 'cut b' else 'cut a' end r from o)
+select doc_id, a0::int "start", (case when r = 'cut a' then b0 else a1 end)::int "end", ta entity_type from w where r <> 'b'
+union all select doc_id, (case when r = 'cut b' then a1 else b0 end)::int, b1::int, tb from w where r <> 'a'""")
 def overlap_resolution(spark, sf_dir):
-    """Containment, trimming of the shorter span, and the higher score of equal spans."""
-    rows = [(0, 10, "A", 0.5), (2, 6, "B", 0.9), (12, 20, "A", 0.6), (16, 22, "B", 0.9), (30, 34, "C", 0.5), (30, 34, "D", 0.7)]
-    df = spark.createDataFrame([(1, [dict(start=a, end=b, entity_type=t, score=x, recognizer_name="r") for a, b, t, x in rows])], "id int, spans array<struct<start:int,end:int,entity_type:string,score:double,recognizer_name:string>>")
-    return df.select(F.explode(normalize_overlaps(F.col("spans"))).alias("s")).select("s.start", "s.end", "s.entity_type")
+    """Containment, trimming of the shorter span and the higher score, for pairs of spans all over the documents."""
+    docs = _docs(spark, sf_dir).where(F.length("text") >= 40)
+    span = lambda s, e, t, x: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(t).alias("entity_type"), (x / 10.0).alias("score"), F.lit("r").alias("recognizer_name"))
+    two = lambda k: F.array(span(40 * k, 40 * k + 4 + k % 9, "A", 4 + k % 3), span(40 * k + k % 11, 40 * k + k % 11 + 3 + k % 13, "B", 4 + k % 4))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 40).cast("int") - 1), two))
+    return docs.select("doc_id", F.explode(normalize_overlaps(spans)).alias("s")).select("doc_id", "s.start", "s.end", "s.entity_type")
 
 
 @query(f"""select conv_id, turn, role, len(regexp_extract_all(text, '{SQL_EMAIL}'))::int emails, len(regexp_extract_all(text, '{SQL_PHONE}'))::int phones from conversations""")
@@ -323,29 +335,94 @@ def detect_document_blocks(spark, sf_dir):
 
 # Roles and propagation ------------------------------------------------------------------------
 
-_ROLE_TEXTS = [(1, 'Acme Ltd (the "Supplier") and Bolt ("Bolt") agree.'), (1, '"Confidential Information" means all data.'), (2, "(each a “Lending Party”) (hereinafter referred to as \"the Fund\")")]
+
+def _term_sql(value: str) -> str:
+    """A term as its role is looked up, in SQL."""
+    out = f"trim(regexp_replace(lower(trim(regexp_replace({value}, '^[\"''.,;:()“”‘’]+|[\"''.,;:()“”‘’]+$', '', 'g'))), '\\s+', ' ', 'g'))"
+    for part in (ROLES.POSSESSIVE, ROLES.DETERMINER, ROLES.ORDINAL, ROLES.UNIT):
+        out = "regexp_replace(" + out + ", '" + part.replace("'", "''") + "', '')"
+    return out
+
+
+_LISTED = "[" + ", ".join(f"'{t}'" for t in ROLES.TERMS) + "]"
+_LATIN = "regexp_extract_all(text, '[A-Za-z]+')"
 
 
-@query("select * from (values (1, 'confidential information'), (1, 'supplier'), (2, 'fund'), (2, 'lending party')) t(doc_id, term)")
+@query(f"""with d as (select doc_id, w from (select doc_id, {_LATIN} w from documents) where len(w) >= 6),
+t as (select doc_id, unnest([w[1] || ' ' || w[2], w[3], w[4] || ' ' || w[5], w[6]]) raw from d)
+select distinct doc_id, {_term_sql('raw')} term from t where length(raw) between 2 and 60 and {_term_sql('raw')} <> ''""")
 def defined_terms_found(spark, sf_dir):
-    texts = spark.createDataFrame(_ROLE_TEXTS, "doc_id int, text string")
-    return defined_terms(texts).select("doc_id", F.explode("defined").alias("term"))
+    """Terms that documents define: words of theirs in each defining phrase, and in quotes that define nothing."""
+    w = lambda i: F.get("w", F.lit(i - 1))
+    words = _docs(spark, sf_dir).select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 6)
+    phrases = [
+        F.concat(F.lit('Acme Ltd (the "'), w(1), F.lit(" "), w(2), F.lit('") and Bolt ("Undefined one").')), F.concat(F.lit('"'), w(3), F.lit('" shall mean all data.')),
+        F.concat(F.lit("(each a “"), w(4), F.lit(" "), w(5), F.lit("”)")), F.concat(F.lit('(hereinafter referred to as "the '), w(6), F.lit('")')),
+    ]
+    blocks = words.select("doc_id", F.explode(F.array(*phrases)).alias("text"))
+    return defined_terms(blocks).select("doc_id", F.explode("defined").alias("term"))
 
 
-@query("""select * from (values ('PERSON', 'the Parties', true), ('PERSON', 'Mark Price', false), ('ORGANIZATION', 'Legal Department', true), ('PERSON', 'Q2', true),
-('ORGANIZATION', 'Acme', false), ('LOCATION', 'the Board', false), ('PERSON', 'Lenders', true), ('PERSON', 'Lead’s', true)) t(entity_type, "value", role)""")
+_ROLE_VALUES = f"(select distinct unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) \"value\" from (select {_LATIN} w from documents))"
+
+
+@query(f"""with v as (select "value", {_term_sql('"value"')} t from {_ROLE_VALUES}),
+r as (select "value", t <> '' and (list_contains([{", ".join(f"'{x}'" for x in ROLES.PRONOUNS)}], t) or length(t) = 1 or regexp_matches(t, '{ROLES.PERIOD.replace("'", "''")}') or list_contains({_LISTED}, t)
+  or (t like '%s' and list_contains({_LISTED}, t[:-2]))) role from v)
+select entity_type, "value", role and entity_type <> 'LOCATION' role from r, (select unnest(['PERSON', 'ORGANIZATION', 'LOCATION']) entity_type)""")
 def role_terms(spark, sf_dir):
-    rows = [("PERSON", "the Parties"), ("PERSON", "Mark Price"), ("ORGANIZATION", "Legal Department"), ("PERSON", "Q2"), ("ORGANIZATION", "Acme"), ("LOCATION", "the Board"), ("PERSON", "Lenders"), ("PERSON", "Lead’s")]
-    return spark.createDataFrame(rows, "entity_type string, value string").withColumn("role", is_role_term(F.col("entity_type"), F.col("value")))
+    """Every word and pair of words of the documents: is it a role rather than a name?"""
+    words = _docs(spark, sf_dir).select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b")), lambda x: F.concat(x["a"], F.lit(" "), x["b"]))
+    values = words.select(F.explode(F.concat("w", F.filter(pairs, lambda x: x.isNotNull()))).alias("value")).distinct()
+    each = values.select(F.explode(F.array(*[F.lit(t) for t in ("PERSON", "ORGANIZATION", "LOCATION")])).alias("entity_type"), "value")
+    return each.withColumn("role", is_role_term(F.col("entity_type"), F.col("value")))
+
+
+_PERSON_LIKE, _FIRM_LIKE = "[A-Z][a-z]+ [a-z]+", "[a-z]+ [A-Z][a-z]+"
+_STOPS, _GENERIC = (", ".join(f"'{t}'" for t in x if t.isascii()) for x in (STOP_TOKENS, GENERIC_TOKENS))
 
 
-@query("""select * from (values ('mark price', 'PERSON', 0.8, 'Mark Price'), ('mark', 'PERSON', 0.8, 'Mark'), ('price', 'PERSON', 0.8, 'PRICE|Price'), ('price ltd', 'ORGANIZATION', 0.7, 'PRICE Ltd'),
-('verdana pharma', 'ORGANIZATION', 0.9, 'Verdana Pharma'), ('verdana', 'ORGANIZATION', 0.9, 'Verdana')) t(key, entity_type, score, forms)""")
+@query(f"""with f as (select doc_id, 'PERSON' t, "start" s, 0 o, 0.5 + length("value") % 4 / 10.0 sc, "value" v from ({spans_sql(_PERSON_LIKE)})
+  union all select doc_id, 'ORGANIZATION', "start", 1, 0.5 + length("value") % 5 / 10.0, "value" from ({spans_sql(_FIRM_LIKE)})),
+c as (select doc_id, t, s, o, sc, unnest(case when t = 'PERSON' then [v] || list_filter(string_split(v, ' '), lambda x: length(x) >= 3 and lower(x) not in ({_STOPS}))
+    else [v] || case when length(string_split(v, ' ')[1]) >= 4 and lower(string_split(v, ' ')[1]) not in ({_GENERIC}) then [string_split(v, ' ')[1]] else [] end end) form from f),
+r as (select *, row_number() over (partition by doc_id, lower(form) order by sc desc, s, o) n from c)
+select doc_id, lower(form) as key, max(t) filter (n = 1) entity_type, max(sc)::double score, string_agg(distinct form, '|' order by form) forms from r group by doc_id, lower(form)""")
 def seeds_of_findings(spark, sf_dir):
-    rows = [("PERSON", "Mark Price", 0.8), ("ORGANIZATION", "PRICE Ltd", 0.7), ("ORGANIZATION", "Verdana Pharma", 0.9)]
-    spans = [dict(entity_type=t, text_span=x, score=s) for t, x, s in rows]
-    df = spark.createDataFrame([(spans,)], "spans array<struct<entity_type:string,text_span:string,score:double>>")
-    return df.select(F.explode(seeds_from(candidates(F.col("spans")))).alias("s")).select("s.key", "s.entity_type", "s.score", F.array_join(F.array_sort("s.forms"), "|").alias("forms"))
+    """Seeds of name-like word pairs of all documents."""
+    docs = _docs(spark, sf_dir)
+
+    def like(pattern: str, kind: str, rank: int, steps: int):
+        found = X.spans_of("text", X.matches("text", pattern), pattern)
+        return F.transform(found, lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), F.lit(kind).alias("entity_type"), s["text"].alias("text_span"), (0.5 + F.length(s["text"]) % steps / 10.0).alias("score")))
+
+    spans = F.array_sort(F.concat(like(_PERSON_LIKE, "PERSON", 0, 4), like(_FIRM_LIKE, "ORGANIZATION", 1, 5)))
+    offered = docs.select("doc_id", candidates(spans).alias("c"))
+    found = offered.select("doc_id", F.explode(seeds_from(F.col("c"))).alias("s"))
+    return found.select("doc_id", "s.key", "s.entity_type", "s.score", F.array_join(F.array_sort("s.forms"), "|").alias("forms"))
+
+
+_LETTERS = "translate(doc_id::varchar, '0123456789', 'abcdefghij')"
+
+
+@query(f"""with n as (select doc_id, 'Ad' || {_LETTERS} a, 'Be' || {_LETTERS} b from documents)
+select doc_id, 0 block_ord, 8::int "start", (9 + length(a) + length(b))::int "end", 'PERSON' entity_type, a || ' ' || b original, 1::int pieces from n
+union all select doc_id, 1, 4, (4 + length(b))::int, 'PERSON', b, 2 from n
+union all select doc_id, 3, 0, length(a)::int, 'PERSON', a, 1 from n
+union all select doc_id, 3, (6 + length(a))::int, (7 + 2 * length(a) + length(b))::int, 'PERSON', lower(a) || ' ' || upper(b), 1 from n""")
+def propagated_names(spark, sf_dir):
+    """A titled name in the first block of each document, found again in other blocks and across segments; roles are not."""
+    letters = F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij")
+    a, b = F.concat(F.lit("Ad"), letters), F.concat(F.lit("Be"), letters)
+    seg = lambda i, text, block=None: F.struct(F.lit(i).alias("seg_ord"), F.lit(f"s{i}").alias("segment_id"), text.alias("text"), F.lit(block).cast("string").alias("block"), F.lit("").alias("join_before"))
+    rows = F.array(
+        seg(0, F.concat(F.lit("Dear Mr "), a, F.lit(" "), b, F.lit(' (the "Supplier"),'))), seg(1, F.lit("may B"), "p"), seg(2, F.concat(F.substring(b, 2, 99), F.lit(" and the Supplier")), "p"),
+        seg(3, F.concat(a, F.lit(" with "), F.lower(a), F.lit(" "), F.upper(b), F.lit(", Supplier"))),
+    )
+    segments = _docs(spark, sf_dir).select("doc_id", F.explode(rows).alias("s")).select("doc_id", "s.*")
+    found = B.detect_blocks(segments, P.NAME_RULES)
+    return found.select("doc_id", "block_ord", "start", "end", "entity_type", "original", F.size("pieces").alias("pieces"))
 
 
 # Leak check -----------------------------------------------------------------------------------
