@@ -26,6 +26,7 @@ from cloakframe.operators.overlap import normalize_overlaps
 from cloakframe.operators import roles as ROLES
 from cloakframe.operators.propagate import GENERIC_TOKENS, STOP_TOKENS, candidates, seeds_from
 from cloakframe.operators.roles import defined_terms, is_role_term
+from cloakframe.sources.scratch import written
 from cloakframe.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -117,6 +118,14 @@ def token_spans(spark, sf_dir):
     return _spans(_docs(spark, sf_dir), HEX, "doc_id")
 
 
+@query(f"""select s.doc_id, "start", "end", case when regexp_matches(lower(substr(text, greatest("start" - 40, 0) + 1, ("end" + 40 - greatest("start" - 40, 0))::int)), '\\b(?:phone|call|tel)\\b') then 0.85 else 0.5 end::double score
+from ({spans_sql(SQL_PHONE)}) s join documents using (doc_id)""")
+def phone_scores(spark, sf_dir):
+    """Telephone numbers, surer of those near a word such as call."""
+    found = raw_spans(_docs(spark, sf_dir), recognizers=[PHONE])
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.score")
+
+
 def _profile(spark, sf_dir) -> DataFrame:
     found = raw_spans(_docs(spark, sf_dir, "doc_id", "lang", "source", "text"), recognizers=[EMAIL, IPV4, PHONE, CARD, HEX])
     return found.select("doc_id", "lang", "source", F.explode("spans").alias("s")).select("doc_id", "lang", "source", F.col("s.entity_type").alias("entity_type"))
@@ -281,6 +290,14 @@ def pseudonym_names(spark, sf_dir):
     return back.select(F.col("_o").alias("original"), "pseudonym", F.col("original").alias("reversed"))
 
 
+@query("select c_name as original, if(c_custkey % 3 = 0, 'known ' || c_custkey, null) as pseudonym from customer")
+def pseudonym_peek(spark, sf_dir):
+    """Customers with the pseudonym that a store has for a third of them; nothing is minted."""
+    people = read_table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original"), "c_custkey")
+    known = people.where("c_custkey % 3 = 0").select("entity_type", "original", F.concat(F.lit("known "), F.col("c_custkey").cast("string")).alias("pseudonym"))
+    return M.peek(people.select("entity_type", "original"), known).select("original", "pseudonym")
+
+
 @query("select c_name as original, 'shared' || case when n = 0 then '' else '-' || n end as pseudonym from (select c_name, row_number() over (order by c_custkey) - 1 n from customer)")
 def pseudonym_collisions(spark, sf_dir):
     """All customers draw the same candidate: the first keeps it, the others get suffixes in order."""
@@ -436,6 +453,14 @@ def leak_counts(spark, sf_dir):
     return L.surviving_rows(docs, originals).select("doc_id", "original", F.col("occurrences").cast("long").alias("occurrences"))
 
 
+@query(f"""select doc_id, count(*)::int occurrences from ({spans_sql(SQL_EMAIL)}) group by doc_id""")
+def alternation_counts(spark, sf_dir):
+    """How often any of a document's e-mail addresses stands in it, by one pattern for all of them."""
+    docs = _docs(spark, sf_dir)
+    originals = _spans(docs, EMAIL, "doc_id").groupBy("doc_id").agg(F.collect_list("value").alias("_o"))
+    return docs.join(originals, "doc_id").select("doc_id", F.regexp_count(X.normalize_ws("text"), L.alternation(F.col("_o"))).alias("occurrences"))
+
+
 # Review ---------------------------------------------------------------------------------------
 
 
@@ -443,7 +468,8 @@ def _proposals(spark, sf_dir) -> DataFrame:
     found = raw_spans(_docs(spark, sf_dir), recognizers=[EMAIL, IPV4])
     rows = detections(found, "doc_id", "text").withColumn("text_span", F.expr("substring(text, start + 1, end - start)"))
     order = W.partitionBy("doc_id").orderBy("start", "end")
-    return R.propose_spans(rows.select(F.col("doc_id").cast("string").alias("session_id"), (F.row_number().over(order) - 1).alias("ord"), F.lit("t").alias("segment_id"), "start", "end", "entity_type", "score", "text_span"))
+    made = R.propose_spans(rows.select(F.col("doc_id").cast("string").alias("session_id"), (F.row_number().over(order) - 1).alias("ord"), F.lit("t").alias("segment_id"), "start", "end", "entity_type", "score", "text_span"))
+    return written(made, "proposals")  # read by several branches, detected once
 
 
 _PROPOSALS = f"""(select doc_id::varchar session_id, "start", "end", value, entity_type, (row_number() over (partition by doc_id order by "start", "end") - 1)::int ord,
@@ -503,6 +529,73 @@ def review_commit(spark, sf_dir):
     return R.apply_edits(segments, edits).select("session_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"))
 
 
+_BLOCK_PIECES = f"""(with b as (select doc_id, seg_ord // 2 k, string_agg(text, ' ' order by seg_ord) as text, first(length(text) order by seg_ord) n0, count(*) segs from {_LINES} group by all),
+s as ({spans_sql("[a-z]+ [A-Z][a-z]+", "b", "doc_id, k, n0")})
+select doc_id, k, "start", value, 0 g, 'line' || (2 * k) seg, "start" p0, least("end", n0) p1, substr(value, 1, (least("end", n0) - "start")::int) piece, "start" < n0 and "end" > n0 + 1 several from s where "start" < n0
+union all select doc_id, k, "start", value, if("start" < n0, 1, 0), 'line' || (2 * k + 1), greatest("start" - n0 - 1, 0), "end" - n0 - 1, substr(value, greatest(n0 + 2 - "start", 1)::int), "start" < n0 and "end" > n0 + 1 from s where "end" > n0 + 1)"""
+_GROUP_ID = """substr(sha1('NAME' || chr(0) || value || chr(0) || 'group:line' || (2 * k) || ':' || "start"), 1, 12)"""
+
+
+@query(f"""with p as (select *, if(several, {_GROUP_ID}, null) gid from {_BLOCK_PIECES})
+select doc_id::varchar session_id, (row_number() over (partition by doc_id order by k, "start", g) - 1)::int ord, substr(sha1('NAME' || chr(0) || piece || chr(0) || seg || ':' || p0 || coalesce(':' || gid, '')), 1, 12) detection_id,
+  piece original, seg segment_anchor, p0::int "start", p1::int "end", gid group_id, g::int group_index, if(several, value, null) group_original from p""")
+def grouped_proposals(spark, sf_dir):
+    """Proposals from findings in joined lines: those over two lines are groups of pieces."""
+    return R.propose_findings(_block_findings(spark, sf_dir)).select("session_id", "ord", "detection_id", "original", "segment_anchor", "start", "end", "group_id", "group_index", "group_original")
+
+
+def _block_findings(spark, sf_dir) -> DataFrame:
+    pattern = "[a-z]+ [A-Z][a-z]+"
+    found = B.join_blocks(_segments(spark, sf_dir)).withColumn("_m", X.matches("text", pattern)).where(F.size("_m") > 0).select("doc_id", "block_ord", "segs", F.explode(X.spans_of("text", F.col("_m"), pattern)).alias("s"))
+    return found.select(
+        F.col("doc_id").cast("string").alias("session_id"), "block_ord", F.col("s.start").alias("start"), F.lit("NAME").alias("entity_type"), F.lit(0.5).alias("score"), F.col("s.text").alias("original"),
+        B.pieces_of(F.col("segs"), F.col("s.start"), F.col("s.end")).alias("pieces"),
+    ).where(F.size("pieces") > 0)
+
+
+_WORDS = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"
+
+
+@query(f"""select doc_id, coalesce((select string_agg(x, ' ' order by i) from (select x, min(i) i from (select unnest(p) x, generate_subscripts(p, 1) i) where length(x) >= 3 and list_contains(o, x) group by x)), '') as words
+from (select doc_id, regexp_extract_all(substr(text, 11, 60), '{_WORDS}') p, regexp_extract_all(substr(text, 1, 90), '{_WORDS}') o from documents where length(text) > 10)""")
+def fragment_words_of_pieces(spark, sf_dir):
+    """What each document's characters 10 to 70 share, as whole words, with its first 90."""
+    docs = _docs(spark, sf_dir).where(F.length("text") > 10)
+    return docs.select("doc_id", F.array_join(B.fragment_words(F.substring("text", 11, 60), F.substring("text", 1, 90)), " ").alias("words"))
+
+
+@query(f"""with p as {_PROPOSALS} select distinct session_id, value as original from p a where ord % 2 = 0 and not exists (select 1 from p r where r.session_id = a.session_id and r.ord % 2 = 1 and r.value = a.value)""")
+def verified_originals(spark, sf_dir):
+    """What must not survive a commit: accepted values that nobody rejected elsewhere in the document."""
+    proposals = _proposals(spark, sf_dir)
+    segments = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("session_id"), F.lit("t").alias("segment_id"), "text")
+    decisions = _decisions(proposals)
+    return R.originals_to_verify(R.plan_edits(segments, proposals, decisions, _sessions(spark, sf_dir)), proposals, decisions)
+
+
+@query("""select doc_id::varchar session_id, case when doc_id % 4 = 1 then 'unknown segment' when text is null then 'unknown segment' when doc_id % 4 = 2 or length(text) < 5 then 'offsets outside the segment'
+  when doc_id % 4 = 3 and substr(text, 1, 5) <> 'wrong' then 'text differs' end reject_reason from documents""")
+def checked_marks(spark, sf_dir):
+    """A reviewer's mark on the first five characters of every document: right, on no segment, out of bounds or misquoted."""
+    docs = _docs(spark, sf_dir)
+    kind = F.col("doc_id") % 4
+    marks = docs.select(
+        F.col("doc_id").cast("string").alias("session_id"), F.when(kind == 1, "elsewhere").otherwise("t").alias("segment_anchor"), F.lit(0).alias("start"),
+        F.when(kind == 2, F.length("text") + 1).otherwise(F.lit(5)).alias("end"), F.when(kind == 3, F.lit("wrong")).otherwise(F.substring("text", 1, 5)).alias("original"),
+    )
+    segments = docs.select(F.col("doc_id").cast("string").alias("session_id"), F.lit("t").alias("segment_id"), "text")
+    return R.validate_user_added(marks, segments).select("session_id", "reject_reason")
+
+
+@query(f"""select session_id, detection_id, case when ord % 3 = 0 then 'accept' when ord % 3 = 1 then 'reject' else 'pending' end status, case when ord % 3 = 1 then value else '<' || entity_type || '>' end preview from {_PROPOSALS}""")
+def review_previews(spark, sf_dir):
+    """What a reviewer sees: accepted and undecided proposals by the default operator, rejected ones as they are."""
+    proposals = _proposals(spark, sf_dir)
+    decisions = _decisions(proposals).join(proposals.select("session_id", F.col("detection_id").alias("proposal_id"), F.col("ord").alias("_o")), ["session_id", "proposal_id"]).where("_o % 3 < 2")
+    decisions = decisions.withColumn("status", F.when(F.col("_o") % 3 == 0, "accept").otherwise("reject")).drop("_o")
+    return R.previews(proposals, decisions, _sessions(spark, sf_dir))
+
+
 # Evaluation -----------------------------------------------------------------------------------
 
 
@@ -526,6 +619,28 @@ def scorer_exact(spark, sf_dir):
     return E.metrics(E.counts(*_truth_and_predictions(spark, sf_dir)), "entity_type")
 
 
-@query(None)
+_RATIOS = """r as (select *, case when tp + fp = 0 then 0.0 else tp / (tp + fp)::double end as "precision", case when tp + fn = 0 then 0.0 else tp / (tp + fn)::double end recall from c),
+  m as (select *, case when "precision" + recall = 0 then 0.0 else 2 * "precision" * recall / ("precision" + recall) end f1 from r)"""
+
+
+@query(f"""with n as (select doc_id, "start", "end", case when length(value) % 2 = 0 then 'EVEN' else 'ODD' end entity_type, length(value) k from ({spans_sql(r"[0-9]+")})),
+c as (select entity_type, count_if(k >= 3)::bigint tp, count_if(k = 1)::bigint fp, count_if(k = 2)::bigint fn from n group by 1), {_RATIOS}
+select * from m""")
 def scorer_overlap(spark, sf_dir):
-    return E.metrics(E.counts(*_truth_and_predictions(spark, sf_dir), mode="overlap"), "entity_type")
+    """Numbers of two digits or more are true; found are those of one digit, and those of three or more less their first."""
+    docs = _docs(spark, sf_dir)
+    numbers = _spans(docs, P.Recognizer("n", "NUM", "[0-9]+", 0.5), "doc_id")
+    kind = F.when(F.length("value") % 2 == 0, "EVEN").otherwise("ODD").alias("entity_type")
+    truth = numbers.where(F.length("value") >= 2).select("doc_id", kind, "start", "end")
+    less = F.when(F.length("value") == 1, F.col("start")).otherwise(F.col("start") + 1)
+    found = numbers.where(F.length("value") != 2).select("doc_id", kind, less.alias("start"), "end", (F.length("value") % 7 / 10.0).alias("score"))
+    return E.metrics(E.counts(truth, found, mode="overlap"), "entity_type")
+
+
+@query(f"""with t as (select * from {_NUMBERS.format(spans_sql(r"\b[0-9]{2,}\b"))}), p as (select * from {_NUMBERS.format(spans_sql(r"\b[0-9]{3,}\b|\b[0-9]\b"))}),
+c as (select coalesce(t.entity_type, p.entity_type) entity_type, count_if(t.doc_id is not null and p.doc_id is not null)::bigint tp, count_if(t.doc_id is null)::bigint fp, count_if(p.doc_id is null)::bigint fn
+  from t full join p on t.doc_id = p.doc_id and t."start" = p."start" and t."end" = p."end" and t.entity_type = p.entity_type group by 1), {_RATIOS}
+select avg("precision") "precision", avg(recall) recall, avg(f1) f1, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn from m""")
+def scorer_macro(spark, sf_dir):
+    """The unweighted means over the types."""
+    return E.macro(E.metrics(E.counts(*_truth_and_predictions(spark, sf_dir)), "entity_type"))
