@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloakframe.functions import text as X
+
 
 def _exact(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     keys = ["doc_id", "entity_type", "start", "end"]
@@ -50,3 +52,21 @@ def metrics(counted: DataFrame, *keys: str) -> DataFrame:
 def macro(by_type: DataFrame) -> DataFrame:
     """Unweighted means over the types; counts are sums."""
     return by_type.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+def annotated_texts(parts: DataFrame, width: int = 20) -> DataFrame:
+    """(doc_id, text, entities) from parts (doc_id, ord, text, entity_type: NULL for plain text) in the order of ord.
+
+    entities: start, end, entity_type, text and a context of up to width characters on either side.
+    """
+    own = F.struct("ord", "text", "entity_type")
+    grouped = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("_parts"))
+    whole = grouped.withColumn("text", F.array_join(F.transform("_parts", lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+    sizes = F.transform("_parts", lambda p: F.coalesce(F.length(p["text"]), F.lit(0)))
+    placed = F.transform(F.arrays_zip(F.col("_parts").alias("p"), X.running_sums(sizes).alias("e")), lambda x: F.struct((x["e"] - F.coalesce(F.length(x["p"]["text"]), F.lit(0))).alias("start"), x["e"].alias("end"), x["p"]["entity_type"].alias("entity_type")))
+    named = F.filter(placed, lambda s: s["entity_type"].isNotNull())
+
+    def described(cut) -> Column:
+        return F.transform(named, lambda s: F.struct(s["start"], s["end"], s["entity_type"], cut(s["start"], s["end"]).alias("text"), cut(*X.around(s["start"], s["end"], width)).alias("context")))
+
+    return whole.select("doc_id", "text", X.cutting("text", described).alias("entities"))

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakframe.functions.surrogates import pseudonym_candidate
+from cloakframe.sources.files import Files
 from cloakframe.sources.scratch import written
 
 ATTEMPTS = 5
@@ -112,39 +114,73 @@ class WrongPassphrase(ValueError):
     """The store can't be opened with this passphrase."""
 
 
+class SessionOnlyStore:
+    """A mapping that lives as long as its owner; nothing outlasts the session."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._rows, self._guard = spark, empty(spark), threading.RLock()
+
+    is_unlocked = True
+
+    def unlock(self, passphrase: str | None = None) -> None:
+        """Always open."""
+
+    def load(self) -> DataFrame:
+        return self._rows
+
+    def save(self, mappings: DataFrame) -> None:
+        self._rows = written(mappings.select("entity_type", "original", "pseudonym"), "mapping")
+
+    def get_or_create(self, requests: DataFrame, candidate=pseudonym_candidate) -> DataFrame:
+        """requests with their pseudonym; what is new is kept."""
+        with self._guard:
+            named, grown = get_or_create(requests, self.load(), candidate)
+            self.save(grown)
+            return peek(named.drop("pseudonym"), self.load())
+
+
 class EncryptedStore:
     """A mapping table on shared storage, its values sealed by AES-GCM with the header as authenticated data.
 
     The key is derived from a passphrase by scrypt on the driver; the salt and its parameters are the header.
-    Writes go to a new version folder that becomes current by an atomic rename of a pointer file.
+    Writes go to a new version folder that becomes current by an atomic rename of a pointer file, one writer
+    at a time: a lock file keeps others out from load to save.
     """
 
     N, R, P = 1 << 15, 8, 1
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._key, self._header = spark, path, None, None
+        self.spark, self.path, self.files, self._key, self._header = spark, path.rstrip("/"), Files(spark), None, None
 
     def _derive(self, passphrase: str, salt: bytes) -> bytes:
         return hashlib.scrypt(passphrase.encode(), salt=salt, n=self.N, r=self.R, p=self.P, maxmem=1 << 26, dklen=32)
 
     def _pointer(self) -> str:
-        return os.path.join(self.path, "CURRENT")
+        return f"{self.path}/CURRENT"
+
+    def _current(self) -> tuple[str, str]:
+        """(version, salt)"""
+        version, salt = self.files.read(self._pointer()).decode().split()
+        return version, salt
+
+    def locked(self):
+        self.files.make(self.path)
+        return self.files.locked(f"{self.path}/LOCK")
 
     def unlock(self, passphrase: str) -> None:
-        if os.path.exists(self._pointer()):
-            with open(self._pointer()) as f:
-                version, salt = f.read().split()
-            self._header = f"cloakframe-1|{salt}|{self.N}|{self.R}|{self.P}"
-            self._key = self._derive(passphrase, bytes.fromhex(salt))
-            try:
-                self._open(version).limit(1).collect()
-            except Exception as e:
-                self._key = None
-                raise WrongPassphrase("wrong passphrase or damaged store") from e
-        else:
-            os.makedirs(self.path, exist_ok=True)
-            self._begin(passphrase)
-            self.save(empty(self.spark))
+        with self.locked():
+            if not self.files.exists(self._pointer()):
+                self._begin(passphrase)
+                self.save(empty(self.spark))
+                return
+            version, salt = self._current()
+        self._header = f"cloakframe-1|{salt}|{self.N}|{self.R}|{self.P}"
+        self._key = self._derive(passphrase, bytes.fromhex(salt))
+        try:
+            self._open(version).limit(1).collect()
+        except Exception as e:
+            self._key = None
+            raise WrongPassphrase("wrong passphrase or damaged store") from e
 
     def _begin(self, passphrase: str) -> None:
         salt = os.urandom(16).hex()
@@ -165,29 +201,46 @@ class EncryptedStore:
 
     def _open(self, version: str) -> DataFrame:
         key, header = self._sealing()
-        rows = self.spark.read.schema("sealed binary").parquet(os.path.join(self.path, version))
+        rows = self.spark.read.schema("sealed binary").parquet(f"{self.path}/{version}")
         plain = F.aes_decrypt("sealed", key, F.lit("GCM"), F.lit("DEFAULT"), header.cast("binary")).cast("string")
         return rows.select(F.from_json(plain, SCHEMA).alias("m")).select("m.*")
 
     def load(self) -> DataFrame:
         self._sealing()
-        with open(self._pointer()) as f:
-            return self._open(f.read().split()[0])
+        version, salt = self._current()
+        if salt != self._header.split("|")[1]:
+            raise MappingLocked("the passphrase was changed: unlock the store again")
+        return self._open(version)
 
     def save(self, mappings: DataFrame) -> None:
+        """Replace the mapping; to add to it, use get_or_create, which nobody can come between."""
         key, header = self._sealing()
         version = os.urandom(8).hex()
         value = F.to_json(F.struct("entity_type", "original", "pseudonym")).cast("binary")
-        mappings.select(F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), header.cast("binary")).alias("sealed")).write.parquet(os.path.join(self.path, version))
-        with open(self._pointer() + ".new", "w") as f:
-            f.write(f"{version} {self._header.split('|')[1]}")
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(self._pointer() + ".new", self._pointer())
+        with self.locked():
+            mappings.select(F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), header.cast("binary")).alias("sealed")).write.parquet(f"{self.path}/{version}")
+            self.files.replace(self._pointer(), f"{version} {self._header.split('|')[1]}".encode())
+
+    def get_or_create(self, requests: DataFrame, candidate=pseudonym_candidate) -> DataFrame:
+        """requests with their pseudonym; what is new is stored, under the store's lock from load to save."""
+        with self.locked():
+            named, grown = get_or_create(requests, self.load(), candidate)
+            self.save(grown)
+        return peek(named.drop("pseudonym"), self.load())
 
     def rotate(self, old: str, new: str) -> None:
         """Open with the old passphrase; new salt and key; rewrite."""
-        self.unlock(old)
-        rows = self.load()  # its expressions hold the old key and header
-        self._begin(new)
-        self.save(rows)
+        with self.locked():
+            self.unlock(old)
+            rows = self.load()  # its expressions hold the old key and header
+            self._begin(new)
+            self.save(rows)
+
+
+def create_store(spark: SparkSession, session_only: bool = True, path: str | None = None) -> SessionOnlyStore | EncryptedStore:
+    """The store that the settings ask for: one that leaves nothing behind, or an encrypted one at path, to be unlocked."""
+    if session_only:
+        return SessionOnlyStore(spark)
+    if not path:
+        raise ValueError("a store that lasts needs a path")
+    return EncryptedStore(spark, path)

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import anonymize as A
 from cloakframe.functions import text as X
+from cloakframe.operators import mapping as M
 from cloakframe.operators.blocks import fragment_words
 
 PARAMS = "map<string,string>"
+# Fixed value: what stands for a pseudonym while the store is locked.
+LOCKED_PREVIEW = "<pseudonymize preview unavailable — unlock the mapping store>"
 
 
 class SessionNotOpen(RuntimeError):
@@ -148,7 +151,7 @@ def replacement(entity_type: Column, original: Column, operator: Column, params:
         .when(operator == "mask", masked)
         .when(operator == "hash", F.sha2(F.concat(F.coalesce(params["salt"], F.lit("")), original), 256))
         .when(operator == "keep", original)
-        .when(operator == "pseudonymize", pseudonym if pseudonym is not None else A.apply(A.Policy("pseudonymize"), entity_type, original, salt))
+        .when(operator == "pseudonymize", pseudonym if pseudonym is not None else F.raise_error(F.lit("pseudonymize needs an unlocked mapping store")).cast("string"))
         .when(operator == "hips", A.apply(A.HIPS, entity_type, original, salt, avoid))
         .otherwise(plain),
     )
@@ -162,11 +165,47 @@ def replacement_context(proposals: DataFrame, user_added: DataFrame) -> DataFram
     return every.groupBy("session_id").agg(F.array_sort(F.collect_set("o")).alias("avoid"))
 
 
-def plan_edits(segments: DataFrame, proposals: DataFrame, decisions: DataFrame, sessions: DataFrame) -> DataFrame:
+def _with_pseudonyms(rows: DataFrame, mappings: DataFrame | None) -> tuple[DataFrame, Column | None]:
+    """(rows, the pseudonym of each original whose operator asks for one): stored, or as it would be minted.
+
+    mappings: an unlocked store's rows; NULL for the column where there is none.
+    """
+    if mappings is None:
+        return rows, None
+    whole = F.coalesce("group_original", "original")
+    asked = rows.where((F.coalesce("operator", "default_operator") == "pseudonymize") & F.col("custom_replacement").isNull())
+    order = F.xxhash64("session_id", "segment_anchor", "start")
+    named = M.preview(asked.select("entity_type", whole.alias("original"), order.alias("ord")).groupBy("entity_type", "original").agg(F.min("ord").alias("ord")), mappings)
+    named = named.select(F.col("entity_type").alias("_type"), F.col("original").alias("_whole"), F.col("pseudonym").alias("_pseudonym"))
+    return rows.join(named, (F.col("entity_type") == F.col("_type")) & (whole == F.col("_whole")), "left").drop("_type", "_whole"), F.col("_pseudonym")
+
+
+def pseudonym_requests(proposals: DataFrame, decisions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(entity_type, original, ord) that a commit will ask the mapping store for."""
+    own = _rendered(proposals, decisions, sessions).where("status = 'accept'")
+    asked = own.where((F.coalesce("operator", "default_operator") == "pseudonymize") & F.col("custom_replacement").isNull())
+    return asked.select("entity_type", F.coalesce("group_original", "original").alias("original"), F.xxhash64("session_id", "segment_anchor", "start").alias("ord"))
+
+
+def _rendered(proposals: DataFrame, decisions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Proposals and reviewers' spans with status, operator and the session's defaults."""
+    added = decisions.where("kind = 'user_added'")
+    found = proposals.join(effective_decisions(decisions, proposals).withColumnRenamed("proposal_id", "detection_id"), ["session_id", "detection_id"], "left")
+    shown = ["session_id", "detection_id", "segment_anchor", "start", "entity_type", "original", "group_id", "group_index", "group_original", "status", "operator", "operator_params", "custom_replacement"]
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    own = added.select(
+        "session_id", F.col("id").alias("detection_id"), "segment_anchor", "start", "entity_type", "original", null("group_id"), F.lit(0).alias("group_index"), null("group_original"), F.lit("accept").alias("status"),
+        "operator", "operator_params", "custom_replacement",
+    )
+    return found.select(*shown).unionByName(own).join(sessions.select("session_id", "default_operator", "default_operator_params", "salt"), "session_id")
+
+
+def plan_edits(segments: DataFrame, proposals: DataFrame, decisions: DataFrame, sessions: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """Edits (session_id, segment_id, start, end, replacement, leak_original, leak_extra) of accepted and added spans.
 
     Recorded offsets must still match the segment's text; a span that moved is placed at its first
-    occurrence, one that is gone is left out.
+    occurrence, one that is gone is left out.  mappings: what the unlocked store holds after
+    pseudonym_requests were minted; without it, an edit that needs a pseudonym raises.
     """
     added = decisions.where("kind = 'user_added'")
     context = replacement_context(proposals, added)
@@ -183,7 +222,8 @@ def plan_edits(segments: DataFrame, proposals: DataFrame, decisions: DataFrame,
     both = both.withColumn("_at", F.when(here, F.col("start")).otherwise(F.expr("instr(_t, original) - 1"))).where("_at >= 0")
     whole = F.coalesce("group_original", "original")
     tail = F.col("group_id").isNotNull() & (F.col("group_index") > 0)
-    made = replacement(F.col("entity_type"), whole, F.coalesce("operator", "default_operator"), F.coalesce("operator_params", "default_operator_params"), F.col("custom_replacement"), F.coalesce("salt", "session_id"), A.avoid_pattern(F.col("avoid")))
+    both, pseudonym = _with_pseudonyms(both.withColumn("segment_anchor", F.col("segment_id")), mappings)
+    made = replacement(F.col("entity_type"), whole, F.coalesce("operator", "default_operator"), F.coalesce("operator_params", "default_operator_params"), F.col("custom_replacement"), F.coalesce("salt", "session_id"), A.avoid_pattern(F.col("avoid")), pseudonym)
     return both.select(
         "session_id", "segment_id", F.col("_at").alias("start"), (F.col("_at") + F.length("original")).alias("end"), F.when(tail, F.lit("")).otherwise(made).alias("replacement"), F.when(~tail, whole).alias("leak_original"),
         F.when(F.col("group_original").isNotNull(), fragment_words(F.col("original"), F.col("group_original"))).otherwise(F.array().cast("array<string>")).alias("leak_extra"),
@@ -208,13 +248,19 @@ def originals_to_verify(edits: DataFrame, proposals: DataFrame, decisions: DataF
     return every.join(kept.unionByName(parts).distinct(), ["session_id", "original"], "left_anti")
 
 
-def previews(proposals: DataFrame, decisions: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(session_id, detection_id, status, preview): undecided by the default operator, rejected as it is."""
+def previews(proposals: DataFrame, decisions: DataFrame, sessions: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+    """(session_id, detection_id, status, preview): undecided by the default operator, rejected as it is, reviewers' own spans by theirs.
+
+    mappings: the unlocked store's rows; without them, a pseudonym's place is held by a note.  Nothing is minted for good.
+    """
     context = replacement_context(proposals, decisions.where("kind = 'user_added'"))
-    own = proposals.join(effective_decisions(decisions, proposals).withColumnRenamed("proposal_id", "detection_id"), ["session_id", "detection_id"], "left")
-    own = own.join(sessions.select("session_id", "default_operator", "default_operator_params", "salt"), "session_id").join(context, "session_id", "left")
+    own = _rendered(proposals, decisions, sessions).join(context, "session_id", "left")
+    own, pseudonym = _with_pseudonyms(own, mappings)
     whole = F.coalesce("group_original", "original")
-    made = replacement(F.col("entity_type"), whole, F.coalesce("operator", "default_operator"), F.coalesce("operator_params", "default_operator_params"), F.col("custom_replacement"), F.coalesce("salt", "session_id"), A.avoid_pattern(F.col("avoid")))
+    made = replacement(
+        F.col("entity_type"), whole, F.coalesce("operator", "default_operator"), F.coalesce("operator_params", "default_operator_params"), F.col("custom_replacement"), F.coalesce("salt", "session_id"), A.avoid_pattern(F.col("avoid")),
+        F.lit(LOCKED_PREVIEW) if pseudonym is None else pseudonym,
+    )
     tail = F.col("group_id").isNotNull() & (F.col("group_index") > 0)
     shown = F.when(F.col("status") == "reject", F.col("original")).when(tail, F.lit("")).otherwise(made)
     return own.select("session_id", "detection_id", F.coalesce("status", F.lit("pending")).alias("status"), shown.alias("preview"))

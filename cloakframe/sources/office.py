@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,23 +71,33 @@ def write_segments(files: DataFrame, edited: DataFrame) -> DataFrame:
     return both.select("doc_id", "format", "content", "_edits", "_originals").mapInArrow(run, "doc_id string, format string, content binary, text string")
 
 
-def save_files(written: DataFrame, folder: str) -> DataFrame:
-    """Write the bytes below a folder that all executors share, each file by an atomic rename; the paths."""
+def save_files(written: DataFrame, folder: str, root: str | None = None) -> DataFrame:
+    """Write the bytes below a folder on shared storage, each file by a rename; (doc_id, path).
+
+    A file's place below the folder is its path below root (by default below the deepest folder that holds
+    all of them), so files of one name from several folders don't meet.
+    """
+    if root is None:
+        ends = written.agg(F.min("doc_id"), F.max("doc_id")).first()
+        shared = os.path.commonprefix([x for x in ends if x is not None] or [""])
+        root = shared[: shared.rfind("/") + 1]
+    lead = root.rstrip("/") + "/" if root else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        files, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
         for batch in batches:
             paths = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path = os.path.join(folder, os.path.basename(doc))
+                own = doc.removeprefix(lead).split("://")[-1].lstrip("/")
+                path = f"{base}/{own}"
+                files.create_dir(os.path.dirname(path), recursive=True)
                 part = f"{path}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, path)
+                with files.open_output_stream(part) as out:
+                    out.write(content)
+                files.move(part, path)
                 paths.append(path)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths)], names=["doc_id", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["doc_id", "path"])
 
     return written.select("doc_id", "content").mapInArrow(run, "doc_id string, path string")

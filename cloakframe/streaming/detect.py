@@ -9,6 +9,7 @@ from cloakframe.functions import anonymize as A
 from cloakframe.functions.patterns import ALL
 from cloakframe.operators import mapping as M
 from cloakframe.operators.engine import process_text
+from cloakframe.sources.files import Files
 
 
 def process_stream(stream: DataFrame, policies: dict[str, A.Policy] | None = None, text: str = "text", recognizers=ALL, salt: str = "") -> DataFrame:
@@ -26,15 +27,16 @@ def entity_counts(stream: DataFrame, timestamp: str, text: str = "text", window:
 def pseudonymize_batches(stream: DataFrame, store_path: str, out_path: str, checkpoint: str):
     """Mint pseudonyms for (entity_type, original, ord) batch by batch.
 
-    The mapping is a versioned table below store_path, one version per batch; a batch that is tried again
-    starts from the version before it, so it mints the same.
+    The mapping is kept as what each batch added, in a folder of its own below store_path, so a batch writes
+    only what is new; one that is tried again reads the batches before it and replaces its own folder.
     """
 
     def one(batch: DataFrame, epoch: int) -> None:
         spark: SparkSession = batch.sparkSession
-        before = M.empty(spark) if epoch == 0 else spark.read.schema(M.SCHEMA).parquet(f"{store_path}/v{epoch - 1}")
-        named, grown = M.get_or_create(batch, before)
-        grown.write.mode("overwrite").parquet(f"{store_path}/v{epoch}")
-        named.write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
+        earlier = [f"{store_path}/batch={e}" for e in range(epoch) if Files(spark).exists(f"{store_path}/batch={e}/_SUCCESS")]
+        before = spark.read.schema(M.SCHEMA).parquet(*earlier) if earlier else M.empty(spark)
+        M.mint(batch, before).write.mode("overwrite").parquet(f"{store_path}/batch={epoch}")
+        known = spark.read.schema(M.SCHEMA).parquet(*earlier, f"{store_path}/batch={epoch}")
+        M.peek(batch, known).write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

@@ -28,7 +28,14 @@ def test_pseudonym_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     q = pseudonymize_batches(stream, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "store" / "v0")).count() == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 6
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 6
+    spark.createDataFrame([("PERSON", f"n{i}", i) for i in range(5)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    q = pseudonymize_batches(stream, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    added = spark.read.parquet(str(tmp_path / "store"))  # a batch writes what it adds, nothing again
+    assert added.groupBy("batch").count().orderBy("batch").collect()[1]["count"] == 2 and added.select("pseudonym").distinct().count() == 5
+    named = spark.read.parquet(str(tmp_path / "out"))
+    assert named.count() == 11 and named.select("original", "pseudonym").distinct().count() == 5
 
 
 def test_overlap_scores(spark):
