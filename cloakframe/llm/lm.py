@@ -10,9 +10,11 @@
    ids, fall into shards by a hash of the row, a task trains one pass by truncated backpropagation over each
    of its shards in the order of the hashes, and the weights are averaged by tokens in a tree of bounded
    groups.  Nothing of this depends on how the rows came partitioned.
-4. Scoring: one pass over every whole text; rare words meet their counts in a shuffled join (their
+4. Scoring: the network runs over the ids of every whole text; rare words meet their counts in a shuffled join (their
    counts are below the vocabulary's frequency, so no key is hot) and return as sums per document.
 
+Texts are read twice: for the counts, and into a written table of ids that training and scoring share.
+
 Defined results: NULL texts are empty; an empty text is its end token; repeated rows are scored alike;
 rows without an id are training rows; ids may be of any type; without training documents N = 0, every
 word is unknown and the scores are those of untrained weights; an empty table gives no rows; input columns
@@ -24,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import gru
-from cloakframe.llm.common import Own, append_from_text, in_fold, read_texts, table, written
+from cloakframe.llm.common import Own, append_from_text, in_fold, table, written
 
 FOLDS, HELD_OUT = 7, 2
 WORDS, CLASSES, TAILS = 1024, 32, 32
@@ -41,6 +44,9 @@ TOP_WORDS = 150_000
 WARM_TEXTS, WARM_SHARE = 192, 1000
 #: Tokens in a training shard, and the most shards (beyond, they hold more tokens).
 SHARD_TOKENS, MOST_SHARDS = 2_000_000, 16_384
+_READ = "_ids binary, _n bigint, _known bigint, _base double, _inner double, _rare array<struct<word:string,n:bigint>>"
+#: Most bytes of ids that are scored at once.
+_SCORE_BYTES = 4_000_000
 _ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: The end token; no word holds a line's end.
 END = b"\n"
@@ -182,36 +188,53 @@ def warm_texts(docs: DataFrame, n: int, text: str = "text", least: int = WARM_TE
     return written(picked, "warm_texts").orderBy("_h", "_t")
 
 
-def _as_ids(docs: DataFrame, shared, text: str) -> DataFrame:
-    """(_h, _ids): a hash of each row and its text as the network's ids (16 bits each)."""
+@dataclass
+class Read:
+    """Documents as the network's ids, with what the counts alone say of them: a written table (see read_documents)."""
+
+    own: Own
+    keep: list[str] | None
+    rows: DataFrame
+
+
+def read_documents(docs: DataFrame, vocab: Vocabulary, keep: list[str] | None = None, text: str = "text") -> Read:
+    """One pass over the texts that serves training and scoring: per row
+
+    _row, _h (a hash of the row), _ids (16 bits each), _n (tokens), _known and _base (of the frequent words: how many, and
+    their log counts), _inner (what words have inside their tail class) and _rare (the words that still need their counts).
+    """
     own = Own(docs)
-    rows = own.df.select(F.xxhash64(own["doc_id"], own[text]).alias("_h"), own[text])
-    read = lambda texts: {"_ids": [shared.value[1].ids(tokens(x)).astype(np.uint16).tobytes() for x in texts]}
-    return append_from_text(rows, "_ids binary", read, own[text], drop=True)
+    mine = own.kept(_ADDED, keep)
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    body = own[text]
+    rows = own.df.select(*dict.fromkeys([*mine, body]), F.xxhash64(own["doc_id"], body).alias("_h"))
+    read = append_from_text(rows, _READ, lambda x: _read_texts(x, shared.value), body, drop=body not in mine)
+    return Read(own, keep, written(read.withColumn("_row", F.monotonically_increasing_id()), "tokens"))
 
 
-def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> gru.Params:
-    """Weights after one pass over all rows of docs, the same for any layout of the rows.
+def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", shard_tokens: int = SHARD_TOKENS, rows: DataFrame | None = None) -> gru.Params:
+    """Weights after one pass over all rows of docs, the same for any layout of the rows; rows: docs as read, if they are.
 
     Rows fall into shards by hash, are trained on in the order of their hashes, and shards are as many as the tokens ask for.
     """
+    rows = read_documents(docs, vocab, [], text).rows if rows is None else rows
     p = gru.start(WORDS, CLASSES, TAILS, vocab.id_counts)
     warm = [vocab.ids(tokens(bytes(r._t))) for r in warm_texts(docs, docs.count(), text).toLocalIterator()]
     for _ in range(2):
         if warm:
             gru.train(p, np.concatenate(warm), vocab.end, streams=32)
     shapes = _shapes(p)
-    shared = docs.sparkSession.sparkContext.broadcast((_flat(p), vocab))
+    shared, end = docs.sparkSession.sparkContext.broadcast(_flat(p)), vocab.end
     shards = max(1, min(MOST_SHARDS, round(vocab.n / shard_tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, voc = shared.value
+        flat = shared.value
         now, own, held, size, total = -1, None, [], 0, 0
 
         def learn() -> None:
             nonlocal size, total
             if held:
-                gru.train(own, np.concatenate(held), voc.end)
+                gru.train(own, np.concatenate(held), end)
                 total += size
                 held.clear()
                 size = 0
@@ -237,7 +260,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", shard_tokens:
         if own is not None:
             yield done()
 
-    rows = _as_ids(docs, shared, text).withColumn("_shard", F.pmod("_h", F.lit(shards)).cast("int"))
+    rows = rows.select("_h", "_ids", F.pmod("_h", F.lit(shards)).cast("int").alias("_shard"))
     dealt = rows.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_h", "_ids").select("_shard", "_ids")
     trained = dealt.mapInArrow(run, "chunk int, shard int, n double, w array<float>")
     trained = _average(trained.withColumn("group", F.floor(F.col("shard") / 64).cast("int")), "chunk", "group")
@@ -245,43 +268,47 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", shard_tokens:
     return _unflat(np.concatenate([np.asarray(r.w, np.float32) for r in got]), shapes) if got else p
 
 
-def _score_texts(texts: list[bytes], p: gru.Params, vocab: Vocabulary) -> dict:
-    ids, known, base, lm, rare = [], [], [], [], []
+def _read_texts(texts: list[bytes], vocab: Vocabulary) -> dict:
+    ids, n, known, base, inner, rare = [], [], [], [], [], []
     log_count = np.log10(vocab.counts + 1.0)
-    end = vocab.end
     for x in texts:
         words = tokens(x)
         at = vocab.places(words)
         own = vocab.network_ids(words, at)
         tails = own[own >= WORDS] - WORDS
-        ids.append(own)
+        ids.append(own.astype(np.uint16).tobytes())
+        n.append(len(own))
         top = at[at >= 0]
         known.append(len(top))
         base.append(float(log_count[top].sum()))
-        lm.append(float(log_count[top[top >= WORDS]].sum() + vocab.tail_log[tails].sum()))
-        rare.append([{"word": w.decode(), "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()])
-    network = gru.score(p, ids, end) / np.log(10)
-    return {"_n": [len(x) for x in ids], "_known": known, "_base": base, "_lm": network + np.array(lm), "_rare": rare}
+        inner.append(float(log_count[top[top >= WORDS]].sum() + vocab.tail_log[tails].sum()))
+        rare.append([{"word": w.decode(), "n": k} for w, k in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()])
+    return {"_ids": ids, "_n": n, "_known": known, "_base": base, "_inner": inner, "_rare": rare}
 
 
-def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, p: gru.Params, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """docs (or its columns in keep) with n_tokens, n_known, train_tokens, base_score and score."""
-    own = Own(docs)
-    mine = own.kept(_ADDED, keep)
-    shared = docs.sparkSession.sparkContext.broadcast((p, vocab))
-    fields = "_n bigint, _known bigint, _base double, _lm double, _rare array<struct<word:string,n:bigint>>"
-    read = read_texts(own, mine, fields, lambda x: _score_texts(x, *shared.value), text, most=16_000_000)
-    read = written(read.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = read.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.n").join(counts.select("word", "c"), "word", "left")
+def score_read(read: Read, counts: DataFrame, vocab: Vocabulary, p: gru.Params) -> DataFrame:
+    """The kept columns with n_tokens, n_known, train_tokens, base_score and score."""
+    shared, end = read.rows.sparkSession.sparkContext.broadcast(p), vocab.end
+
+    def network(ids: list[bytes]) -> dict:
+        return {"_network": gru.score(shared.value, [np.frombuffer(x, np.uint16).astype(np.int32) for x in ids], end) / np.log(10)}
+
+    scored = append_from_text(read.rows.drop("_rare", "_h"), "_network double", network, "_ids", most=_SCORE_BYTES, drop=True)
+    rare = read.rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.n").join(counts.select("word", "c"), "word", "left")
     sums = rare.groupBy(F.col("_row").alias("_of")).agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_rk"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("_rl"))
-    both = read.drop("_rare").join(sums, F.col("_row") == F.col("_of"), "left")
+    both = scored.join(sums, F.col("_row") == F.col("_of"), "left")
     rare_log = F.coalesce("_rl", F.lit(0.0))
     per_token = float(np.log10(vocab.n + vocab.v + 1.0))
     outputs = {
         "n_tokens": "_n", "n_known": (F.col("_known") + F.coalesce("_rk", F.lit(0))).cast("long"), "train_tokens": F.lit(vocab.n).cast("long"),
-        "base_score": F.col("_base") + rare_log - F.col("_n") * F.lit(per_token), "score": F.col("_lm") + rare_log,
+        "base_score": F.col("_base") + rare_log - F.col("_n") * F.lit(per_token), "score": F.col("_network") + F.col("_inner") + rare_log,
     }
-    return own.back(both, outputs, keep)
+    return read.own.back(both, outputs, read.keep)
+
+
+def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, p: gru.Params, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """docs (or its columns in keep) with n_tokens, n_known, train_tokens, base_score and score."""
+    return score_read(read_documents(docs, vocab, keep, text), counts, vocab, p)
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,5 +317,6 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = docs.where(~held_out)
     counts = written(token_counts(training), "token_counts")
     vocab = vocabulary(counts)
-    scored = score_documents(docs, counts, vocab, train(training, vocab), ["doc_id"])
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    read = read_documents(docs, vocab, ["doc_id"])
+    p = train(training, vocab, rows=read.rows.where(~in_fold(F.col(read.own["doc_id"]), FOLDS, HELD_OUT)))
+    return score_read(read, counts, vocab, p).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
