@@ -19,6 +19,7 @@ from cloakframe.operators import blocks as B
 from cloakframe.operators import evaluate as E
 from cloakframe.operators import leak as L
 from cloakframe.operators import mapping as M
+from cloakframe.operators import ner
 from cloakframe.operators import review as R
 from cloakframe.operators.detect import detections, raw_spans
 from cloakframe.operators.engine import process_text
@@ -126,6 +127,70 @@ def phone_scores(spark, sf_dir):
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.score")
 
 
+def _planted(rows: DataFrame, recognizer: P.Recognizer) -> DataFrame:
+    """Spans of one recognizer, its validator included, in (key, text)."""
+    found = raw_spans(rows, recognizers=[recognizer])
+    return found.select("key", "text", F.explode("spans").alias("s")).select("key", "s.start", "s.end", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"))
+
+
+@query("""with t as (select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') a, strftime(o_orderdate, '%B %-d, %Y') b, strftime(o_orderdate, '%-d.%-m.%Y') c from orders)
+select o_orderkey as key, 5 "start", 15 "end", a as value from t union all select o_orderkey, 19, (19 + length(b))::int, b from t union all select o_orderkey, (21 + length(b))::int, (21 + length(b) + length(c))::int, c from t""")
+def date_mentions(spark, sf_dir):
+    """Every order's date in three layouts, and as a part of longer numbers, which isn't one."""
+    day = lambda layout: F.date_format("o_orderdate", layout)
+    text = F.concat(F.lit("paid "), day("yyyy-MM-dd"), F.lit(" or "), day("MMMM d, yyyy"), F.lit("; "), day("d.M.yyyy"), F.lit(" not 1"), day("yyyy-MM-dd"))
+    return _planted(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), text.alias("text")), P.DATE)
+
+
+_SSN_SQL = "(select c_custkey k, lpad((c_custkey * 7919 % 1000)::varchar, 3, '0') a, lpad((c_custkey % 100)::varchar, 2, '0') g, lpad((c_custkey * 37 % 10000)::varchar, 4, '0') n from customer)"
+
+
+@query(f"""select k as key, 3 "start", 14 "end", a || '-' || g || '-' || n as value from {_SSN_SQL} where a not in ('000', '666') and a < '900' and g <> '00' and n <> '0000'""")
+def ssn_mentions(spark, sf_dir):
+    """A number of the form for every customer; those that are never issued are left out."""
+    part = lambda value, n: F.lpad(value.cast("string"), n, "0")
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("no "), part(k * 7919 % 1000, 3), F.lit("-"), part(k % 100, 2), F.lit("-"), part(k * 37 % 10000, 4), F.lit(" 123-45-67890"))
+    return _planted(read_table(spark, sf_dir, "customer").select(k.alias("key"), text.alias("text")), P.SSN)
+
+
+@query("""select c_custkey as key, 4 "start", 26 "end", 'DE' || lpad((98 - (lpad(c_custkey::varchar, 18, '0') || '131400')::hugeint % 97)::varchar, 2, '0') || lpad(c_custkey::varchar, 18, '0') as value
+from customer where c_custkey % 2 = 0""")
+def iban_mentions(spark, sf_dir):
+    """An account number for every customer, with a wrong check number for odd ones."""
+    k = F.col("c_custkey")
+    account = F.lpad(k.cast("string"), 18, "0")
+    check = 98 - (F.concat(account, F.lit("131400")).cast("decimal(38,0)") % 97).cast("int") + (k % 2).cast("int")
+    text = F.concat(F.lit("pay DE"), F.lpad(check.cast("string"), 2, "0"), account)
+    return _planted(read_table(spark, sf_dir, "customer").select(k.alias("key"), text.alias("text")), P.IBAN)
+
+
+_LINK = r"""https?://[^\s<>"']+[^\s<>"'.,;:!?)]"""
+
+
+@query(f"""select page_id as key, 4 "start", (4 + length(v))::int "end", v as value from (select page_id, regexp_extract(url, '{_LINK.replace("'", "''")}') v from pages) where v <> ''""")
+def page_links(spark, sf_dir):
+    """Every page's address at the end of a sentence."""
+    return _planted(read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.concat(F.lit("see "), "url", F.lit(".")).alias("text")), P.URL)
+
+
+_EDGES = ",;:()[]\"''"
+
+
+@query(rf"""with w as (select distinct unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) v from documents),
+t as (select kind, v, ltrim(rtrim(v, '{_EDGES}.'), '{_EDGES}') t from w, (select unnest(['ID_NUMBER', 'DATE_TIME', 'PERSON']) kind)),
+c as (select kind, v, t, regexp_matches(t, '\p{{Nd}}') d, regexp_matches(t, '\p{{Lu}}') u from t)
+select v as value, kind as claimed, t as trimmed, least(1.0, 0.35 + 0.65 * greatest(0.0, (length(v) % 10 / 10.0::double - 0.2) / 0.8)) score,
+  case when kind = 'ID_NUMBER' then case when d and not regexp_matches(t, '{ner.CURRENCY}') then 'ID_NUMBER' when not d and u then 'ORGANIZATION' end
+       when kind = 'DATE_TIME' then case when d or (u and lower(t) not in ({", ".join(f"'{x}'" for x in ner.WEEKDAYS)})) then 'DATE_TIME' end else kind end as entity_type from c""")
+def claims_rechecked(spark, sf_dir):
+    """Every word of the documents as if a model had claimed it: trimmed, checked again and its score rescaled."""
+    words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("value")).distinct()
+    claims = words.select("value", F.explode(F.array(*[F.lit(x) for x in ("ID_NUMBER", "DATE_TIME", "PERSON")])).alias("claimed"))
+    trimmed = claims.withColumn("trimmed", ner.trim_edges(F.lit(0), F.col("value"))["text"])
+    return trimmed.select("value", "claimed", "trimmed", ner.rescale(F.length("value") % 10 / F.lit(10.0)).alias("score"), ner.recheck(F.col("claimed"), F.col("trimmed")).alias("entity_type"))
+
+
 def _profile(spark, sf_dir) -> DataFrame:
     found = raw_spans(_docs(spark, sf_dir, "doc_id", "lang", "source", "text"), recognizers=[EMAIL, IPV4, PHONE, CARD, HEX])
     return found.select("doc_id", "lang", "source", F.explode("spans").alias("s")).select("doc_id", "lang", "source", F.col("s.entity_type").alias("entity_type"))
@@ -227,6 +292,22 @@ def multi_type_replace(spark, sf_dir):
     return out.select("doc_id", F.col("anonymized").alias("text"))
 
 
+@query(f"""select doc_id, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || coalesce(upper(m[i]), '')), '') as text
+from (select doc_id, regexp_split_to_array(text, '{SQL_EMAIL}') b, regexp_extract_all(text, '{SQL_EMAIL}') m from documents)""")
+def custom_text(spark, sf_dir):
+    """E-mail addresses through an operator of the caller's: upper case."""
+    return _rewritten(spark, sf_dir, A.Policy("custom", {"lambda": F.upper}))
+
+
+_DRAWN = "('0x' || substr(sha256('corpus' || chr(0) || 'VEHICLE' || chr(0) || c_name || chr(0) || '0' || chr(0) || '{}'), 1, 15))::bigint"
+
+
+@query("select c_custkey, " + " || ".join(f"chr(({_DRAWN.format(f'l{i}')} % 26 + 97)::int)" for i in range(4)) + f" || '-' || lpad(({_DRAWN.format('n')} % 10000)::varchar, 4, '0') as surrogate from customer")
+def fallback_surrogates(spark, sf_dir):
+    """Surrogates of a type that has no generator: four letters and four digits."""
+    return read_table(spark, sf_dir, "customer").select("c_custkey", S.draw(F.lit("VEHICLE"), F.col("c_name"), F.lit("corpus"), F.lit(0)).alias("surrogate"))
+
+
 _DATE_MOVE = """(select case when ('0x' || substr(h, 1, 1))::int >= 8 then d else -d end m from (select h, 730 + ('0x' || substr(h, 2, 15))::bigint % 1096 d from (select sha256('date' || chr(0) || 'corpus') h)))"""
 
 
@@ -269,15 +350,16 @@ def pseudonym_map(spark, sf_dir):
     return back.select(F.col("_o").alias("original"), "pseudonym", F.col("original").alias("reversed"))
 
 
-def _named_sql() -> str:
+def _named_sql(lang: str = "['en', 'it', 'fr', 'de', 'es', 'pt', 'nl'][c_custkey % 7 + 1]", columns: str = "original, {} as pseudonym, original as reversed") -> str:
     """The first person's name drawn for (original, lang): no two customers draw the same."""
     draw = lambda what, n: f"('0x' || substr(sha256('pseudonym' || chr(0) || 'PERSON' || chr(0) || original || chr(0) || '0' || chr(0) || '{what}'), 1, 15))::bigint % {n}"
     listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
     spoken = lambda values, what: "case lang " + " ".join(f"when '{k}' then {listed(v)}[{draw(what, len(v))} + 1]" for k, v in values.items()) + " end"
     syllable = lambda i: f"{listed(S.ONSETS)}[d // {100**i} % 100 // 5 + 1] || {listed(S.VOWELS)}[d // {100**i} % 100 % 5 + 1]"
     word = " || ".join(syllable(i) for i in range(3)) + f" || {spoken(S.SURNAME, 'end')}"
-    return f"""select original, {spoken(S.GIVEN, 'given')} || ' ' || chr(({draw('initial', 26)} + 65)::int) || '. ' || upper(word[1]) || word[2:] as pseudonym, original as reversed
-from (select *, {word} word from (select c_name original, ['en', 'it', 'fr', 'de', 'es', 'pt', 'nl'][c_custkey % 7 + 1] lang, {draw('name', 10**6).replace('original', 'c_name')} d from customer))"""
+    name = f"{spoken(S.GIVEN, 'given')} || ' ' || chr(({draw('initial', 26)} + 65)::int) || '. ' || upper(word[1]) || word[2:]"
+    return f"""select {columns.format(name)}
+from (select *, {word} word from (select c_name original, c_custkey, {lang} lang, {draw('name', 10**6).replace('original', 'c_name')} d from customer))"""
 
 
 @query(_named_sql())
@@ -298,6 +380,14 @@ def pseudonym_peek(spark, sf_dir):
     return M.peek(people.select("entity_type", "original"), known).select("original", "pseudonym")
 
 
+@query(_named_sql("'en'", "original, if(c_custkey % 3 = 0, 'known ' || c_custkey, {}) as pseudonym"))
+def pseudonym_preview(spark, sf_dir):
+    """What a commit would give every customer: known pseudonyms, and names that would be minted."""
+    people = read_table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original"), F.col("c_custkey").alias("ord"))
+    known = people.where("ord % 3 = 0").select("entity_type", "original", F.concat(F.lit("known "), F.col("ord").cast("string")).alias("pseudonym"))
+    return M.preview(people, known).select("original", "pseudonym")
+
+
 @query("select c_name as original, 'shared' || case when n = 0 then '' else '-' || n end as pseudonym from (select c_name, row_number() over (order by c_custkey) - 1 n from customer)")
 def pseudonym_collisions(spark, sf_dir):
     """All customers draw the same candidate: the first keeps it, the others get suffixes in order."""
@@ -317,6 +407,17 @@ def _segments(spark, sf_dir) -> DataFrame:
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 seg_ord from documents)"
 
 
+_RUN_IDS = "'body/p' || l_orderkey || case l_linenumber % 3 when 0 then '/r' || l_linenumber when 1 then '/h/n' || l_linenumber else '/x' || l_linenumber end"
+
+
+@query(f"select id as segment_id, if(regexp_matches(id, '/[rn][0-9]+$'), regexp_replace(id, '/[rn][0-9]+$', ''), null) as block from (select {_RUN_IDS} id from lineitem)")
+def run_blocks(spark, sf_dir):
+    """The block of a run by its id, for ids of several kinds."""
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "/r").when(F.col("l_linenumber") % 3 == 1, "/h/n").otherwise("/x")
+    ids = read_table(spark, sf_dir, "lineitem").select(F.concat(F.lit("body/p"), F.col("l_orderkey").cast("string"), kind, F.col("l_linenumber").cast("string")).alias("segment_id"))
+    return ids.withColumn("block", B.run_block(F.col("segment_id")))
+
+
 @query(f"select doc_id, min(seg_ord)::int block_ord, string_agg(text, ' ' order by seg_ord) as text, count(*)::int segments from {_LINES} group by doc_id, seg_ord // 2")
 def block_join(spark, sf_dir):
     return B.join_blocks(_segments(spark, sf_dir)).select("doc_id", "block_ord", "text", F.size("segs").alias("segments"))
@@ -461,6 +562,15 @@ def alternation_counts(spark, sf_dir):
     return docs.join(originals, "doc_id").select("doc_id", F.regexp_count(X.normalize_ws("text"), L.alternation(F.col("_o"))).alias("occurrences"))
 
 
+@query(f"""select doc_id, count(*) leaked_values, sum(n)::bigint leaked_occurrences from (select doc_id, value, count(*) n from ({spans_sql(SQL_EMAIL)}) group by all) group by doc_id""")
+def leak_quarantine(spark, sf_dir):
+    """Documents kept back because an address that was to go is still there; counts, no values."""
+    docs = _docs(spark, sf_dir)
+    originals = _spans(docs, EMAIL, "doc_id").select("doc_id", F.col("value").alias("original"))
+    held = L.verify(docs, originals)[1]
+    return held.select("doc_id", F.col("leaked_values").cast("long").alias("leaked_values"), F.col("leaked_occurrences").cast("long").alias("leaked_occurrences"))
+
+
 # Review ---------------------------------------------------------------------------------------
 
 
@@ -564,6 +674,20 @@ def fragment_words_of_pieces(spark, sf_dir):
     return docs.select("doc_id", F.array_join(B.fragment_words(F.substring("text", 11, 60), F.substring("text", 1, 90)), " ").alias("words"))
 
 
+@query(f"select session_id, string_agg(distinct value, '|' order by value) avoid from {_PROPOSALS} group by session_id")
+def avoided_originals(spark, sf_dir):
+    """What surrogates of a session must not contain: every proposal's original, decided or not."""
+    proposals = _proposals(spark, sf_dir)
+    return R.replacement_context(proposals, _decisions(proposals).where("kind = 'user_added'")).select("session_id", F.array_join("avoid", "|").alias("avoid"))
+
+
+@query("select doc_id::varchar session_id, if(doc_id in (1, 3, 5), 'committed', 'open') status, doc_id in (1, 3, 5) closed, if(doc_id = 2, 'mask', 'replace') default_operator from documents")
+def session_states(spark, sf_dir):
+    """All sessions after three of them were committed and one got another default operator."""
+    sessions = R.set_default_operator(R.transition(_sessions(spark, sf_dir), ["1", "3", "5"], "committed"), "2", "mask")
+    return sessions.select("session_id", "status", F.col("committed_at").isNotNull().alias("closed"), "default_operator")
+
+
 @query(f"""with p as {_PROPOSALS} select distinct session_id, value as original from p a where ord % 2 = 0 and not exists (select 1 from p r where r.session_id = a.session_id and r.ord % 2 = 1 and r.value = a.value)""")
 def verified_originals(spark, sf_dir):
     """What must not survive a commit: accepted values that nobody rejected elsewhere in the document."""
@@ -644,3 +768,13 @@ select avg("precision") "precision", avg(recall) recall, avg(f1) f1, sum(tp)::bi
 def scorer_macro(spark, sf_dir):
     """The unweighted means over the types."""
     return E.macro(E.metrics(E.counts(*_truth_and_predictions(spark, sf_dir)), "entity_type"))
+
+
+@query("""select conv_id as doc_id, (e - length(text))::int "start", e::int "end", 'USER' entity_type, sha256(text) as text_sha from (
+  select conv_id, role, coalesce(text, '') as text, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn) e from conversations) where role = 'user'""")
+def annotated_turns(spark, sf_dir):
+    """Conversations as one text each, the users' turns annotated."""
+    turns = read_table(spark, sf_dir, "conversations")
+    parts = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), "text", F.when(F.col("role") == "user", "USER").alias("entity_type"))
+    found = E.annotated_texts(parts).select("doc_id", F.explode("entities").alias("e"))
+    return found.select("doc_id", "e.start", "e.end", "e.entity_type", F.sha2("e.text", 256).alias("text_sha"))
