@@ -9,7 +9,8 @@ from cloakframe.functions import text as X
 from cloakframe.functions.patterns import ALL
 from cloakframe.operators.engine import analyze_rows
 from cloakframe.operators.propagate import candidates, merge_mentions, seeds_from, with_mentions
-from cloakframe.operators.roles import defined_terms, drop_role_terms, is_role_term
+from cloakframe.operators.roles import ROLE_TYPES, drop_role_terms, is_role_term, terms_in
+from cloakframe.sources.scratch import written
 
 MIN_FRAGMENT_WORD = 3
 
@@ -50,18 +51,22 @@ def detect_blocks(segments: DataFrame, recognizers=ALL, threshold: float | None
     """Findings (doc_id, block_ord, start, end, entity_type, score, original, pieces) of documents of segments.
 
     Terms defined in any block are roles in all, and names found in any block are looked for in every
-    block.  Blocks and document-wide terms and seeds share the partitioning by doc_id.
+    block.  Blocks are detected once, into a written table that the document-wide passes read; where no
+    name can be found there is nothing to look for, and nothing is written.
     """
     blocks = join_blocks(segments).where(X.strip(F.col("text")) != "")
     spans = analyze_rows(blocks, "text", recognizers, threshold, entities)
-    terms = defined_terms(blocks)
-    kept = spans.join(terms, "doc_id", "left").withColumn("spans", drop_role_terms(F.col("spans"), F.col("defined")))
-    offered = kept.select("doc_id", "block_ord", candidates(F.col("spans")).alias("c")).where(F.size("c") > 0)
-    ordered = offered.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "c"))), lambda x: x["c"])).alias("c"))
-    seeds = ordered.select("doc_id", seeds_from(F.col("c")).alias("_seeds"))
-    both = with_mentions(kept.join(seeds, "doc_id", "left"))
-    added = F.filter("_mentions", lambda m: ~is_role_term(m["entity_type"], F.substring(F.col("text"), m["start"] + 1, m["end"] - m["start"]), F.col("defined")))
-    final = both.select("doc_id", "block_ord", "text", "segs", merge_mentions("text", F.col("spans"), added).alias("spans"))
+    final = spans
+    if {r.entity_type for r in recognizers} & set(ROLE_TYPES if entities is None else entities) & set(ROLE_TYPES):
+        read = written(spans.withColumn("_terms", terms_in(F.col("text"))), "blocks")
+        terms = read.select("doc_id", F.explode("_terms").alias("t")).groupBy("doc_id").agg(F.array_sort(F.collect_set("t")).alias("defined"))
+        kept = read.drop("_terms").join(terms, "doc_id", "left").withColumn("spans", drop_role_terms(F.col("spans"), F.col("defined")))
+        offered = kept.select("doc_id", "block_ord", candidates(F.col("spans")).alias("c")).where(F.size("c") > 0)
+        ordered = offered.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "c"))), lambda x: x["c"])).alias("c"))
+        seeds = ordered.select("doc_id", seeds_from(F.col("c")).alias("_seeds"))
+        both = with_mentions(kept.join(seeds, "doc_id", "left"))
+        added = F.filter("_mentions", lambda m: ~is_role_term(m["entity_type"], F.substring(F.col("text"), m["start"] + 1, m["end"] - m["start"]), F.col("defined")))
+        final = both.withColumn("spans", merge_mentions("text", F.col("spans"), added))
     each = final.select("doc_id", "block_ord", "segs", F.explode("spans").alias("s"))
     found = each.select("doc_id", "block_ord", "s.start", "s.end", "s.entity_type", "s.score", F.col("s.text_span").alias("original"), pieces_of(F.col("segs"), F.col("s.start"), F.col("s.end")).alias("pieces"))
     return found.where(F.size("pieces") > 0)
