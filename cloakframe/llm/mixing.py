@@ -134,7 +134,7 @@ def mix(
     narrow = base.select("_row", "_source", "_id", "_n", "_tie")
     sums = written(narrow.groupBy("_source").agg(F.sum("_n").alias("_tokens")).where("_tokens > 0"), "sources")
     blocks_of = F.least(F.ceil(F.col("_tokens") / F.lit(float(block_tokens))), F.lit(MOST_BLOCKS)).cast("long")
-    plan = quotas(sums, target_entropy, max_repeats, budget).select(F.col("_source").alias("_of"), blocks_of.alias("_blocks"), F.floor(F.col("_quota") / F.col("_tokens")).cast("int").alias("_full"), (F.col("_quota") % F.col("_tokens")).alias("_part"))
+    plan = quotas(sums, target_entropy, max_repeats, budget).select(F.col("_source").alias("_of"), blocks_of.alias("_blocks"), F.expr("cast(_quota div _tokens as int)").alias("_full"), (F.col("_quota") % F.col("_tokens")).alias("_part"))
 
     block = (F.conv(F.substring(_hash(seed, F.col("_id")), 1, 15), 16, 10).cast("long") % F.col("_blocks")).cast("int")
     dealt = narrow.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("_block", block)
