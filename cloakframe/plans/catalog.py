@@ -444,6 +444,27 @@ def splice_edits(spark, sf_dir):
     return df.select("doc_id", X.splice("text", edits).alias("text"))
 
 
+_NEAR = """regexp_matches(lower(substr(text, greatest("start" - 40, 0) + 1, ("end" + 40 - greatest("start" - 40, 0))::int)), '\\b(?:{})\\b')"""
+_CALLED, _IN_CARD, _KEYED = (_NEAR.format("|".join(r.context)) for r in (PHONE, CARD, HEX))
+
+
+def _kind_sql(pattern: str, kind: str, score: str, valid: str = "true") -> str:
+    return f"""select doc_id, k, n0, text, "start", "end", value, '{kind}' t, {score} sc from ({spans_sql(pattern, "b", "doc_id, k, n0, text")}) where {valid}"""
+
+
+@query(f"""with b as (select doc_id, seg_ord // 2 k, string_agg(text, ' ' order by seg_ord) as text, first(length(text) order by seg_ord) n0 from {_LINES} group by all),
+s as (select *, row_number() over (order by doc_id, k, "start", "end", sc desc, t) id from (
+  {_kind_sql(SQL_EMAIL, "EMAIL_ADDRESS", "0.9")} union all {_kind_sql(SQL_IPV4, "IP_ADDRESS", "0.6", IPV4_OK)} union all {_kind_sql(SQL_PHONE, "PHONE_NUMBER", f"if({_CALLED}, 0.85, 0.5)")}
+  union all {_kind_sql(SQL_CARD, "CREDIT_CARD", f"if({_IN_CARD}, 1.0, 0.7)", LUHN_OK)} union all {_kind_sql(SQL_HEX, "ID_NUMBER", f"if({_KEYED}, 0.85, 0.5)")}))
+select doc_id, (2 * k)::int block_ord, "start", "end", t entity_type, value as original, (("start" < n0)::int + ("end" > n0 + 1)::int)::int pieces from s
+where not exists (select 1 from s o where o.doc_id = s.doc_id and o.k = s.k and o."start" <= s."start" and s."end" <= o."end" and (o."end" - o."start" > s."end" - s."start" or o.id < s.id))
+  and "start" < "end" and ("start" < n0 or "end" > n0 + 1)""")
+def detect_pattern_blocks(spark, sf_dir):
+    """Findings of five recognizers in joined lines, the longer of nested ones, on their lines."""
+    found = B.detect_blocks(_segments(spark, sf_dir), [EMAIL, IPV4, PHONE, CARD, HEX])
+    return found.select("doc_id", "block_ord", "start", "end", "entity_type", "original", F.size("pieces").alias("pieces"))
+
+
 @query(None)
 def detect_document_blocks(spark, sf_dir):
     """Findings of all documents with roles and propagation across blocks, on their lines."""
