@@ -351,7 +351,7 @@ def pseudonym_map(spark, sf_dir):
 
 
 def _named_sql(lang: str = "['en', 'it', 'fr', 'de', 'es', 'pt', 'nl'][c_custkey % 7 + 1]", columns: str = "original, {} as pseudonym, original as reversed") -> str:
-    """The first person's name drawn for (original, lang): no two customers draw the same."""
+    """The first person's name drawn for (original, lang), which holds where no two customers draw the same (at 60 times sf0.1, some do)."""
     draw = lambda what, n: f"('0x' || substr(sha256('pseudonym' || chr(0) || 'PERSON' || chr(0) || original || chr(0) || '0' || chr(0) || '{what}'), 1, 15))::bigint % {n}"
     listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
     spoken = lambda values, what: "case lang " + " ".join(f"when '{k}' then {listed(v)}[{draw(what, len(v))} + 1]" for k, v in values.items()) + " end"

@@ -147,6 +147,17 @@ def test_pseudonyms_speak_their_language(spark):
     assert drawn.distinct().count() >= 19_999  # the shipped factory seldom needs a second try
 
 
+_SAME_DRAW = [("PERSON", "Customer#000050564", 50564), ("PERSON", "Customer#000735941", 735941)]  # one name is drawn for both, in en and in de
+
+
+def test_names_drawn_twice_are_given_once(spark):
+    ask = spark.createDataFrame(_SAME_DRAW, ASK).withColumn("language", F.lit("de"))
+    named, grown = mapping.get_or_create(ask, mapping.empty(spark))
+    assert [r.pseudonym for r in named.orderBy("ord").collect()] == ["Anke Z. Trolibrefeld", "Bernd T. Kradrubeing"]
+    back = mapping.reverse(named.select("entity_type", "pseudonym", F.col("original").alias("o")), grown)
+    assert sorted((r.o, r.original) for r in back.collect()) == [(o, o) for _, o, _ in _SAME_DRAW]
+
+
 def test_files_of_one_name_do_not_meet(spark, tmp_path):
     df = spark.createDataFrame([("file:/data/in/a/x.docx", bytearray(b"1")), ("file:/data/in/b/x.docx", bytearray(b"2"))], "doc_id string, content binary")
     out = tmp_path / "out"
