@@ -158,6 +158,13 @@ def test_names_drawn_twice_are_given_once(spark):
     assert sorted((r.o, r.original) for r in back.collect()) == [(o, o) for _, o, _ in _SAME_DRAW]
 
 
+def test_preview_gives_names_drawn_twice_once(spark):
+    ask = spark.createDataFrame([*_SAME_DRAW, ("PERSON", "Customer#000000003", 3)], ASK)
+    known = ask.where("ord = 3").select("entity_type", "original", F.lit("known 3").alias("pseudonym"))
+    shown = [r.pseudonym for r in mapping.preview(ask, known).orderBy("ord").collect()]
+    assert shown[:2] == ["known 3", "Alice Z. Trolibreby"] and len(set(shown)) == 3
+
+
 def test_files_of_one_name_do_not_meet(spark, tmp_path):
     df = spark.createDataFrame([("file:/data/in/a/x.docx", bytearray(b"1")), ("file:/data/in/b/x.docx", bytearray(b"2"))], "doc_id string, content binary")
     out = tmp_path / "out"
