@@ -161,7 +161,7 @@ def append_from_text(df: DataFrame, fields: str, compute: Callable[[list[bytes]]
             for lo, hi in chunks([len(x) + 1 for x in texts], most):
                 got = compute(texts[lo:hi])
                 own = [batch.column(i).slice(lo, hi - lo) for i in n_kept]
-                new = [pa.array(got[f.name], f.type) for f in arrow]
+                new = [x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(own + new, names=[f.name for f in kept] + arrow.names)
 
     return df.mapInArrow(run, T.StructType([*kept, *added]))

@@ -54,27 +54,41 @@ def _step(p: Params, x: np.ndarray, h: np.ndarray):
     return new, gates, m, u[:, 2 * k :]
 
 
-def _exp_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: exp of no more than this is finite, with room for sums.
+_MOST_LOGIT = 80
+#: Rows of logits that are worked on at once, few enough to stay near a core.
+_ROWS = 8192
+
+
+def _joined(w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Weights with the bias as their last row, and whether no state (within -1 and 1) can give a logit above _MOST_LOGIT."""
+    own = np.concatenate([w, bias[..., None, :]], -2)
+    return own, bool(np.abs(own).sum(-2).max() <= _MOST_LOGIT)
+
+
+def _exp_sums(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
     """exp of the rows and their sums, in place; rows are shifted only where exp would overflow."""
-    if x.size and x.max() > 80:
-        x -= x.max(1, keepdims=True) - 80
+    if not safe and x.size and x.max() > _MOST_LOGIT:
+        x -= x.max(1, keepdims=True) - _MOST_LOGIT
     np.exp(x, out=x)
-    return x, x.sum(1)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _softmax_loss(x: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, float]:
-    """The gradient of the summed loss by the logits, and that loss."""
-    at = np.arange(len(x))
-    x, sums = _exp_sums(x)
-    loss = float((np.log(sums) - np.log(x[at, picked])).sum())
-    x /= sums[:, None]
-    x[at, picked] -= 1
+def _softmax_loss(x: np.ndarray, picked: np.ndarray, safe: bool, share: float) -> tuple[np.ndarray, float]:
+    """The gradient of share times the summed loss by the logits, in place, and that loss (unshared)."""
+    at = np.arange(len(x)) * x.shape[1] + picked
+    x, sums = _exp_sums(x, safe)
+    flat = x.reshape(-1)
+    loss = float((np.log(sums) - np.log(flat[at])).sum())
+    x *= (np.float32(share) / sums)[:, None]
+    flat[at] -= np.float32(share)
     return x, loss
 
 
-def _log_chosen(x: np.ndarray, picked: np.ndarray) -> np.ndarray:
-    x, sums = _exp_sums(x)
-    return np.log(x[np.arange(len(x)), picked]) - np.log(sums)
+def _log_chosen(x: np.ndarray, picked: np.ndarray, safe: bool) -> np.ndarray:
+    at = np.arange(len(x)) * x.shape[1] + picked
+    x, sums = _exp_sums(x, safe)
+    return np.log(x.reshape(-1)[at]) - np.log(sums)
 
 
 def _narrow(ids: np.ndarray) -> np.ndarray:
@@ -82,24 +96,39 @@ def _narrow(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
 
 
-def _by_class(p: Params, ids: np.ndarray):
-    """Class of each id, and (class, positions) for the classes of words that occur."""
-    classes, size = p["w"].shape
+def _by_class(ids: np.ndarray, classes: int, size: int):
+    """Class of each id; positions of the words in the order of their classes; (class, from, to) in that order for those that occur."""
     words = classes * size
     of = np.where(ids < words, ids // size, ids - words + classes)
     order = np.argsort(_narrow(of), kind="stable")
     edge = np.searchsorted(of[order], np.arange(classes + 1))
-    return of, [(c, order[edge[c] : edge[c + 1]]) for c in range(classes) if edge[c] < edge[c + 1]]
+    return of, order[: edge[classes]], [(c, edge[c], edge[c + 1]) for c in range(classes) if edge[c] < edge[c + 1]]
+
+
+def _word_logits(own: np.ndarray, w: np.ndarray, groups: list) -> np.ndarray:
+    """Logits of the words of each row's class, of rows in the order of their classes."""
+    out = np.empty((len(own), w.shape[2]), np.float32)
+    for c, lo, hi in groups:
+        np.matmul(own[lo:hi], w[c], out=out[lo:hi])
+    return out
+
+
+def _log_probs(flat: np.ndarray, ids: np.ndarray, to_class: tuple[np.ndarray, bool], to_word: tuple[np.ndarray, bool]) -> np.ndarray:
+    """Natural logs of P(class) and, for words, P(word | class), of states that end in a one."""
+    (C, safe), (W, safe_words) = to_class, to_word
+    classes, _, size = W.shape
+    out = np.empty(len(ids), np.float32)
+    for lo in range(0, len(ids), _ROWS):
+        h, own_ids, got = flat[lo : lo + _ROWS], ids[lo : lo + _ROWS], out[lo : lo + _ROWS]
+        of, at, groups = _by_class(own_ids, classes, size)
+        got[:] = _log_chosen(h @ C, of, safe)
+        got[at] += _log_chosen(_word_logits(h.take(at, 0), W, groups), own_ids[at] % size, safe_words)
+    return out
 
 
 def token_log_probs(p: Params, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural logs of P(class) and, for words, P(word | class)."""
-    of, groups = _by_class(p, ids)
-    out = _log_chosen(h @ p["C"] + p["c"], of)
-    size = p["w"].shape[1]
-    for c, at in groups:
-        out[at] += _log_chosen(h[at] @ p["W"][c] + p["w"][c], ids[at] % size)
-    return out
+    return _log_probs(np.append(h, np.ones((len(h), 1), h.dtype), 1), ids, _joined(p["C"], p["c"]), _joined(p["W"], p["w"]))
 
 
 class Adam:
@@ -137,32 +166,36 @@ def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, str
         prev, goal = given[lo : lo + window], target[lo : lo + window].ravel()
         t_max, n = len(prev), prev.size
         fresh = (prev != end).astype(np.float32)[:, :, None]
-        x = p["E"][prev]
-        states, was, cand, recur = (np.empty((t_max, streams, k), np.float32) for _ in range(4))
+        x = p["E"].take(prev, 0)
+        states = np.ones((t_max, streams, k + 1), np.float32)  # the last one stands for the bias
+        was, cand, recur = (np.empty((t_max, streams, k), np.float32) for _ in range(3))
         gates = np.empty((t_max, streams, 2 * k), np.float32)
         for t in range(t_max):
             np.multiply(h, fresh[t], out=was[t])
             h, gates[t], cand[t], recur[t] = _step(p, x[t], was[t])
-            states[t] = h
-        flat = states.reshape(n, k)
+            states[t, :, :k] = h
+        flat = states.reshape(n, k + 1)
         real = None
         if goal.min() < 0:
             real = np.flatnonzero(goal >= 0)
             flat, goal = flat[real], goal[real]
 
-        of, groups = _by_class(p, goal)
-        d, loss = _softmax_loss(flat @ p["C"] + p["c"], of)
+        (C, safe), (W, safe_words) = _joined(p["C"], p["c"]), _joined(p["W"], p["w"])
+        of, at, groups = _by_class(goal, classes, size)
+        share = 1 / len(goal)
+        d, loss = _softmax_loss(flat @ C, of, safe, share)
         total += loss
-        d /= len(goal)
-        g = {"C": flat.T @ d, "c": d.sum(0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
+        both = flat.T @ d
+        g = {"C": both[:k], "c": both[k], "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
         dflat = d @ p["C"].T
-        for c, at in groups:
-            own = flat[at]
-            d, loss = _softmax_loss(own @ p["W"][c] + p["w"][c], goal[at] % size)
-            total += loss
-            d /= len(goal)
-            g["W"][c], g["w"][c] = own.T @ d, d.sum(0)
-            dflat[at] += d @ p["W"][c].T
+        own, down = flat.take(at, 0), np.empty((len(at), k), np.float32)
+        d, loss = _softmax_loss(_word_logits(own, W, groups), goal[at] % size, safe_words, share)
+        total += loss
+        for c, begin, stop in groups:
+            both = own[begin:stop].T @ d[begin:stop]
+            g["W"][c], g["w"][c] = both[:k], both[k]
+            np.matmul(d[begin:stop], p["W"][c].T, out=down[begin:stop])
+        dflat[at] += down
         if real is not None:
             dreal, dflat = dflat, np.zeros((n, k), np.float32)
             dflat[real] = dreal
@@ -198,39 +231,38 @@ def train(p: Params, ids: np.ndarray, end: int, rate: float = LEARNING_RATE, str
     return total / len(ids)
 
 
-def score(p: Params, texts: list[np.ndarray], end: int, group: int = 1024, window: int = SCORE_WINDOW) -> np.ndarray:
-    """The natural log-likelihood of each whole text (ids, the end token last); state is carried throughout."""
+def score(p: Params, texts: list[np.ndarray], end: int, group: int = 16384, window: int = SCORE_WINDOW) -> np.ndarray:
+    """The natural log-likelihood of each whole text (ids, the end token last); state is carried throughout.
+
+    Of each group of texts, the longest first, those that have a token at a step are the first so many; steps are
+    worked on until window of them, or about _ROWS tokens, are there.
+    """
     out = np.zeros(len(texts))
     k = p["U"].shape[0]
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    to_class, to_word = _joined(p["C"], p["c"]), _joined(p["W"], p["w"])
+    order = np.array(sorted(range(len(texts)), key=lambda i: -len(texts[i])), np.int64)
     for lo in range(0, len(order), group):
         own = order[lo : lo + group]
         sizes = np.array([len(texts[i]) for i in own])
-        longest = int(sizes[0]) if len(sizes) else 0
-        h, at = np.zeros((len(own), k), np.float32), 0
-        while at < longest:
-            n = int((sizes > at).sum())
-            width = min(window, longest - at)
-            ids = np.full((n, width), -1, np.int32)
-            given = np.full((n, width), end, np.int32)
-            for j in range(n):
-                part = texts[own[j]][at : at + width]
-                ids[j, : len(part)] = part
-                given[j, 1 : len(part)] = part[:-1]
-                if at:
-                    given[j, 0] = texts[own[j]][at - 1]
-            active = np.maximum.accumulate((ids >= 0).sum(0)[::-1])[::-1]
-            states, h = [], h[:n]
-            for t in range(width):
-                a = int(active[t])
-                h = h[:a]
-                h = _step(p, p["E"][given[:a, t]], h)[0]
-                states.append(h)
-            flat = np.concatenate(states)
-            rows = np.concatenate([np.arange(a) for a in active])
-            goal = np.concatenate([ids[:a, t] for t, a in enumerate(active)])
-            got = np.bincount(rows, token_log_probs(p, flat, goal), n)
-            for j in range(n):
-                out[own[j]] += got[j]
-            at += width
+        ids = np.concatenate([texts[i] for i in own])
+        first = np.cumsum(sizes) - sizes
+        given = np.append(np.int32(end), ids[:-1])
+        given[first[sizes > 0]] = end
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")
+        total, h, at = np.zeros(len(own)), np.zeros((len(own), k), np.float32), 0
+        while at < len(active):
+            until = at + max(1, min(window, int(np.searchsorted(np.cumsum(active[at : at + window]), _ROWS))))
+            counts = active[at:until]
+            begin = np.append(0, np.cumsum(counts))
+            rows = np.arange(begin[-1]) - np.repeat(begin[:-1], counts)
+            place = first[rows] + np.repeat(np.arange(at, at + len(counts)), counts)
+            x = p["E"].take(given[place], 0)
+            flat = np.ones((begin[-1], k + 1), np.float32)
+            for t, a in enumerate(counts.tolist()):
+                h = _step(p, x[begin[t] : begin[t + 1]], h[:a])[0]
+                flat[begin[t] : begin[t + 1], :k] = h
+            got = np.bincount(rows, _log_probs(flat, ids[place], to_class, to_word))
+            total[: len(got)] += got
+            at += len(counts)
+        out[own] = total
     return out

@@ -24,19 +24,20 @@ named like an output are replaced, all others (whatever their names) are returne
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import gru
-from cloakframe.llm.common import Own, append_from_text, in_fold, table, written
+from cloakframe.llm.common import Own, append_from_text, chunks, in_fold, table, written
 
 FOLDS, HELD_OUT = 7, 2
 WORDS, CLASSES, TAILS = 1024, 32, 32
@@ -45,8 +46,8 @@ WARM_TEXTS, WARM_SHARE = 192, 1000
 #: Tokens in a training shard, and the most shards (beyond, they hold more tokens).
 SHARD_TOKENS, MOST_SHARDS = 2_000_000, 16_384
 _READ = "_ids binary, _n bigint, _known bigint, _base double, _inner double, _rare array<struct<word:string,n:bigint>>"
-#: Most bytes of ids that are scored at once.
-_SCORE_BYTES = 4_000_000
+#: Most bytes of ids that are scored at once, and of texts that are cut at once.
+_SCORE_BYTES, _CUT_BYTES = 16_000_000, 8_000_000
 _ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: The end token; no word holds a line's end.
 END = b"\n"
@@ -65,24 +66,75 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
+@cache
+def _tails_by_ends() -> np.ndarray:
+    """tail_of by the last two bytes; by the last one, of words of one byte, from 65536 on."""
+    ends = [bytes((a, b)) for a in range(256) for b in range(256)] + [bytes((b,)) for b in range(256)]
+    return np.array([tail_of(x) for x in ends], np.int32)
+
+
+def tails_of(words: pa.Array) -> np.ndarray:
+    """tail_of of each of the words (of which one at least has a byte; what an empty one gets means nothing)."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data, last = np.frombuffer(data, np.uint8), np.maximum(ends[1:] - 1, 0)
+    before = np.where(np.diff(ends) > 1, data[np.maximum(last - 1, 0)].astype(np.int32), 256)
+    return _tails_by_ends()[before * 256 + data[last]]
+
+
+@dataclass
+class Cut:
+    """The tokens of many texts: the words among them, once each (some may have no token), the place of each token
+    among the words, and how many tokens there are up to the end of each text.
+    """
+
+    words: pa.Array
+    at: np.ndarray
+    ends: np.ndarray
+
+
+def cut(texts: list[bytes]) -> Cut:
+    """The same tokens as those of tokens(), cut and told apart by Arrow."""
+    lists = pc.ascii_split_whitespace(pa.array([x.lower() for x in texts], pa.binary()).view(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    found = coded.indices.to_numpy()
+    real = found != pc.index(coded.dictionary, "").as_py()  # where whitespace begins or ends a text
+    before = np.append(0, np.cumsum(real))[lists.offsets.to_numpy()]
+    ends = before[1:] + np.arange(1, len(texts) + 1)
+    at, is_word = np.full(ends[-1], len(coded.dictionary), np.int32), np.ones(ends[-1], bool)
+    is_word[ends - 1] = False
+    at[is_word] = found[real]
+    words = pa.concat_arrays([coded.dictionary, pa.array([END.decode()])])
+    return Cut(words.view(pa.binary()), at, ends)
+
+
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, tail, c) over all rows of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks()
 
         def flush() -> pa.RecordBatch:
-            words = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([tail_of(w) for w in words], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "tail", "n"])
-            counts.clear()
-            return out
+            words, n = (pa.concat_arrays(held[0][c].chunks) for c in ("word", "n"))
+            held.clear()
+            return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(tails_of(words), pa.int32()), n], names=["word", "tail", "n"])
 
         for batch in batches:
-            for x in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(tokens(x or b""))
-                if len(counts) > _FLUSH:
-                    yield flush()
-        yield flush()
+            texts = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            for lo, hi in chunks([len(x) + 1 for x in texts], _CUT_BYTES):
+                c = cut(texts[lo:hi])
+                n = np.bincount(c.at, minlength=len(c.words))
+                held.append(pa.table({"word": c.words, "n": n}).filter(pa.array(n > 0)))
+                if sum(map(len, held)) > 2 * _FLUSH:
+                    held[:] = [merged()]
+                    if len(held[0]) > _FLUSH:
+                        yield flush()
+        if held:
+            held[:] = [merged()]
+            yield flush()
 
     return docs.select(text).mapInArrow(run, "word string, tail int, n bigint").groupBy("word", "tail").agg(F.sum("n").alias("c"))
 
@@ -95,10 +147,10 @@ class Vocabulary:
         self.tail_log = -np.log10(tail_tokens + tail_words + 1.0)
         self.id_counts = np.append(np.append(counts[:WORDS], np.zeros(max(0, WORDS - len(counts)))), tail_tokens)
         self._read: dict | None = None
-        self._to_id: np.ndarray | None = None
+        self._set: pa.Array | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_read": None, "_to_id": None}
+        return self.__dict__ | {"_read": None, "_set": None}
 
     @property
     def read(self) -> dict[bytes, int]:
@@ -112,19 +164,17 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """The network's ids."""
-        return self.network_ids(words, self.places(words))
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Ranks among the frequent words; -1 for others."""
-        return np.fromiter(map(self.read.get, words, repeat(-1)), np.int32, len(words))
+        at = np.fromiter(map(self.read.get, words, repeat(-1)), np.int32, len(words))
+        tail = np.flatnonzero((at < 0) | (at >= WORDS))
+        at[tail] = [WORDS + tail_of(words[i]) for i in tail.tolist()]
+        return at
 
-    def network_ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        if self._to_id is None:
-            self._to_id = np.array([i if i < WORDS else WORDS + tail_of(w) for i, w in enumerate(self.words)] + [0], np.int32)
-        ids = self._to_id[places]
-        rare = np.flatnonzero(places < 0)
-        ids[rare] = [WORDS + tail_of(words[i]) for i in rare.tolist()]
-        return ids
+    def places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks among the frequent words, -1 for others; the network's ids."""
+        if self._set is None:
+            self._set = pa.array(self.words, pa.binary())
+        at = pc.index_in(words, value_set=self._set).fill_null(-1).to_numpy()
+        return at, np.where((at >= 0) & (at < WORDS), at, WORDS + tails_of(words))
 
 
 def vocabulary(counts: DataFrame, top_words: int = TOP_WORDS) -> Vocabulary:
@@ -269,21 +319,19 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", shard_tokens:
 
 
 def _read_texts(texts: list[bytes], vocab: Vocabulary) -> dict:
-    ids, n, known, base, inner, rare = [], [], [], [], [], []
-    log_count = np.log10(vocab.counts + 1.0)
-    for x in texts:
-        words = tokens(x)
-        at = vocab.places(words)
-        own = vocab.network_ids(words, at)
-        tails = own[own >= WORDS] - WORDS
-        ids.append(own.astype(np.uint16).tobytes())
-        n.append(len(own))
-        top = at[at >= 0]
-        known.append(len(top))
-        base.append(float(log_count[top].sum()))
-        inner.append(float(log_count[top[top >= WORDS]].sum() + vocab.tail_log[tails].sum()))
-        rare.append([{"word": w.decode(), "n": k} for w, k in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()])
-    return {"_ids": ids, "_n": n, "_known": known, "_base": base, "_inner": inner, "_rare": rare}
+    c = cut(texts)
+    at, own = vocab.places(c.words)
+    log_count = np.append(np.log10(vocab.counts + 1.0), 0.0)[at]  # the last one is that of rare words
+    inner = np.where(at >= WORDS, log_count, 0.0) + np.append(np.zeros(WORDS), vocab.tail_log)[own]
+    begin = np.append(0, c.ends)
+    in_text = lambda of_word: np.add.reduceat(of_word[c.at], begin[:-1])  # noqa: E731 - each text has a token
+    ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(own.astype(np.uint16)[c.at])])
+    is_rare = np.flatnonzero((at < 0)[c.at])
+    both, n = np.unique(np.searchsorted(c.ends, is_rare, "right") * len(c.words) + c.at[is_rare], return_counts=True)
+    text, word = both // len(c.words), both % len(c.words)
+    counted = pa.StructArray.from_arrays([c.words.take(pa.array(word)).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+    rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32()), counted)
+    return {"_ids": ids, "_n": np.diff(begin), "_known": in_text((at >= 0).astype(np.int64)), "_base": in_text(log_count), "_inner": in_text(inner), "_rare": rare}
 
 
 def score_read(read: Read, counts: DataFrame, vocab: Vocabulary, p: gru.Params) -> DataFrame:

@@ -209,3 +209,44 @@ def test_weights_average_by_tokens(spark):
     got = lm._average(spark.createDataFrame(rows, "chunk int, shard int, n double, w array<float>"), "chunk").first()
     assert got.n == 8 and list(got.w) == [(2 * 1 + 0 * 3 + 1 * 4) / 8, 1.0]
     assert gru.HIDDEN == 16
+
+
+_ODD_TEXTS = [b"", b" ", b"\n Ab\x0b\x0ccD\r\t", "É  x \u0085 ab aB".encode(), b"a", b"ab q ab \x1c z9 q", b"\x00 a\x00 "]
+
+
+def test_cut_equals_tokens():
+    for texts in (_ODD_TEXTS, [b""], [b" a "], [b"a"] * 3):
+        c = lm.cut(texts)
+        words = c.words.to_pylist()
+        assert [[words[i] for i in x] for x in np.split(c.at, c.ends)[:-1]] == [lm.tokens(x) for x in texts] and len(c.at) == c.ends[-1]
+        used = [i for i, w in enumerate(words) if w]
+        assert lm.tails_of(c.words)[used].tolist() == [lm.tail_of(words[i]) for i in used]
+
+
+@pytest.mark.parametrize("known", [[], [b"ab", b"\n"], [b"\n", b"ab", b"a", b"q"]])
+def test_texts_are_read_as_word_by_word(known, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 2)
+    vocab = lm.Vocabulary(known, np.arange(len(known), 0, -1.0), 9, 9, np.arange(lm.TAILS) + 1.0, np.ones(lm.TAILS))
+    got = lm._read_texts(_ODD_TEXTS, vocab)
+    for i, text in enumerate(_ODD_TEXTS):
+        words = lm.tokens(text)
+        places = [known.index(w) if w in known else -1 for w in words]
+        ids = [p if 0 <= p < 2 else 2 + lm.tail_of(w) for p, w in zip(places, words, strict=True)]
+        logs = [math.log10(len(known) - p + 1) if p >= 0 else 0 for p in places]
+        assert np.frombuffer(got["_ids"][i].as_py(), np.uint16).tolist() == ids and got["_n"][i] == len(words) and got["_known"][i] == sum(p >= 0 for p in places)
+        assert got["_base"][i] == pytest.approx(sum(logs))
+        assert got["_inner"][i] == pytest.approx(sum(x for x, p in zip(logs, places, strict=True) if p >= 2) + sum(vocab.tail_log[k - 2] for k in ids if k >= 2))
+        assert {r["word"].encode(): r["n"] for r in got["_rare"][i].as_py()} == Counter(w for w, p in zip(words, places, strict=True) if p < 0)
+
+
+def test_large_logits_do_not_overflow():
+    p = gru.start(8, 2, 2, np.ones(10), hidden=4)
+    h, ids = np.tile(np.float32([[1, -1, 1, -1]]), (10, 1)), np.arange(10)
+    p["C"] *= 1e5
+    p["W"] *= 1e5
+    got = gru.token_log_probs(p, h, ids)
+    logs = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    of = logs(h[0].astype(float) @ p["C"].astype(float) + p["c"])
+    want = [of[i // 4] + logs(h[0].astype(float) @ p["W"][i // 4].astype(float) + p["w"][i // 4])[i % 4] if i < 8 else of[i - 6] for i in range(10)]
+    near = np.array(want) > -80
+    assert near.any() and np.allclose(got[near], np.array(want)[near], rtol=1e-3, atol=1e-2) and not np.isnan(got).any()
